@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows above which a lookup side is joined by shuffle instead of broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``small`` if it has at most ``max_rows`` rows, else leave it to
+    the planner (sort-merge or shuffled hash join, AQE may still convert).
+
+    The check counts at most ``max_rows + 1`` rows, so it stays cheap even when
+    the side turns out to be large.
+    """
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -1,0 +1,327 @@
+"""Exact order statistics without a global sort or a one-task group.
+
+Spark's exact ``percentile`` keeps every distinct value of a group in one
+aggregation buffer, and a ``row_number`` over a whole column or a hot group
+runs in one task. Both break when one group holds a third of 100 TB.
+
+``select_ranks`` finds the values at given 0-based ranks per (column, group)
+by iterative histogram refinement:
+
+1. one aggregate gives ``count/min/max`` per (column, group), so the caller
+   can turn probabilities into ranks;
+2. each pass assigns every value to an equal-width bucket of the window that
+   still holds a wanted rank and counts ``(window, bucket)`` with ``min`` and
+   ``max`` of the values (partial aggregation on the map side, so the shuffle
+   carries at most ``windows * bins`` rows);
+3. the driver walks the small bucket table to find the bucket holding each
+   rank; the new window is that bucket's exact ``[min, max]``;
+4. once a window holds at most ``bins`` values its rows are grouped by the
+   value itself, which resolves the rank exactly.
+
+Bucket numbers are a monotone function of the value, so the order of buckets
+is the order of values and the count below a window is exact. Each pass
+divides a window by ``bins``, so real data needs two or three passes. Windows
+of one (column, group) are equal or disjoint, so a value falls in at most one:
+the lookup is a ``CASE WHEN`` chain (whole-stage codegen), and rows outside
+every window are dropped before anything is unpivoted.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DEFAULT_BINS = 4096
+MAX_PASSES = 64
+# above this many windows for one column the lookup is a broadcast join on the
+# group key instead of a CASE chain
+MAX_CASE_WINDOWS = 128
+BROADCAST_WINDOWS = 200_000
+
+_DEBUG = False
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+class _Window:
+    __slots__ = ("ci", "gkey", "lo", "hi", "below", "count", "targets")
+
+    def __init__(self, ci, gkey, lo, hi, below, count):
+        self.ci, self.gkey, self.lo, self.hi, self.below, self.count = ci, gkey, lo, hi, below, count
+        self.targets: list[int] = []
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column_stats(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = ()):
+    """``{(column_index, group_key): (n, min, max)}`` over non-NULL values, one scan."""
+    group_cols = list(group_cols)
+    exprs = []
+    for i, c in enumerate(value_cols):
+        v = F.col(_q(c))
+        exprs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    out = {}
+    for r in df.groupBy(*[F.col(_q(g)) for g in group_cols]).agg(*exprs).collect():
+        gkey = tuple(r[g] for g in group_cols)
+        if any(k is None for k in gkey):
+            continue
+        for i in range(len(value_cols)):
+            out[(i, gkey)] = (int(r[f"n{i}"]), r[f"lo{i}"], r[f"hi{i}"])
+    return out
+
+
+def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Sequence[str],
+                 ranks_for: Callable[[int], Sequence[int]], bins: int = DEFAULT_BINS,
+                 stats: dict | None = None):
+    """Values at 0-based ranks (ascending, NULLs ignored) per (column, group).
+
+    ``ranks_for(n)`` lists the ranks wanted in a (column, group) of ``n``
+    values. Integral columns are handled as long (exact for 64-bit keys),
+    others as double. Returns ``({(column_index, group_key, rank): value},
+    stats)``; NULL group keys are skipped.
+    """
+    if isinstance(value_cols, str):
+        value_cols = [value_cols]
+    value_cols, group_cols = list(value_cols), list(group_cols)
+    integral = [isinstance(df.schema[c].dataType, _INTEGRAL) for c in value_cols]
+    vnames = [f"__v{i}" for i in range(len(value_cols))]
+    base = df.select(*[F.col(_q(g)).alias(f"__g{k}") for k, g in enumerate(group_cols)],
+                     *[F.col(_q(c)).cast("long" if integral[i] else "double").alias(vnames[i])
+                       for i, c in enumerate(value_cols)])
+    gnames = [f"__g{k}" for k in range(len(group_cols))]
+    if gnames:
+        present = F.col(gnames[0]).isNotNull()
+        for g in gnames[1:]:
+            present = present & F.col(g).isNotNull()
+        base = base.where(present)
+    if stats is None:
+        stats = column_stats(base, vnames, gnames)
+
+    result: dict = {}
+    windows: dict = {}
+    for (ci, gkey), (n, lo, hi) in stats.items():
+        if n == 0:
+            continue
+        for r in sorted(set(int(x) for x in ranks_for(n))):
+            if r < 0 or r >= n:
+                raise ValueError(f"rank {r} outside 0..{n - 1}")
+            if lo == hi:
+                result[(ci, gkey, r)] = lo
+                continue
+            w = windows.setdefault((ci, gkey, lo, hi), _Window(ci, gkey, lo, hi, 0, n))
+            w.targets.append(r)
+
+    passes = 0
+    while windows:
+        passes += 1
+        if passes > MAX_PASSES:
+            raise RuntimeError("rank selection did not converge")
+        wlist = list(windows.values())
+        import time as _t
+        _t0 = _t.time()
+        buckets = _bucket_pass(base, vnames, gnames, integral, wlist, bins)
+        if _DEBUG:
+            print("pass", passes, len(wlist), "windows", round(_t.time() - _t0, 2), "s")
+        new_windows: dict = {}
+        for wid, w in enumerate(wlist):
+            rows = sorted(buckets.get(wid, []), key=lambda t: t[1])
+            for r in w.targets:
+                local = r - w.below
+                cum = 0
+                for cnt, mn, mx in rows:
+                    if local < cum + cnt:
+                        if mn == mx:
+                            result[(w.ci, w.gkey, r)] = mn
+                        else:
+                            key = (w.ci, w.gkey, mn, mx)
+                            nw = new_windows.get(key)
+                            if nw is None:
+                                nw = new_windows[key] = _Window(w.ci, w.gkey, mn, mx, w.below + cum, cnt)
+                            nw.targets.append(r)
+                        break
+                    cum += cnt
+                else:  # pragma: no cover - bucket counts always cover the window
+                    raise RuntimeError("rank selection lost a rank")
+        windows = new_windows
+    return result, stats
+
+
+def _lit(value, integral):
+    return F.lit(value).cast("long" if integral else "double")
+
+
+def _bucket_pass(base: DataFrame, vnames, gnames, integral, wlist: list[_Window], bins: int):
+    """One scan: ``{window_id: [(count, min, max), ...]}``."""
+    by_col = defaultdict(list)
+    for wid, w in enumerate(wlist):
+        by_col[w.ci].append((wid, w))
+
+    case_cols, join_cols = [], []
+    data = base
+    for ci, items in by_col.items():
+        v = F.col(vnames[ci])
+        integ = integral[ci]
+        if len(items) <= MAX_CASE_WINDOWS or not gnames:
+            wid_expr = None
+            for wid, w in items:
+                cond = (v >= _lit(w.lo, integ)) & (v <= _lit(w.hi, integ))
+                for k, g in enumerate(gnames):
+                    cond = cond & (F.col(g) == F.lit(w.gkey[k]))
+                wid_expr = F.when(cond, F.lit(wid)) if wid_expr is None else wid_expr.when(cond, F.lit(wid))
+            wcol = f"__w{ci}"
+            data = data.withColumn(wcol, wid_expr)
+            case_cols.append((ci, wcol))
+        else:
+            join_cols.append((ci, items))
+
+    has_long = any(integral)
+
+    def params(w):
+        wide = integral[w.ci] and (int(w.hi) - int(w.lo)) >= 2 ** 62
+        width = float(w.hi) - float(w.lo) if (not integral[w.ci] or wide) else float(int(w.hi) - int(w.lo))
+        return w.lo, width, w.count <= bins, wide
+
+    def chain(wid, items, pick, cast):
+        expr = None
+        for k, w in items:
+            val = F.lit(pick(params(w))).cast(cast)
+            expr = F.when(wid == k, val) if expr is None else expr.when(wid == k, val)
+        return expr
+
+    def keyed(ci, v, wid, lo, width, exact, wide):
+        if integral[ci]:
+            diff = F.when(wide, v.cast("double") - lo.cast("double")).otherwise((v - lo).cast("double"))
+        else:
+            diff = v - lo
+        bucket = F.least(F.floor(diff / width * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
+        xv = v.cast("long" if has_long else "double")
+        return F.struct(wid.alias("wid"), F.when(~exact, bucket).alias("b"), F.when(exact, xv).alias("x"),
+                        xv.alias("v"))
+
+    parts = []
+    if case_cols:
+        any_hit = F.coalesce(*[F.col(wc) for _, wc in case_cols]) if len(case_cols) > 1 else F.col(case_cols[0][1])
+        hit = data.where(any_hit.isNotNull())
+        structs = []
+        for ci, wc in case_cols:
+            items = by_col[ci]
+            wid = F.col(wc)
+            vt = "long" if integral[ci] else "double"
+            structs.append(keyed(ci, F.col(vnames[ci]), wid, chain(wid, items, lambda p: p[0], vt),
+                                 chain(wid, items, lambda p: p[1], "double"),
+                                 chain(wid, items, lambda p: p[2], "boolean"),
+                                 chain(wid, items, lambda p: p[3], "boolean")))
+        parts.append(hit.select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(F.col("wid").isNotNull()))
+    for ci, items in join_cols:
+        rows = _join_windows(base, F.col(vnames[ci]), gnames, items, integral[ci], bins)
+        parts.append(rows.select(keyed(ci, F.col(vnames[ci]), F.col("__wid"), F.col("__lo"), F.col("__width"),
+                                       F.col("__exact"), F.col("__wide")).alias("s")).select("s.*"))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    agg = long.groupBy("wid", "b", "x").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"),
+                                            F.max("v").alias("mx"))
+    out = defaultdict(list)
+    casts = {wid: (int if integral[w.ci] else float) for wid, w in enumerate(wlist)}
+    for r in agg.collect():
+        wid = int(r["wid"])
+        cast = casts[wid]
+        out[wid].append((int(r["c"]), cast(r["mn"]), cast(r["mx"])))
+    return out
+
+
+def _join_windows(base, v, gnames, items, integ, bins):
+    """Window lookup for many groups: broadcast-join the windows on the group
+    key; a value matches at most one of its group's disjoint windows."""
+    spark = base.sparkSession
+    vt = T.LongType() if integ else T.DoubleType()
+    schema = T.StructType([base.schema[g] for g in gnames] + [
+        T.StructField("__wid", T.IntegerType()), T.StructField("__lo", vt), T.StructField("__hi", vt),
+        T.StructField("__width", T.DoubleType()), T.StructField("__exact", T.BooleanType()),
+        T.StructField("__wide", T.BooleanType())])
+    rows = []
+    for wid, w in items:
+        wide = integ and (int(w.hi) - int(w.lo)) >= 2 ** 62
+        width = float(w.hi) - float(w.lo) if (not integ or wide) else float(int(w.hi) - int(w.lo))
+        rows.append(tuple(w.gkey) + (wid, w.lo, w.hi, width, w.count <= bins, wide))
+    wdf = spark.createDataFrame(rows, schema)
+    if len(items) <= BROADCAST_WINDOWS:
+        wdf = F.broadcast(wdf)
+    return base.join(wdf, gnames).where((v >= F.col("__lo")) & (v <= F.col("__hi")))
+
+
+def interpolation_ranks(n: int, probs: Sequence[float]):
+    """The two ranks linear interpolation needs for each probability."""
+    ranks = []
+    for p in probs:
+        pos = p * (n - 1)
+        lo = int(math.floor(pos))
+        ranks.extend([lo, min(lo + 1, n - 1)])
+    return ranks
+
+
+def interpolate(values: dict, key, n: int, p: float):
+    """Linear interpolation between order statistics (pandas ``linear``)."""
+    pos = p * (n - 1)
+    lo = int(math.floor(pos))
+    hi = min(lo + 1, n - 1)
+    a, b = float(values[key + (lo,)]), float(values[key + (hi,)])
+    frac = pos - lo
+    if lo == hi or frac == 0.0:
+        return a
+    return a + (b - a) * frac
+
+
+def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                   group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS, method: str = "exact"):
+    """Exact (or approximate) quantiles of several columns, linear interpolation.
+
+    Returns a list of dicts ``{group cols..., 'column', 'n', 'q': [values]}``
+    with one entry per (group, column) that has at least one value; NULL
+    groups are skipped. ``method='approx'`` uses ``percentile_approx`` (a
+    bounded sketch, one pass).
+    """
+    group_cols = list(group_cols)
+    columns = list(columns)
+    if not columns:
+        return []
+    if method == "approx":
+        return _approx_table(df, columns, probs, group_cols)
+    src = df.select(*[F.col(_q(g)) for g in group_cols], *[F.col(_q(c)).cast("double").alias(c) for c in columns])
+    values, stats = select_ranks(src, columns, group_cols, lambda n: interpolation_ranks(n, probs), bins=bins)
+    out = []
+    for (ci, gkey), (n, _, _) in stats.items():
+        if n == 0:
+            continue
+        row = {k: gkey[i] for i, k in enumerate(group_cols)}
+        row["column"] = columns[ci]
+        row["n"] = n
+        row["q"] = [interpolate(values, (ci, gkey), n, p) for p in probs]
+        out.append(row)
+    order = {c: i for i, c in enumerate(columns)}
+    out.sort(key=lambda r: (tuple(str(r[k]) for k in group_cols), order[r["column"]]))
+    return out
+
+
+def _approx_table(df, columns, probs, group_cols):
+    exprs = []
+    for i, c in enumerate(columns):
+        x = F.col(_q(c)).cast("double")
+        exprs += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, list(probs), 10000).alias(f"q{i}")]
+    rows = df.groupBy(*[F.col(_q(g)) for g in group_cols]).agg(*exprs).collect()
+    out = []
+    for r in rows:
+        if any(r[k] is None for k in group_cols):
+            continue
+        for i, c in enumerate(columns):
+            if r[f"n{i}"]:
+                row = {k: r[k] for k in group_cols}
+                row.update(column=c, n=int(r[f"n{i}"]), q=[float(x) for x in r[f"q{i}"]])
+                out.append(row)
+    return out
