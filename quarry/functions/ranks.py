@@ -81,8 +81,8 @@ def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Seq
                  stats: dict | None = None):
     """Values at 0-based ranks (ascending, NULLs ignored) per (column, group).
 
-    ``ranks_for(n)`` lists the ranks wanted in a (column, group) of ``n``
-    values. Integral columns are handled as long (exact for 64-bit keys),
+    ``ranks_for(n)`` (or ``ranks_for(n, (column_index, group_key))``) lists
+    the ranks wanted in a (column, group) of ``n`` values. Integral columns are handled as long (exact for 64-bit keys),
     others as double. Returns ``({(column_index, group_key, rank): value},
     stats)``; NULL group keys are skipped.
     """
@@ -108,7 +108,8 @@ def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Seq
     for (ci, gkey), (n, lo, hi) in stats.items():
         if n == 0:
             continue
-        for r in sorted(set(int(x) for x in ranks_for(n))):
+        wanted = ranks_for(n, (ci, gkey)) if _takes_key(ranks_for) else ranks_for(n)
+        for r in sorted(set(int(x) for x in wanted)):
             if r < 0 or r >= n:
                 raise ValueError(f"rank {r} outside 0..{n - 1}")
             if lo == hi:
@@ -152,6 +153,14 @@ def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Seq
     return result, stats
 
 
+def _takes_key(fn) -> bool:
+    import inspect
+    try:
+        return len(inspect.signature(fn).parameters) >= 2
+    except (TypeError, ValueError):
+        return False
+
+
 def _lit(value, integral):
     return F.lit(value).cast("long" if integral else "double")
 
