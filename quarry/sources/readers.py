@@ -46,8 +46,8 @@ def _infer_casts(raw: DataFrame) -> dict[str, str]:
         x = qcol(c)
         present = x.isNotNull()
         checks += [
-            F.count_if(present & F.try_cast(x, "long").isNull()).alias(f"l{i}"),
-            F.count_if(present & F.try_cast(x, "double").isNull()).alias(f"d{i}"),
+            F.count_if(present & x.try_cast("long").isNull()).alias(f"l{i}"),
+            F.count_if(present & x.try_cast("double").isNull()).alias(f"d{i}"),
             F.count_if(present & ~F.lower(x).isin("true", "false")).alias(f"b{i}"),
             F.count(x).alias(f"n{i}"),
         ]
