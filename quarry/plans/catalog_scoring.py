@@ -1 +1,138 @@
-"""Registered queries."""
+"""Registered queries for scoring and the prediction log.
+
+Log rows derive from ``events``: ``event_type`` is the model version, ``props``
+the feature JSON, ``value`` the prediction and 1 / (1 + |value|) the
+confidence; ``ts`` is the log time.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from quarry.operators import checks, scoring
+from quarry.operators import metrics as mx
+from quarry.plans.catalog_metrics import REG_MODELS, _rank_sql, _reg_frame, _reg_metrics_sql
+from quarry.plans.catalog_models import regression_sides, classification_sides
+from quarry.plans.registry import query
+from quarry.plans.tables import LINEITEM_WITH_NULLS_SQL, lineitem_with_nulls, rounded, sql_rounded, table
+from quarry.session import ensure_checkpoint_dir, scratch_dir
+
+
+@query("B1_batch_score_regression")
+def b1_batch_score_regression(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+    train, test = regression_sides(spark, sf)
+    model = LinearRegression().fit(train)
+    out = scoring.score(test, model, "regression")
+    return rounded(out.select("l_orderkey", "l_linenumber", "prediction", "confidence_score"))
+
+
+@query("B1_batch_score_classification")
+def b1_batch_score_classification(spark, sf):
+    from pyspark.ml.classification import LogisticRegression
+    train, test, _ = classification_sides(spark, sf)
+    model = LogisticRegression(maxIter=100).fit(train)
+    out = scoring.score(test, model, "classification")
+    return rounded(out.select("l_orderkey", "l_linenumber", "prediction", "confidence_score"))
+
+
+@query("B2_required_features", f"""
+SELECT l_orderkey, l_linenumber, l_discount, l_tax,
+  concat_ws(',', CASE WHEN l_discount IS NULL THEN 'l_discount' END, CASE WHEN l_tax IS NULL THEN 'l_tax' END)
+    AS missing_features
+FROM ({LINEITEM_WITH_NULLS_SQL}) WHERE l_discount IS NULL OR l_tax IS NULL""")
+def b2_required_features(spark, sf):
+    li = lineitem_with_nulls(spark, sf).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    rep = checks.required_features(li, ["l_discount", "l_tax"])
+    return rep.withColumn("missing_features", F.array_join("missing_features", ","))
+
+
+@query("B3_features_by_name", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events""")
+def b3_features_by_name(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "props")
+    return scoring.features_by_name(ev, "props", ["k"]).select("event_id", "k")
+
+
+def _log_frame(spark, sf):
+    ev = table(spark, sf, "events")
+    scored = ev.withColumn("prediction", F.col("value")).withColumn(
+        "confidence_score", F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("value"))))
+    rows = scoring.log_rows(scored, F.col("event_type"), "formula", "regression", ["props"], id_col="event_id",
+                            at=F.col("ts"))
+    # the features are the props JSON itself
+    return rows.withColumn("input_features", F.get_json_object(F.col("input_features"), "$.props"))
+
+
+def _written_log(spark, sf):
+    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    path = scratch_dir(spark, "prediction-log")
+    scoring.append_log(_log_frame(spark, sf), path)
+    return scoring.read_log(spark, path)
+
+
+_LOG_SQL = """SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, event_type AS model_version,
+  'formula' AS model_name, 'regression' AS task_type, props AS input_features, value AS prediction,
+  1.0 / (1.0 + abs(value)) AS confidence_score, ts AS created_at, CAST(ts AS DATE) AS dt FROM events"""
+
+
+@query("B4_score_and_log", sql_rounded(_LOG_SQL, ["prediction", "confidence_score"]))
+def b4_score_and_log(spark, sf):
+    log = _written_log(spark, sf)
+    return rounded(log.select("id", "timestamp", "model_version", "model_name", "task_type", "input_features",
+                              "prediction", "confidence_score", "created_at", "dt"))
+
+
+@query("B5_recent_predictions", sql_rounded(f"""
+SELECT id, model_version, CAST(json_extract_string(input_features, '$.k') AS VARCHAR) AS k, confidence_score
+FROM ({_LOG_SQL}) ORDER BY created_at DESC, id DESC LIMIT 100""", ["confidence_score"]))
+def b5_recent_predictions(spark, sf):
+    log = _written_log(spark, sf)
+    r = scoring.recent(log, 100)
+    return rounded(r.select("id", "model_version", F.element_at("features", F.lit("k")).alias("k"),
+                            "confidence_score"))
+
+
+@query("A19_log_statistics", sql_rounded(f"""
+SELECT count(*) AS total_predictions, count(DISTINCT model_version) AS unique_models,
+  avg(confidence_score) AS avg_confidence, min(confidence_score) AS min_confidence,
+  max(confidence_score) AS max_confidence FROM ({_LOG_SQL})""", ["avg_confidence", "min_confidence",
+                                                                  "max_confidence"]))
+def a19_log_statistics(spark, sf):
+    return rounded(scoring.log_statistics(_written_log(spark, sf)))
+
+
+@query("S9_log_partitions", f"""
+SELECT dt, count(*) AS n FROM ({_LOG_SQL}) GROUP BY dt""")
+def s9_log_partitions(spark, sf):
+    log = _written_log(spark, sf)
+    return log.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _models_table(spark, sf):
+    ranked = mx.rank_models(mx.regression_metrics(_reg_frame(spark, sf), by=["seq", "model_name"]), "r2")
+    return ranked.select((F.col("seq") + 1).alias("version"), F.col("model_name").alias("name"),
+                         F.when(F.col("rank") == 1, "Production").otherwise("Staging").alias("stage"))
+
+
+@query("B6_production_model", f"""
+SELECT seq + 1 AS version, model_name AS name, 'Production' AS stage
+FROM ({_rank_sql(_reg_metrics_sql(), "r2", True)}) WHERE rank = 1 ORDER BY version LIMIT 1""")
+def b6_production_model(spark, sf):
+    return scoring.production_model(_models_table(spark, sf))
+
+
+def _b7_sql():
+    preds = ", ".join(f"round({s}, 4) AS {n}_prediction" for n, _, s in REG_MODELS)
+    return f"""SELECT l_orderkey, l_linenumber, l_extendedprice AS actual, {preds}
+FROM lineitem WHERE l_orderkey % 5 = 0"""
+
+
+@query("B7_prediction_comparison", sql_rounded(_b7_sql(), ["actual"] + [f"{n}_prediction" for n, _, _ in REG_MODELS]))
+def b7_prediction_comparison(spark, sf):
+    li = table(spark, sf, "lineitem").where(F.col("l_orderkey") % 5 == 0).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    preds = [(n, (lambda e: (lambda frame: e))(e)) for n, e, _ in REG_MODELS]
+    return rounded(scoring.prediction_comparison(li, ["l_orderkey", "l_linenumber"], "l_extendedprice", preds))
