@@ -9,6 +9,7 @@ come from ``quarry.operators.metrics`` as aggregates over the prediction frame.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -97,15 +98,30 @@ def evaluate(pred: DataFrame, task: str, label: str = "label", prediction: str =
     return {k: float(row[k]) for k in ("r2", "mae", "rmse")}
 
 
+def training_input(df: DataFrame) -> DataFrame:
+    """Iterative learners scan their input many times: spread it over at least
+    the cluster's default parallelism and persist it (memory, spilling to
+    disk). On large inputs the partition count is already higher and only the
+    persist applies."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train_and_score(train: DataFrame, test: DataFrame, models: dict, task: str, label: str = "label"):
     """M6: fit each model on train, predict test, compute metrics.
 
     Returns ``[(seq, name, fitted_model, metrics)]`` in registry order.
     """
     out = []
-    for seq, (name, est) in enumerate(models.items()):
-        fitted = est.fit(train)
-        out.append((seq, name, fitted, evaluate(fitted.transform(test), task, label)))
+    data = training_input(train)
+    try:
+        for seq, (name, est) in enumerate(models.items()):
+            fitted = est.fit(data)
+            out.append((seq, name, fitted, evaluate(fitted.transform(test), task, label)))
+    finally:
+        data.unpersist()
     return out
 
 
@@ -181,7 +197,11 @@ def random_search(train: DataFrame, name: str, est, task: str, metric: str, n_it
         raise ModelError(f"No search space configured for model '{name}'")
     cands = sample_candidates(space, n_iter, seed)
     if not cands:
-        return est.fit(train), {}, None
+        data = training_input(train)
+        try:
+            return est.fit(data), {}, None
+        finally:
+            data.unpersist()
     n = train.count()
     maps = [_translate(name, c, est, n) for c in cands]
     grid = ParamGridBuilder().build() if not maps else maps
@@ -190,7 +210,11 @@ def random_search(train: DataFrame, name: str, est, task: str, metric: str, n_it
     ev = evaluator(task, metric, label)
     cvr = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="__fold", numFolds=cv,
                          parallelism=parallelism, seed=seed)
-    model = cvr.fit(folded)
+    folded = training_input(folded)
+    try:
+        model = cvr.fit(folded)
+    finally:
+        folded.unpersist()
     scores = list(model.avgMetrics)
     best = int(np.argmax(scores) if ev.isLargerBetter() else np.argmin(scores))
     return model.bestModel, cands[best], float(scores[best])
