@@ -1,0 +1,50 @@
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from quarry.functions.exprs import nan_to_null
+from quarry.functions.ranks import quantile_table, select_ranks
+
+
+def test_exact_quantiles_match_pandas_with_groups_nulls_and_ties(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 3000, p=[.6, .3, .1]),
+                        "x": np.round(rng.lognormal(0, 2, 3000), 2),
+                        "y": rng.integers(0, 4, 3000).astype(float)})
+    pdf.loc[::5, "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", nan_to_null("x"))
+    res = quantile_table(df, ["x", "y"], [0.25, 0.5, 0.75], group_cols=["g"], bins=16)
+    assert len(res) == 6
+    for r in res:
+        s = pdf[pdf.g == r["g"]][r["column"]].dropna()
+        assert r["n"] == len(s)
+        np.testing.assert_allclose(r["q"], [s.quantile(p) for p in (.25, .5, .75)], rtol=1e-12)
+
+
+def test_interpolation_example_from_survey(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "x double")
+    (r,) = quantile_table(df, ["x"], [0.25, 0.5, 0.75])
+    assert r["q"] == [1.75, 3.0, 5.5]
+
+
+def test_constant_and_single_value_and_all_null(spark):
+    df = spark.createDataFrame([(5.0, None, 1.0), (5.0, None, None)], "a double, b double, c double")
+    res = {r["column"]: r for r in quantile_table(df, ["a", "b", "c"], [0.5])}
+    assert res["a"]["q"] == [5.0]
+    assert "b" not in res
+    assert res["c"]["q"] == [1.0]
+
+
+def test_long_hash_ranks_exact(spark):
+    h = spark.range(0, 20000).select(F.xxhash64("id").alias("h"))
+    vals, _ = select_ranks(h, "h", [], lambda n: [0, 777, n - 1], bins=64)
+    hp = np.sort(h.toPandas().h.values)
+    assert vals[(0, (), 0)] == hp[0]
+    assert vals[(0, (), 777)] == hp[777]
+    assert vals[(0, (), 19999)] == hp[-1]
+
+
+def test_approx_method_runs(spark):
+    df = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
+    (r,) = quantile_table(df, ["x"], [0.5], method="approx")
+    assert abs(r["q"][0] - 499.5) < 5
