@@ -13,16 +13,17 @@ from quarry.plans.registry import query
 from quarry.plans.tables import rounded, sql_rounded, table
 
 # (name, Spark expression, SQL expression) of the formula regressors on lineitem
+# (Spark expressions are built lazily: importing the catalog needs no session)
 REG_MODELS = [
-    ("qty_x1500", F.col("l_quantity") * 1500.0, "l_quantity * 1500.0"),
-    ("qty_x1000_plus", F.col("l_quantity") * 1000.0 + 5000.0, "l_quantity * 1000.0 + 5000.0"),
-    ("mean_only", F.lit(38000.0), "38000.0"),
+    ("qty_x1500", lambda: F.col("l_quantity") * 1500.0, "l_quantity * 1500.0"),
+    ("qty_x1000_plus", lambda: F.col("l_quantity") * 1000.0 + 5000.0, "l_quantity * 1000.0 + 5000.0"),
+    ("mean_only", lambda: F.lit(38000.0), "38000.0"),
 ]
 # class prediction by thresholds on l_tax
 CLS_MODELS = [
-    ("tax_cut", F.when(F.col("l_tax") < 0.03, "A").when(F.col("l_tax") < 0.06, "N").otherwise("R"),
+    ("tax_cut", lambda: F.when(F.col("l_tax") < 0.03, "A").when(F.col("l_tax") < 0.06, "N").otherwise("R"),
      "CASE WHEN l_tax < 0.03 THEN 'A' WHEN l_tax < 0.06 THEN 'N' ELSE 'R' END"),
-    ("always_r", F.lit("R"), "'R'"),
+    ("always_r", lambda: F.lit("R"), "'R'"),
 ]
 
 
@@ -31,7 +32,7 @@ def _reg_frame(spark, sf, where=None):
     if where is not None:
         li = li.where(where)
     parts = [li.select(F.lit(i).alias("seq"), F.lit(n).alias("model_name"), F.col("l_extendedprice").alias("y"),
-                       e.alias("prediction")) for i, (n, e, _) in enumerate(REG_MODELS)]
+                       e().alias("prediction")) for i, (n, e, _) in enumerate(REG_MODELS)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -61,7 +62,7 @@ def m10_regression_metrics(spark, sf):
 def _cls_frame(spark, sf):
     li = table(spark, sf, "lineitem")
     parts = [li.select(F.lit(i).alias("seq"), F.lit(n).alias("model_name"), F.col("l_returnflag").alias("y"),
-                       e.alias("prediction")) for i, (n, e, _) in enumerate(CLS_MODELS)]
+                       e().alias("prediction")) for i, (n, e, _) in enumerate(CLS_MODELS)]
     return parts[0].unionByName(parts[1])
 
 

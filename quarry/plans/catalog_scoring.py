@@ -134,5 +134,5 @@ FROM lineitem WHERE l_orderkey % 5 = 0"""
 def b7_prediction_comparison(spark, sf):
     li = table(spark, sf, "lineitem").where(F.col("l_orderkey") % 5 == 0).select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    preds = [(n, (lambda e: (lambda frame: e))(e)) for n, e, _ in REG_MODELS]
+    preds = [(n, (lambda e: (lambda frame: e()))(e)) for n, e, _ in REG_MODELS]
     return rounded(scoring.prediction_comparison(li, ["l_orderkey", "l_linenumber"], "l_extendedprice", preds))
