@@ -136,3 +136,27 @@ def b7_prediction_comparison(spark, sf):
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     preds = [(n, (lambda e: (lambda frame: e()))(e)) for n, e, _ in REG_MODELS]
     return rounded(scoring.prediction_comparison(li, ["l_orderkey", "l_linenumber"], "l_extendedprice", preds))
+
+
+@query("B4_stream_score_and_log", sql_rounded(_LOG_SQL, ["prediction", "confidence_score"]))
+def b4_stream_score_and_log(spark, sf):
+    """B4 through Structured Streaming: the events table is the request stream."""
+    from quarry.streaming.scoring_stream import run_scoring_stream
+    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    schema = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").schema
+    # a glob that matches the one file: the file source watches its folder
+    src = f"{sf.rstrip('/')}/events.parque[t]"
+    log_path = scratch_dir(spark, "stream-log")
+
+    def prepare(s):
+        return (s.withColumn("prediction", F.col("value"))
+                .withColumn("confidence_score", F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("value")))))
+
+    q = run_scoring_stream(spark, src, schema, log_path, None, "regression", ["props"], F.col("event_type"),
+                           "formula", id_col="event_id", at=F.col("ts"),
+                           checkpoint=scratch_dir(spark, "stream-ckpt"), prepare=prepare)
+    q.awaitTermination()
+    log = scoring.read_log(spark, log_path).withColumn(
+        "input_features", F.get_json_object(F.col("input_features"), "$.props"))
+    return rounded(log.select("id", "timestamp", "model_version", "model_name", "task_type", "input_features",
+                              "prediction", "confidence_score", "created_at", "dt"))
