@@ -288,13 +288,15 @@ def interpolate(values: dict, key, n: int, p: float):
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                   group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS, method: str = "exact"):
+                   group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS, method: str = "exact",
+                   stats: dict | None = None):
     """Exact (or approximate) quantiles of several columns, linear interpolation.
 
     Returns a list of dicts ``{group cols..., 'column', 'n', 'q': [values]}``
     with one entry per (group, column) that has at least one value; NULL
     groups are skipped. ``method='approx'`` uses ``percentile_approx`` (a
-    bounded sketch, one pass).
+    bounded sketch, one pass). ``stats`` may pass ``{(column_index, group):
+    (n, min, max)}`` already known from another aggregate.
     """
     group_cols = list(group_cols)
     columns = list(columns)
@@ -303,7 +305,8 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     if method == "approx":
         return _approx_table(df, columns, probs, group_cols)
     src = df.select(*[F.col(_q(g)) for g in group_cols], *[F.col(_q(c)).cast("double").alias(c) for c in columns])
-    values, stats = select_ranks(src, columns, group_cols, lambda n: interpolation_ranks(n, probs), bins=bins)
+    values, stats = select_ranks(src, columns, group_cols, lambda n: interpolation_ranks(n, probs), bins=bins,
+                                 stats=stats)
     out = []
     for (ci, gkey), (n, _, _) in stats.items():
         if n == 0:

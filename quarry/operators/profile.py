@@ -92,15 +92,37 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A3, A6, A7
 
+# columns per one-row moments aggregate: count, avg, stddev, min, max, the
+# skewness and kurtosis buffers and the constant guard are about 22 buffer
+# fields per column, so 4 columns stay under spark.sql.codegen.maxFields (100)
+_MOMENT_COLS_PER_AGG = 4
+
+
 def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, max, population skewness and excess kurtosis."""
+    """count, mean, sample std, min, max, population skewness and excess kurtosis.
+
+    One-row aggregates over chunks of 4 columns (whole-stage codegen, no
+    grouping hash map), unpivoted to one row per column.
+    """
     cols = qt.eda_numeric(df) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], _MOMENT_SCHEMA)
-    x = F.col("x")
-    return long_values(df, cols).groupBy("position", "column_name").agg(
-        F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"))
+    out = None
+    for start in range(0, len(cols), _MOMENT_COLS_PER_AGG):
+        exprs, structs = [], []
+        for i in range(start, min(start + _MOMENT_COLS_PER_AGG, len(cols))):
+            x = qcol(cols[i]).cast("double")
+            exprs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), skewness(x).alias(f"sk{i}"),
+                      kurtosis(x).alias(f"ku{i}")]
+            structs.append(F.struct(
+                F.lit(i).alias("position"), F.lit(cols[i]).alias("column_name"),
+                F.col(f"n{i}").cast("long").alias("count"), F.col(f"m{i}").alias("mean"),
+                F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
+                F.col(f"sk{i}").alias("skewness"), F.col(f"ku{i}").alias("kurtosis")))
+        part = _unpivot_structs(df.agg(*exprs), structs)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _MOMENT_SCHEMA = T.StructType([
@@ -114,21 +136,35 @@ _QUART_SCHEMA = T.StructType([T.StructField("column_name", T.StringType()), T.St
                               T.StructField("median", T.DoubleType()), T.StructField("q75", T.DoubleType())])
 
 
-def quartiles(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
+def quartiles(df: DataFrame, cols: list[str] | None = None, method: str = "exact", stats=None) -> DataFrame:
     """Q1, median, Q3 per column (linear interpolation), exact by default."""
     cols = qt.eda_numeric(df) if cols is None else cols
-    rows = [(r["column"], *r["q"]) for r in quantile_table(df, cols, [0.25, 0.5, 0.75], method=method)]
+    rows = [(r["column"], *r["q"]) for r in quantile_table(df, cols, [0.25, 0.5, 0.75], method=method,
+                                                           stats=stats)]
     return df.sparkSession.createDataFrame(rows, _QUART_SCHEMA)
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
-    """A3: per numeric column with at least one value."""
+    """A3: per numeric column with at least one value.
+
+    The moments pass is collected first (one row per column) and its count,
+    min and max seed the exact quartile selection, so no extra scan is needed
+    for them.
+    """
     cols = qt.eda_numeric(df) if cols is None else cols
-    m = moments(df, cols).where(F.col("count") > 0)
-    q = quartiles(df, cols, method)
-    return (m.join(F.broadcast(q), "column_name", "left")
-            .select("position", "column_name", "count", "mean", "median", "std", "min", "q25", "q75", "max",
-                    "skewness", "kurtosis"))
+    m_rows = moments(df, cols).collect()
+    stats = {(r["position"], ()): (r["count"], r["min"], r["max"]) for r in m_rows}
+    q = {r[0]: r[1:] for r in quartiles(df, cols, method, stats=stats).collect()}
+    out = []
+    for r in sorted(m_rows, key=lambda x: x["position"]):
+        if r["count"] == 0:
+            continue
+        q25, med, q75 = q.get(r["column_name"], (None, None, None))
+        out.append((r["position"], r["column_name"], r["count"], r["mean"], med, r["std"], r["min"], q25, q75,
+                    r["max"], r["skewness"], r["kurtosis"]))
+    return df.sparkSession.createDataFrame(
+        out, "position int, column_name string, count long, mean double, median double, std double, min double, "
+             "q25 double, q75 double, max double, skewness double, kurtosis double")
 
 
 def outliers(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
@@ -182,38 +218,56 @@ def skewed_columns(df: DataFrame, cols: list[str] | None = None, threshold: floa
 
 # ---------------------------------------------------------------- A5, A8, A18
 
-# pairs per aggregate: covar_pop and two stddev_pop carry 10 buffer fields per
-# pair, so 9 pairs stay under spark.sql.codegen.maxFields (100) and the
-# aggregate keeps whole-stage codegen
-_PAIRS_PER_AGG = 9
+# pairs per one-row aggregate: five sums and one count per pair, so 15 pairs
+# stay under spark.sql.codegen.maxFields (100)
+_PAIRS_PER_AGG = 15
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A5: Pearson with pairwise deletion; all ordered pairs including the diagonal.
 
-    Needs at least two numeric columns (otherwise an empty frame). The pairs
-    are split into chunks of one-row aggregates (each a columnar scan of the
-    chunk's columns with partial aggregation); the chunks are unioned and
-    unpivoted to ``(i, j, feature_1, feature_2, correlation)``.
+    Needs at least two numeric columns (otherwise an empty frame). One cheap
+    pass takes each column's mean; each pair then needs only plain sums of the
+    shifted values over rows where both are present (n, sum a, sum b, sum a^2,
+    sum b^2, sum ab). Shifting by the mean keeps the sums well conditioned;
+    sums are the cheapest aggregate buffers, and the pairs are chunked so each
+    aggregate keeps whole-stage codegen. r is NULL when either side is
+    constant over the shared rows.
     """
     cols = qt.eda_numeric(df) if cols is None else list(cols)
     spark = df.sparkSession
     schema = "i int, j int, feature_1 string, feature_2 string, correlation double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
+    mrow = df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    shift = [float(mrow[f"m{i}"]) if mrow[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    xs = [qcol(c).cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    out = None
+    rows = []
     for start in range(0, len(pairs), _PAIRS_PER_AGG):
         chunk = pairs[start:start + _PAIRS_PER_AGG]
-        agg = df.agg(*[safe_corr(qcol(cols[i]), qcol(cols[j])).alias(f"r{i}_{j}") for i, j in chunk])
-        structs = []
+        exprs = []
         for i, j in chunk:
-            for a, b in sorted({(i, j), (j, i)}):
-                structs.append(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(cols[a]).alias("feature_1"),
-                                        F.lit(cols[b]).alias("feature_2"), F.col(f"r{i}_{j}").alias("correlation")))
-        part = _unpivot_structs(agg, structs)
-        out = part if out is None else out.unionByName(part)
-    return out
+            both = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
+            a, b = F.when(both, xs[i]), F.when(both, xs[j])
+            exprs += [F.count(a).alias(f"n_{i}_{j}"), F.sum(a).alias(f"a_{i}_{j}"), F.sum(b).alias(f"b_{i}_{j}"),
+                      F.sum(a * a).alias(f"aa_{i}_{j}"), F.sum(b * b).alias(f"bb_{i}_{j}"),
+                      F.sum(a * b).alias(f"ab_{i}_{j}")]
+        r = df.agg(*exprs).collect()[0]
+        for i, j in chunk:
+            n = r[f"n_{i}_{j}"]
+            corr = None
+            if n:
+                sa, sb = r[f"a_{i}_{j}"], r[f"b_{i}_{j}"]
+                vaa = r[f"aa_{i}_{j}"] / n - (sa / n) ** 2
+                vbb = r[f"bb_{i}_{j}"] / n - (sb / n) ** 2
+                cab = r[f"ab_{i}_{j}"] / n - (sa / n) * (sb / n)
+                if vaa > 0 and vbb > 0:
+                    corr = cab / (vaa ** 0.5 * vbb ** 0.5)
+            rows.append((i, j, cols[i], cols[j], corr))
+            if i != j:
+                rows.append((j, i, cols[j], cols[i], corr))
+    return spark.createDataFrame(rows, schema)
 
 
 def strong_correlations(df: DataFrame, cols: list[str] | None = None, threshold: float = STRONG_CORR) -> DataFrame:
