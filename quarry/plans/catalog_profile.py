@@ -462,3 +462,40 @@ SELECT CAST(p_brand AS VARCHAR) AS value, count(*) AS count,
 FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand ORDER BY count DESC, value LIMIT 20""")
 def a17_bar(spark, sf):
     return plots.bar(table(spark, sf, "part"), "p_brand", top=20)
+
+
+# ---------------------------------------------------------------- S1, S3, S4
+
+S1_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+           "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query("S1_csv_scan", f"""
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
+FROM ({LINEITEM_WITH_NULLS_SQL})""")
+def s1_csv_scan(spark, sf):
+    """S3 then S1: lineitem (with NULLs) written as CSV by Spark, read back with
+    NA-token handling and one-pass type inference."""
+    import tempfile
+
+    from quarry.session import ensure_checkpoint_dir, scratch_dir
+    from quarry.sources import readers
+    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    path = scratch_dir(spark, "csv")
+    readers.write_table(lineitem_with_nulls(spark, sf).select(*S1_COLS), path, fmt="csv")
+    return readers.read_csv(spark, path)
+
+
+@query("S4_report_roundtrip", _a2_sql())
+def s4_report_roundtrip(spark, sf):
+    """A flat report frame (A2) written as JSON and read back with its schema."""
+    import tempfile
+
+    from quarry.session import ensure_checkpoint_dir, scratch_dir
+    from quarry.sources import readers
+    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    rep = rounded(profile.missing_values(lineitem_with_nulls(spark, sf).select(*LI_ALL)))
+    path = scratch_dir(spark, "report")
+    readers.write_report(rep, path)
+    return readers.read_report(spark, path, rep.schema)
