@@ -48,3 +48,20 @@ def test_approx_method_runs(spark):
     df = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
     (r,) = quantile_table(df, ["x"], [0.5], method="approx")
     assert abs(r["q"][0] - 499.5) < 5
+
+
+def test_many_groups_use_join_path(spark):
+    from quarry.functions import ranks
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 60, 6000), "x": rng.normal(size=6000).round(3)})
+    df = spark.createDataFrame(pdf)
+    old = ranks.MAX_CASE_WINDOWS
+    ranks.MAX_CASE_WINDOWS = 8          # force the broadcast-join lookup
+    try:
+        res = quantile_table(df, ["x"], [0.1, 0.5, 0.9], group_cols=["g"], bins=8)
+    finally:
+        ranks.MAX_CASE_WINDOWS = old
+    assert len(res) == 60
+    for r in res:
+        s = pdf[pdf.g == r["g"]]["x"]
+        np.testing.assert_allclose(r["q"], [s.quantile(p) for p in (.1, .5, .9)], rtol=1e-12)
