@@ -50,20 +50,32 @@ def features_by_name(df: DataFrame, features_json: str, names: list[str], types:
     return df.select("*", *[F.element_at(m, F.lit(n)).cast(types.get(n, "double")).alias(n) for n in names])
 
 
+def utc_iso(at: F.Column, zoned: bool) -> F.Column:
+    """ISO-8601 text of a UTC time as Python's ``isoformat`` writes it
+    (microseconds only when non-zero, ``+00:00``), whatever the session zone.
+    A zone-less timestamp is read as UTC wall-clock time."""
+    wall = F.to_utc_timestamp(at, F.current_timezone()) if zoned else at
+    whole = F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(wall, "SSSSSS")
+    return F.concat(whole, F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
+                    F.lit("+00:00"))
+
+
 def log_rows(scored: DataFrame, model_version: str | F.Column, model_name: str | F.Column, task: str,
              feature_cols: list[str], id_col: str | None = None, at: F.Column | None = None) -> DataFrame:
     """The 9 log columns; features as JSON of the named inputs."""
     at = F.current_timestamp() if at is None else at
+    zoned = isinstance(scored.select(at).schema[0].dataType, T.TimestampType)
     rid = qcol(id_col).cast("long") if id_col else F.monotonically_increasing_id()
     ver = model_version if isinstance(model_version, F.Column) else F.lit(model_version)
     name = model_name if isinstance(model_name, F.Column) else F.lit(model_name)
     return scored.select(
-        rid.alias("id"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+        rid.alias("id"), utc_iso(at, zoned).alias("timestamp"),
         ver.cast("string").alias("model_version"), name.cast("string").alias("model_name"),
         F.lit(task).alias("task_type"),
         F.to_json(F.struct(*[qcol(c) for c in feature_cols])).alias("input_features"),
         F.col("prediction").cast("double").alias("prediction"),
-        F.col("confidence_score").cast("double").alias("confidence_score"), at.cast("timestamp").alias("created_at"))
+        F.col("confidence_score").cast("double").alias("confidence_score"), at.alias("created_at"))
 
 
 def append_log(rows: DataFrame, path: str) -> str:

@@ -73,7 +73,10 @@ def _written_log(spark, sf):
     return scoring.read_log(spark, path)
 
 
-_LOG_SQL = """SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, event_type AS model_version,
+_LOG_SQL = """SELECT event_id AS id,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END
+    || '+00:00' AS timestamp,
+  event_type AS model_version,
   'formula' AS model_name, 'regression' AS task_type, props AS input_features, value AS prediction,
   1.0 / (1.0 + abs(value)) AS confidence_score, ts AS created_at, CAST(ts AS DATE) AS dt FROM events"""
 

@@ -113,3 +113,18 @@ def test_alias_and_baseline_joins(spark):
     tuned = spark.createDataFrame([("lr",)], "model_name string")
     base = spark.createDataFrame([("lr", "f1", 0.7)], "model_name string, metric string, value double")
     assert runs.baseline_beside_tuned(tuned, base, "f1_weighted").collect()[0]["baseline_test_score"] == 0.7
+
+
+def test_log_timestamp_text_is_utc_in_any_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(1, 1.0, 1.0)], "id long, prediction double, confidence_score double")
+        at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))          # New York wall clock
+        row = scoring.log_rows(df, "v", "m", "regression", [], id_col="id", at=at).collect()[0]
+        assert row["timestamp"] == "2024-01-01T05:00:00+00:00"
+        ntz = F.lit("2024-01-01 00:00:00.25").cast("timestamp_ntz")  # zone-less: read as UTC
+        row = scoring.log_rows(df, "v", "m", "regression", [], id_col="id", at=ntz).collect()[0]
+        assert row["timestamp"] == "2024-01-01T00:00:00.250000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
