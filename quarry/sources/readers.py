@@ -23,6 +23,11 @@ NA_TOKENS = (
 )
 
 
+# What counts as integer and as floating-point text during inference.
+INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+FLOAT_TEXT = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
 class EmptyDataError(ValueError):
     pass
 
@@ -39,15 +44,21 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def _infer_casts(raw: DataFrame) -> dict[str, str]:
-    """One pass: the narrowest of long / double / boolean / string per column."""
+    """One pass: the narrowest of long / double / boolean / string per column.
+
+    A cast is only attempted on text that looks numeric, so the pass never
+    goes through the cast's failure path (an exception per value).
+    """
     checks = []
     names = raw.columns
     for i, c in enumerate(names):
         x = qcol(c)
         present = x.isNotNull()
+        as_long = F.when(x.rlike(INT_TEXT), F.trim(x).try_cast("long"))
+        as_double = F.when(x.rlike(FLOAT_TEXT), F.trim(x).try_cast("double"))
         checks += [
-            F.count_if(present & x.try_cast("long").isNull()).alias(f"l{i}"),
-            F.count_if(present & x.try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(present & as_long.isNull()).alias(f"l{i}"),
+            F.count_if(present & as_double.isNull()).alias(f"d{i}"),
             F.count_if(present & ~F.lower(x).isin("true", "false")).alias(f"b{i}"),
             F.count(x).alias(f"n{i}"),
         ]
@@ -86,7 +97,8 @@ def read_csv(spark: SparkSession, path: str, schema: dict[str, str] | T.StructTy
         casts = dict(schema)
     else:
         casts = _infer_casts(raw)
-    out = raw.select(*[qcol(c).cast(casts.get(c, "string")).alias(c) for c in raw.columns])
+    out = raw.select(*[(F.trim(qcol(c)) if casts.get(c, "string") in ("long", "double", "boolean") else qcol(c))
+                       .cast(casts.get(c, "string")).alias(c) for c in raw.columns])
     return normalize_missing(out)
 
 
