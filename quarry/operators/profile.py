@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import types as qt
-from quarry.functions.exprs import kurtosis, pct, qcol, safe_corr, skewness
+from quarry.functions.exprs import kurtosis, pct, qcol, skewness
 from quarry.functions.ranks import quantile_table
 
 # Thresholds, labels and messages of the insight and
@@ -27,17 +27,17 @@ OUTLIER_RECOMMEND_PCT = 5.0
 NEAR_CONSTANT_PCT = 1.0
 TOP_VALUES = 10
 PRIORITY_ORDER = ("high", "medium", "low")
-MSG_SKEW_ISSUE = "Skewed distribution ({direction} skew: {skew:.2f})"
+MSG_SKEW_ISSUE = "Skewed distribution (%s skew: %s)"      # direction, skewness with 2 decimals
 MSG_LOG = "Log transform"
 MSG_BOXCOX = "Box-Cox transform"
 MSG_SKEW_REASON = "Can improve model performance by normalizing distribution"
-MSG_OUTLIER_ISSUE = "Outliers detected ({pct:.1f}%)"
+MSG_OUTLIER_ISSUE = "Outliers detected (%s%%)"             # percentage with 1 decimal
 MSG_OUTLIER_REC = "Consider robust scaling or outlier removal"
 MSG_OUTLIER_REASON = "Outliers can negatively impact model training"
 MSG_CONST_ISSUE = "Constant or near-constant feature"
 MSG_CONST_REC = "Remove this feature"
 MSG_CONST_REASON = "Non-informative features don't contribute to predictions"
-MSG_CORR_ISSUE = "High correlation ({corr:.2f})"
+MSG_CORR_ISSUE = "High correlation (%s)"                   # correlation with 2 decimals
 MSG_CORR_REC = "Consider removing one or using dimensionality reduction"
 MSG_CORR_REASON = "Multicollinearity can reduce model interpretability"
 
@@ -324,16 +324,20 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int =
         pct(F.col("count"), F.lit(n_rows)).alias("pct"))
 
 
-def constant_columns(df: DataFrame, near_pct: float = NEAR_CONSTANT_PCT) -> DataFrame:
+def constant_columns(df: DataFrame, near_pct: float = NEAR_CONSTANT_PCT, method: str = "exact") -> DataFrame:
     """Distinct <= 1 is constant; distinct / rows < 1% is near-constant; all types.
 
     Several exact ``count(DISTINCT)`` in one ``agg`` are planned by Catalyst as
     one ``Expand`` (one row per column) and a two-level aggregation, so each
-    column's distinct values are deduplicated on the map side first.
+    column's distinct values are deduplicated on the map side first; memory
+    follows the number of distinct values. ``method="approx"`` uses
+    HyperLogLog++ (``approx_count_distinct``, fixed-size sketches, one pass),
+    which is exact for very small counts and within about 1% above them.
     """
     cols = df.columns
     n = F.count(F.lit(1))
-    agg = df.agg(n.alias("__n"), *[F.count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if method == "approx" else F.count_distinct
+    agg = df.agg(n.alias("__n"), *[distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
                         F.col(f"d{i}").cast("long").alias("unique_values"),
                         pct(F.col(f"d{i}"), F.col("__n")).alias("unique_pct")) for i, c in enumerate(cols)]
@@ -410,14 +414,13 @@ def recommendations(df: DataFrame, method: str = "exact") -> DataFrame:
     """
     sk = skewed_columns(df).select(
         F.lit(0).alias("rule"), F.col("position").alias("item"), F.col("column_name").alias("feature"),
-        F.format_string("Skewed distribution (%s skew: %s)", "direction", F.format_string("%.2f", "skewness")
-                        ).alias("issue"),
+        F.format_string(MSG_SKEW_ISSUE, "direction", F.format_string("%.2f", "skewness")).alias("issue"),
         F.when(F.col("direction") == "right", MSG_LOG).otherwise(MSG_BOXCOX).alias("recommendation"),
         F.when(F.col("severity") == "high", "high").otherwise("medium").alias("priority"),
         F.lit(MSG_SKEW_REASON).alias("reason"))
     ou = outliers(df, method=method).where(F.col("percentage") > F.lit(OUTLIER_RECOMMEND_PCT)).select(
         F.lit(1).alias("rule"), F.col("position").alias("item"), F.col("column_name").alias("feature"),
-        F.format_string("Outliers detected (%s%%)", F.format_string("%.1f", "percentage")).alias("issue"),
+        F.format_string(MSG_OUTLIER_ISSUE, F.format_string("%.1f", "percentage")).alias("issue"),
         F.lit(MSG_OUTLIER_REC).alias("recommendation"), F.lit("medium").alias("priority"),
         F.lit(MSG_OUTLIER_REASON).alias("reason"))
     co = constant_columns(df).select(
@@ -427,12 +430,12 @@ def recommendations(df: DataFrame, method: str = "exact") -> DataFrame:
     cr = strong_correlations(df, threshold=RECOMMEND_CORR).where(F.col("rank") <= RECOMMEND_CORR_TOP).select(
         F.lit(3).alias("rule"), F.col("rank").alias("item"),
         F.concat_ws(" & ", "feature_1", "feature_2").alias("feature"),
-        F.format_string("High correlation (%s)", F.format_string("%.2f", "correlation")).alias("issue"),
+        F.format_string(MSG_CORR_ISSUE, F.format_string("%.2f", "correlation")).alias("issue"),
         F.lit(MSG_CORR_REC).alias("recommendation"), F.lit("medium").alias("priority"),
         F.lit(MSG_CORR_REASON).alias("reason"))
     allr = sk.unionByName(ou).unionByName(co).unionByName(cr)
     from pyspark.sql import Window
-    prio = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    prio = F.array_position(F.array(*[F.lit(p) for p in PRIORITY_ORDER]), F.col("priority"))
     w = Window.orderBy(prio, F.col("rule"), F.col("item"))  # a handful of rows
     return allr.select(F.row_number().over(w).alias("rank"), "feature", "issue", "recommendation", "priority",
                        "reason")
