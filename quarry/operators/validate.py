@@ -181,19 +181,96 @@ def drift(train: DataFrame, test: DataFrame, target: str | None = None, threshol
 
 # ---------------------------------------------------------------- V6, V7
 
+def side_profile(df: DataFrame, numeric: list[str]) -> dict:
+    """One scan of one side: row count, and per column the NULL count, and for
+    drift-numeric columns the mean and sample std (long form, few buffers per
+    group, so the aggregate stays in codegen). Returns ``{column: dict}`` and
+    the row count under ``None``."""
+    cols = df.columns
+    num = set(numeric)
+    if not cols:
+        return {None: df.count()}
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), qcol(c).isNull().alias("isnull"),
+                 (qcol(c).cast("double") if c in num else F.lit(None).cast("double")).alias("x"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    x = F.col("x")
+    rows = long.groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("isnull")).alias("nulls"), F.count(x).alias("k"),
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")).collect()
+    out = {cols[r["position"]]: r.asDict() for r in rows}
+    out[None] = rows[0]["n"] if rows else 0
+    return out
+
+
+def _score(tm, ts, em, es):
+    """The V5 score in plain floats; a missing std is skipped like ``greatest`` skips NULL."""
+    def big(*v):
+        return max(x for x in v if x is not None)
+    a = abs(tm - em) / big(abs(tm), abs(ts) if ts is not None else None, 1.0)
+    if ts is None or es is None:
+        return a
+    return max(a, abs(ts - es) / big(abs(em), abs(es), 1.0))
+
+
 def validate(train: DataFrame, test: DataFrame, target: str, expected_schema: dict | None = None,
              missing_threshold: float = MISSING_THRESHOLD, drift_threshold: float = DRIFT_THRESHOLD,
              imbalance_threshold: float = IMBALANCE_THRESHOLD) -> ValidationReport:
-    """V1-V6: run all checks; PASS when all are true."""
+    """V1-V6 with shared scans: one profile aggregate per side feeds the
+    integrity counts (V1), the missing rates (V3) and the drift statistics
+    (V5); the schema check (V2) reads no data; the target check (V4) is one
+    grouped count per side. PASS when all checks are true."""
+    spark = train.sparkSession
     rep = ValidationReport()
-    rep.checks["data_integrity"], rep.frames["data_integrity"] = integrity(train, test)
+    num_test = set(qt.drift_numeric(test))
+    drift_cols = [c for c in qt.drift_numeric(train) if c in num_test and c != target]
+    ptr = side_profile(train, [c for c in qt.drift_numeric(train)])
+    pte = side_profile(test, [c for c in qt.drift_numeric(test)])
+    n_train, n_test = ptr[None], pte[None]
+    # V1
+    if n_train == 0:
+        raise ValidationError("Train dataset is empty")
+    if n_test == 0:
+        raise ValidationError("Test dataset is empty")
+    a, b = set(train.columns), set(test.columns)
+    rep.checks["data_integrity"] = a == b
+    rep.frames["data_integrity"] = spark.createDataFrame(
+        [(a == b, n_train, len(train.columns), n_test, len(test.columns), ",".join(sorted(a ^ b)))],
+        "status boolean, train_rows long, train_columns int, test_rows long, test_columns int, "
+        "column_mismatch string")
+    # V2
     rep.checks["schema_validation"], rep.frames["schema_validation"] = schema_check(train, test, expected_schema)
-    rep.checks["missing_values"], rep.frames["missing_values"] = missing_rates(train, test, missing_threshold)
+    # V3: rates rounded half-even to 4 before the comparison
+    rows, flagged = [], []
+    for i, c in enumerate(train.columns):
+        tr = round(ptr[c]["nulls"] / n_train, 4)
+        te = round(pte[c]["nulls"] / n_test, 4) if c in pte else None
+        flag = tr > missing_threshold or (te is not None and te > missing_threshold)
+        rows.append((i, c, tr, te, flag))
+        flagged.append(flag)
+    rep.checks["missing_values"] = not any(flagged)
+    rep.frames["missing_values"] = spark.createDataFrame(
+        rows, "position int, column_name string, train_missing double, test_missing double, flagged boolean")
+    # V4
     ok, frame, warn = target_check(train, test, target, imbalance_threshold)
     rep.checks["target_column"], rep.frames["target_column"] = ok, frame
     if warn:
         rep.warnings.append(f"Severe class imbalance detected in target column '{target}'")
-    rep.checks["data_drift"], rep.frames["data_drift"] = drift(train, test, target, drift_threshold)
+    # V5
+    rows, drifted = [], []
+    for i, c in enumerate(drift_cols):
+        s_tr, s_te = ptr[c], pte[c]
+        tm = s_tr["mean"] if s_tr["k"] else 0.0
+        em = s_te["mean"] if s_te["k"] else 0.0
+        ts = (s_tr["std"] if s_tr["k"] else 0.0)
+        es = (s_te["std"] if s_te["k"] else 0.0)
+        score = _score(tm, ts, em, es)
+        rows.append((train.columns.index(c), c, tm, em, ts, es, score, score > drift_threshold))
+        drifted.append(score > drift_threshold)
+    rep.checks["data_drift"] = not any(drifted)
+    rep.frames["data_drift"] = spark.createDataFrame(
+        rows, "position int, column_name string, train_mean double, test_mean double, train_std double, "
+              "test_std double, drift_score double, drift_detected boolean")
     return rep
 
 

@@ -117,3 +117,22 @@ def test_folds_exact_sizes(spark):
     strat = split.assign_folds(df.select("id", (F.col("id") % 2).alias("y")), 3, strata=["y"])
     per = {(r[0], r[1]): r[2] for r in strat.groupBy("y", "fold").count().collect()}
     assert sorted(per.values()) == [16, 16, 17, 17, 17, 17]
+
+
+def test_shared_scan_validate_matches_standalone_checks(spark):
+    train, test = _sides(spark)
+    train = train.withColumn("x", F.when(F.col("k") == 0, None).otherwise(F.col("x")))
+    rep = validate.validate(train, test, "t", missing_threshold=0.2, drift_threshold=0.5)
+    ok3, f3 = validate.missing_rates(train, test, 0.2)
+    ok5, f5 = validate.drift(train, test, "t", 0.5)
+    key = lambda r: r["column_name"]
+    a = sorted(rep.frames["missing_values"].collect(), key=key)
+    b = sorted(f3.select("position", "column_name", "train_missing", "test_missing", "flagged").collect(), key=key)
+    assert [tuple(r) for r in a] == [tuple(r) for r in b] and rep.checks["missing_values"] == ok3
+    a = sorted(rep.frames["data_drift"].collect(), key=key)
+    b = sorted(f5.collect(), key=key)
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x["column_name"] == y["column_name"] and x["drift_detected"] == y["drift_detected"]
+        assert math.isclose(x["drift_score"], y["drift_score"], rel_tol=1e-12)
+    assert rep.checks["data_drift"] == ok5
