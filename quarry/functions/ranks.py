@@ -78,13 +78,15 @@ def column_stats(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[
 
 def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Sequence[str],
                  ranks_for: Callable[[int], Sequence[int]], bins: int = DEFAULT_BINS,
-                 stats: dict | None = None):
+                 stats: dict | None = None, below_out: dict | None = None):
     """Values at 0-based ranks (ascending, NULLs ignored) per (column, group).
 
     ``ranks_for(n)`` (or ``ranks_for(n, (column_index, group_key))``) lists
     the ranks wanted in a (column, group) of ``n`` values. Integral columns are handled as long (exact for 64-bit keys),
     others as double. Returns ``({(column_index, group_key, rank): value},
-    stats)``; NULL group keys are skipped.
+    stats)``; NULL group keys are skipped. When ``below_out`` is given it
+    receives, per resolved rank, the exact number of values strictly below the
+    value found (known from the bucket walk, no extra scan).
     """
     if isinstance(value_cols, str):
         value_cols = [value_cols]
@@ -114,6 +116,8 @@ def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Seq
                 raise ValueError(f"rank {r} outside 0..{n - 1}")
             if lo == hi:
                 result[(ci, gkey, r)] = lo
+                if below_out is not None:
+                    below_out[(ci, gkey, r)] = 0
                 continue
             w = windows.setdefault((ci, gkey, lo, hi), _Window(ci, gkey, lo, hi, 0, n))
             w.targets.append(r)
@@ -139,6 +143,9 @@ def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Seq
                     if local < cum + cnt:
                         if mn == mx:
                             result[(w.ci, w.gkey, r)] = mn
+                            if below_out is not None:
+                                # earlier buckets hold strictly smaller values
+                                below_out[(w.ci, w.gkey, r)] = w.below + cum
                         else:
                             key = (w.ci, w.gkey, mn, mx)
                             nw = new_windows.get(key)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol
-from quarry.functions.ranks import select_ranks
+from quarry.functions.ranks import column_stats, select_ranks
 
 SEED = 42
 
@@ -53,18 +53,29 @@ def test_count(n: int, test_size) -> int:
     raise SplitError("test_size must be either float or int")
 
 
-def _cut(df: DataFrame, quota: dict, strata: list[str], seed: int) -> DataFrame:
-    """Flag the ``quota[stratum]`` smallest hashes of each stratum: column ``__test``."""
+def _cut(df: DataFrame, quotas_for, strata: list[str], seed: int) -> DataFrame:
+    """Flag the ``quota`` smallest hashes of each stratum in column ``__test``.
+
+    ``quotas_for({stratum: n})`` returns ``{stratum: quota}``. One aggregate
+    gives the stratum sizes, the rank selection finds each stratum's cut value
+    and the exact count of hashes below it, so only the rows tied with the
+    cut (64-bit collisions, a handful) need a tie-break.
+    """
     h = "__h"
     keyed = df.withColumn(h, row_hash(df, seed, df.columns))
-    wanted = {k: q for k, q in quota.items() if q > 0}
+    stats = column_stats(keyed.select(*[qcol(s).alias(f"__g{k}") for k, s in enumerate(strata)], h),
+                         [h], [f"__g{k}" for k in range(len(strata))])
+    sizes = {g: n for (_, g), (n, _, _) in stats.items()}
+    wanted = {g: q for g, q in quotas_for(sizes).items() if q > 0}
 
     def ranks_for(n, key):
         q = wanted.get(key[1])
         return [q - 1] if q else []
 
-    values, _ = select_ranks(keyed, h, strata, ranks_for)
+    below: dict = {}
+    values, _ = select_ranks(keyed, h, strata, ranks_for, stats=stats, below_out=below)
     cuts = {g: values[(0, g, wanted[g] - 1)] for g in wanted}
+    need = {g: wanted[g] - below[(0, g, wanted[g] - 1)] for g in wanted}
     if not cuts:
         return keyed.withColumn("__test", F.lit(False)).drop(h)
 
@@ -78,27 +89,25 @@ def _cut(df: DataFrame, quota: dict, strata: list[str], seed: int) -> DataFrame:
         return expr
 
     cut_col = per_stratum(lambda g, v: F.lit(v).cast("long"))
-    below = F.col(h) < cut_col
+    below_cut = F.col(h) < cut_col
     tie = F.col(h) == cut_col
-    # count below the cut per stratum (one small aggregate) to know how many tied rows to take
-    below_counts = {tuple(r[s] for s in strata): r["c"] for r in
-                    keyed.where(below).groupBy(*[qcol(s) for s in strata]).agg(F.count(F.lit(1)).alias("c")).collect()}
-    need = {g: wanted[g] - below_counts.get(g, 0) for g in cuts}
-    tied = keyed.where(tie)
     w = Window.partitionBy(*[qcol(s) for s in strata]).orderBy(
         F.xxhash64(F.lit(seed + 1), *[qcol(c) for c in df.columns]), *[qcol(c) for c in df.columns])
     need_col = per_stratum(lambda g, v: F.lit(need[g]))
     # the tie set is a handful of rows (64-bit hash collisions), so this window is tiny
-    tied = tied.withColumn("__test", F.row_number().over(w) <= need_col)
-    rest = keyed.where(~tie | tie.isNull()).withColumn("__test", F.coalesce(below, F.lit(False)))
+    tied = keyed.where(tie).withColumn("__test", F.row_number().over(w) <= need_col)
+    rest = keyed.where(~tie | tie.isNull()).withColumn("__test", F.coalesce(below_cut, F.lit(False)))
     return rest.unionByName(tied).drop(h)
 
 
 def random_split(df: DataFrame, test_size=0.2, seed: int = SEED):
     """R2: (train, test) with exactly ``test_count(n, test_size)`` test rows."""
-    n = df.count()
-    k = test_count(n, test_size)
-    flagged = _cut(df.withColumn("__s", F.lit(0)), {(0,): k}, ["__s"], seed).drop("__s")
+    def quotas(sizes):
+        n = sum(sizes.values())
+        if n == 0:
+            raise SplitError("Dataset is empty")
+        return {g: test_count(n, test_size) for g in sizes}
+    flagged = _cut(df.withColumn("__s", F.lit(0)), quotas, ["__s"], seed).drop("__s")
     return flagged.where(~F.col("__test")).drop("__test"), flagged.where(F.col("__test")).drop("__test")
 
 
@@ -117,7 +126,7 @@ def class_quotas(counts: dict, n_test: int) -> dict:
 def stratified_split(df: DataFrame, target: str, test_size=0.2, seed: int = SEED, task_type: str = "classification",
                      stratify: bool = True):
     """Per-class quotas; plain split when not classification, fewer than two
-    classes, or a class with fewer than two rows."""
+    classes, or a class with fewer than two rows (NULL counts as a class)."""
     if not stratify or task_type != "classification":
         return random_split(df, test_size, seed)
     counts = {r[0]: r[1] for r in df.groupBy(qcol(target)).count().collect()}
@@ -125,7 +134,7 @@ def stratified_split(df: DataFrame, target: str, test_size=0.2, seed: int = SEED
         return random_split(df, test_size, seed)
     n = sum(counts.values())
     quotas = class_quotas(counts, test_count(n, test_size))
-    flagged = _cut(df, {(c,): q for c, q in quotas.items()}, [target], seed)
+    flagged = _cut(df, lambda sizes: {(c,): q for c, q in quotas.items()}, [target], seed)
     return flagged.where(~F.col("__test")).drop("__test"), flagged.where(F.col("__test")).drop("__test")
 
 
