@@ -102,15 +102,18 @@ def evaluate(pred: DataFrame, task: str, label: str = "label", prediction: str =
     return {k: float(row[k]) for k in ("r2", "mae", "rmse")}
 
 
-def training_input(df: DataFrame) -> DataFrame:
-    """Iterative learners scan their input many times: spread it over at least
-    the cluster's default parallelism and persist it (memory, spilling to
-    disk). On large inputs the partition count is already higher and only the
-    persist applies."""
+def spread(df: DataFrame) -> DataFrame:
+    """At least the cluster's default parallelism of partitions (tree-ensemble
+    prediction is CPU-heavy per row); large inputs already have more and are
+    left alone."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def training_input(df: DataFrame) -> DataFrame:
+    """Iterative learners scan their input many times: spread it and persist it
+    (memory, spilling to disk)."""
+    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_and_score(train: DataFrame, test: DataFrame, models: dict, task: str, label: str = "label"):
@@ -120,10 +123,11 @@ def train_and_score(train: DataFrame, test: DataFrame, models: dict, task: str,
     """
     out = []
     data = training_input(train)
+    scored_on = spread(test)
     try:
         for seq, (name, est) in enumerate(models.items()):
             fitted = est.fit(data)
-            out.append((seq, name, fitted, evaluate(fitted.transform(test), task, label)))
+            out.append((seq, name, fitted, evaluate(fitted.transform(scored_on), task, label)))
     finally:
         data.unpersist()
     return out

@@ -35,7 +35,8 @@ def score(df: DataFrame, model, task: str, prediction: str = "prediction",
           probability: str = "probability") -> DataFrame:
     """B1: prediction per row; confidence 1.0 for regression, else the largest
     class probability (1.0 when the model has no probabilities)."""
-    out = model.transform(df)
+    from quarry.operators.models import spread
+    out = model.transform(spread(df))
     if task == "classification" and probability in out.columns:
         conf = F.array_max(vector_to_array(F.col(probability)))
     else:
