@@ -28,6 +28,9 @@ NUMERIC_STRATEGIES = ("mean", "median", "most_frequent")
 SCALERS = ("standard", "minmax", "none")
 MI_BINS = 10
 UNKNOWN_CODE = -1
+# above this many one-hot columns the vector is built by fitted ML stages
+# (sparse) instead of one projected column per category
+WIDE_ONE_HOT = 256
 
 
 class FeatureError(ValueError):
@@ -287,6 +290,7 @@ class Preprocessor:
     scale: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)
     names: list = field(default_factory=list)
+    encoder: object = None
 
     @classmethod
     def fit(cls, train: DataFrame, numerical, categorical, num_strategy="mean", cat_strategy="most_frequent",
@@ -298,7 +302,10 @@ class Preprocessor:
         filled = apply_fill(train.select(*[qcol(c) for c in numerical + categorical]), fills)
         scale = fit_scaler(filled, numerical, scaling)
         cats = fit_categories(filled, categorical)
-        return cls(list(numerical), list(categorical), fills, scale, cats, output_names(numerical, cats))
+        encoder = None
+        if sum(len(v) for v in cats.values()) > WIDE_ONE_HOT:
+            encoder = Pipeline(stages=one_hot_stages(list(categorical))).fit(filled.select(*categorical))
+        return cls(list(numerical), list(categorical), fills, scale, cats, output_names(numerical, cats), encoder)
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Named output columns (F14 order: numeric, then one-hot), plus ``keep`` columns last."""
@@ -312,8 +319,17 @@ class Preprocessor:
         return base.select(*[e.alias(n) for e, n in zip(exprs, self.names)], *[qcol(k) for k in keep])
 
     def assemble(self, df: DataFrame, keep: list[str] | None = None, out: str = "features") -> DataFrame:
-        t = self.transform(df, keep)
-        return VectorAssembler(inputCols=self.names, outputCol=out, handleInvalid="keep").transform(t)
+        """The ``features`` vector (numeric first, then one-hot), ``keep`` columns beside it."""
+        if self.encoder is None:
+            t = self.transform(df, keep)
+            return VectorAssembler(inputCols=self.names, outputCol=out, handleInvalid="keep").transform(t)
+        keep = [k for k in (keep or []) if k in df.columns]
+        base = apply_fill(df.select(*[qcol(c) for c in self.numerical + self.categorical + keep]), self.fills)
+        base = apply_scaler(base, self.scale)
+        enc = self.encoder.transform(base)
+        va = VectorAssembler(inputCols=self.numerical + [f"{c}__ohe" for c in self.categorical], outputCol=out,
+                             handleInvalid="keep")
+        return va.transform(enc).select(out, *[qcol(k) for k in keep])
 
 
 def ml_preprocessor(numerical: list[str], categorical: list[str]) -> Pipeline:

@@ -123,3 +123,19 @@ def test_threshold_sweep_first_best(spark):
     best = [r for r in sw if r["is_best"]][0]
     assert math.isclose(best["test_f1"], 6 / 7) and best["i"] == 0   # first of the tied best thresholds
     assert math.isclose(mx.SWEEP[0], 0.2) and math.isclose(mx.SWEEP[-1], 0.8)
+
+
+def test_wide_one_hot_uses_sparse_stages_with_same_layout(spark):
+    from pyspark.ml.functions import vector_to_array
+    rows = [(float(i % 7), f"c{i % 300:03d}") for i in range(900)]
+    train = spark.createDataFrame(rows, "x double, c string")
+    test = spark.createDataFrame([(1.0, "c005"), (2.0, "zzz")], "x double, c string")
+    pre = fx.Preprocessor.fit(train, ["x"], ["c"], scaling="none")
+    assert pre.encoder is not None and len(pre.names) == 301
+    vecs = [r[0] for r in pre.assemble(test).select(vector_to_array("features")).collect()]
+    assert vecs[0][0] == 1.0 and vecs[0][1 + 5] == 1.0 and sum(vecs[0]) == 2.0
+    assert vecs[1][0] == 2.0 and sum(vecs[1]) == 2.0          # unseen category: all zeros
+    narrow = fx.Preprocessor.fit(train.where("c < 'c010'"), ["x"], ["c"], scaling="none")
+    assert narrow.encoder is None
+    nv = [r[0] for r in narrow.assemble(test).select(vector_to_array("features")).collect()]
+    assert nv[0][0] == 1.0 and nv[0][1 + 5] == 1.0
