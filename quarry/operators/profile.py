@@ -167,10 +167,12 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, method: str =
              "q25 double, q75 double, max double, skewness double, kurtosis double")
 
 
-def outliers(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
+def outliers(df: DataFrame, cols: list[str] | None = None, method: str = "exact",
+             precomputed: dict | None = None) -> DataFrame:
     """IQR rule; strictly outside [Q1-1.5 IQR, Q3+1.5 IQR]; percent of non-null rows."""
     cols = qt.eda_numeric(df) if cols is None else cols
-    qrows = {r["column"]: r["q"] for r in quantile_table(df, cols, [0.25, 0.75], method=method)}
+    qrows = precomputed if precomputed is not None else {
+        r["column"]: r["q"] for r in quantile_table(df, cols, [0.25, 0.75], method=method)}
     if not qrows:
         return df.sparkSession.createDataFrame(
             [], "position int, column_name string, count long, percentage double, lower_bound double, "
@@ -384,58 +386,95 @@ def majority_share(df: DataFrame, target: str) -> float:
 
 # ---------------------------------------------------------------- A10, A11
 
+class Profile:
+    """The statistics behind A6-A11, computed once and shared.
+
+    Moments (one chunked one-row aggregate), exact quartiles seeded by the
+    moments' count/min/max, the correlation sums and the distinct counts are
+    each one small collected result (rows per column or per pair), so
+    insights and recommendations do not rescan the table per rule.
+    """
+
+    def __init__(self, df: DataFrame, method: str = "exact"):
+        self.spark = df.sparkSession
+        self.numeric = qt.eda_numeric(df)
+        self.moments = sorted(moments(df, self.numeric).collect(), key=lambda r: r["position"]) if self.numeric else []
+        stats = {(r["position"], ()): (r["count"], r["min"], r["max"]) for r in self.moments}
+        q = quantile_table(df, self.numeric, [0.25, 0.75], method=method, stats=stats) if self.numeric else []
+        self.quartiles = {r["column"]: r["q"] for r in q}
+        self.correlations = correlation_matrix(df, self.numeric).collect()
+        self.constants = constant_columns(df).collect()
+        self._outliers = None
+        self._df = df
+
+    def outlier_rows(self):
+        if self._outliers is None:
+            self._outliers = outliers(self._df, self.numeric, precomputed=self.quartiles).collect()
+        return self._outliers
+
+    def skew_rows(self, threshold: float = SKEW_THRESHOLD):
+        out = []
+        for r in self.moments:
+            sk = r["skewness"]
+            if r["count"] > 2 and sk is not None and abs(sk) > threshold:
+                out.append((r["position"], r["column_name"], sk, "right" if sk > 0 else "left",
+                            "moderate" if abs(sk) < SKEW_HIGH else "high"))
+        return out
+
+    def strong_rows(self, threshold: float = STRONG_CORR):
+        pairs = [r for r in self.correlations if r["i"] < r["j"] and r["correlation"] is not None
+                 and abs(r["correlation"]) >= threshold]
+        pairs.sort(key=lambda r: (-abs(r["correlation"]), r["i"], r["j"]))
+        return [(k + 1, r["feature_1"], r["feature_2"], r["correlation"],
+                 "positive" if r["correlation"] > 0 else "negative") for k, r in enumerate(pairs)]
+
+
 INSIGHT_SCHEMA = "kind string, position int, feature string, value double, detail string"
 
 
-def insights(df: DataFrame, method: str = "exact") -> DataFrame:
+def insights(df: DataFrame, method: str = "exact", profile: Profile | None = None) -> DataFrame:
     """A10: outliers, skewness, strong correlations and constant columns as long rows."""
-    o = outliers(df, method=method).select(
-        F.lit("outliers").alias("kind"), "position", F.col("column_name").alias("feature"),
-        F.col("percentage").alias("value"),
-        F.format_string("count=%d lower=%s upper=%s", "count", "lower_bound", "upper_bound").alias("detail"))
-    s = skewed_columns(df).select(
-        F.lit("skewness").alias("kind"), "position", F.col("column_name").alias("feature"),
-        F.col("skewness").alias("value"), F.concat_ws(",", "direction", "severity").alias("detail"))
-    c = strong_correlations(df).select(
-        F.lit("strong_correlation").alias("kind"), F.col("rank").alias("position"),
-        F.concat_ws(" & ", "feature_1", "feature_2").alias("feature"), F.col("correlation").alias("value"),
-        F.col("relationship").alias("detail"))
-    k = constant_columns(df).select(
-        F.lit("constant").alias("kind"), "position", F.col("column_name").alias("feature"),
-        F.col("unique_values").cast("double").alias("value"), F.col("type").alias("detail"))
-    return o.unionByName(s).unionByName(c).unionByName(k)
-
-
-def recommendations(df: DataFrame, method: str = "exact") -> DataFrame:
+    p = profile or Profile(df, method)
+    rows = [("outliers", r["position"], r["column_name"], r["percentage"], str(r["count"]))
+            for r in p.outlier_rows()]
+    rows += [("skewness", pos, col, sk, f"{d},{sev}") for pos, col, sk, d, sev in p.skew_rows()]
+    rows += [("strong_correlation", k, f"{a} & {b}", r, rel) for k, a, b, r, rel in p.strong_rows()]
+    rows += [("constant", r["position"], r["column_name"], float(r["unique_values"]), r["type"])
+             for r in p.constants]
+    return p.spark.createDataFrame(rows, INSIGHT_SCHEMA)
+
+
+def recommendations(df: DataFrame, method: str = "exact", profile: Profile | None = None) -> DataFrame:
     """Rule table over A6, A7, A9 and the top 5 pairs with |r| >= 0.85.
 
-    Order is stable: priority (high, medium, low), then rule, then the rule's own
-    order, as in the reference's stable sort of the concatenated lists.
+    Order is stable: priority (high, medium, low), then rule, then the rule's
+    own order, as in the reference's stable sort of the concatenated lists.
+    The texts are formatted by Spark (``format_string``) from the shared
+    profile's numbers.
     """
-    sk = skewed_columns(df).select(
-        F.lit(0).alias("rule"), F.col("position").alias("item"), F.col("column_name").alias("feature"),
-        F.format_string(MSG_SKEW_ISSUE, "direction", F.format_string("%.2f", "skewness")).alias("issue"),
-        F.when(F.col("direction") == "right", MSG_LOG).otherwise(MSG_BOXCOX).alias("recommendation"),
-        F.when(F.col("severity") == "high", "high").otherwise("medium").alias("priority"),
-        F.lit(MSG_SKEW_REASON).alias("reason"))
-    ou = outliers(df, method=method).where(F.col("percentage") > F.lit(OUTLIER_RECOMMEND_PCT)).select(
-        F.lit(1).alias("rule"), F.col("position").alias("item"), F.col("column_name").alias("feature"),
-        F.format_string(MSG_OUTLIER_ISSUE, F.format_string("%.1f", "percentage")).alias("issue"),
-        F.lit(MSG_OUTLIER_REC).alias("recommendation"), F.lit("medium").alias("priority"),
-        F.lit(MSG_OUTLIER_REASON).alias("reason"))
-    co = constant_columns(df).select(
-        F.lit(2).alias("rule"), F.col("position").alias("item"), F.col("column_name").alias("feature"),
-        F.lit(MSG_CONST_ISSUE).alias("issue"), F.lit(MSG_CONST_REC).alias("recommendation"),
-        F.lit("high").alias("priority"), F.lit(MSG_CONST_REASON).alias("reason"))
-    cr = strong_correlations(df, threshold=RECOMMEND_CORR).where(F.col("rank") <= RECOMMEND_CORR_TOP).select(
-        F.lit(3).alias("rule"), F.col("rank").alias("item"),
-        F.concat_ws(" & ", "feature_1", "feature_2").alias("feature"),
-        F.format_string(MSG_CORR_ISSUE, F.format_string("%.2f", "correlation")).alias("issue"),
-        F.lit(MSG_CORR_REC).alias("recommendation"), F.lit("medium").alias("priority"),
-        F.lit(MSG_CORR_REASON).alias("reason"))
-    allr = sk.unionByName(ou).unionByName(co).unionByName(cr)
+    p = profile or Profile(df, method)
+    rows = []
+    for pos, col, sk, d, sev in p.skew_rows():
+        rows.append((0, pos, col, "skew", d, sk, MSG_LOG if d == "right" else MSG_BOXCOX,
+                     "high" if sev == "high" else "medium", MSG_SKEW_REASON))
+    for r in p.outlier_rows():
+        if r["percentage"] > OUTLIER_RECOMMEND_PCT:
+            rows.append((1, r["position"], r["column_name"], "outlier", None, r["percentage"], MSG_OUTLIER_REC,
+                         "medium", MSG_OUTLIER_REASON))
+    for r in p.constants:
+        rows.append((2, r["position"], r["column_name"], "constant", None, None, MSG_CONST_REC, "high",
+                     MSG_CONST_REASON))
+    for k, a, b, corr, _ in p.strong_rows(RECOMMEND_CORR)[:RECOMMEND_CORR_TOP]:
+        rows.append((3, k, f"{a} & {b}", "corr", None, corr, MSG_CORR_REC, "medium", MSG_CORR_REASON))
+    base = p.spark.createDataFrame(rows, "rule int, item int, feature string, kind string, direction string, "
+                                         "value double, recommendation string, priority string, reason string")
+    issue = (F.when(F.col("kind") == "skew",
+                    F.format_string(MSG_SKEW_ISSUE, "direction", F.format_string("%.2f", "value")))
+             .when(F.col("kind") == "outlier", F.format_string(MSG_OUTLIER_ISSUE, F.format_string("%.1f", "value")))
+             .when(F.col("kind") == "constant", F.lit(MSG_CONST_ISSUE))
+             .otherwise(F.format_string(MSG_CORR_ISSUE, F.format_string("%.2f", "value"))))
     from pyspark.sql import Window
-    prio = F.array_position(F.array(*[F.lit(p) for p in PRIORITY_ORDER]), F.col("priority"))
+    prio = F.array_position(F.array(*[F.lit(x) for x in PRIORITY_ORDER]), F.col("priority"))
     w = Window.orderBy(prio, F.col("rule"), F.col("item"))  # a handful of rows
-    return allr.select(F.row_number().over(w).alias("rank"), "feature", "issue", "recommendation", "priority",
-                       "reason")
+    return base.select(F.row_number().over(w).alias("rank"), "feature", issue.alias("issue"), "recommendation",
+                       "priority", "reason")
