@@ -75,8 +75,14 @@ def box(df: DataFrame, x: str, group: str | None = None, method: str = "exact")
     stats = base.groupBy("grp").agg(F.count("__x").alias("count"), F.min("__x").alias("min"),
                                     F.max("__x").alias("max"), F.avg("__x").alias("mean"),
                                     F.stddev_samp("__x").alias("sd"))
-    q = quantile_table(base, ["__x"], [0.25, 0.5, 0.75], group_cols=["grp"], method=method)
     spark = df.sparkSession
+    if method == "exact":
+        # the per-group count/min/max above seed the rank selection (no extra scan)
+        srows = stats.select("grp", "count", "min", "max").collect()
+        seeded = {(0, (r["grp"],)): (r["count"], r["min"], r["max"]) for r in srows}
+        q = quantile_table(base, ["__x"], [0.25, 0.5, 0.75], group_cols=["grp"], method=method, stats=seeded)
+    else:
+        q = quantile_table(base, ["__x"], [0.25, 0.5, 0.75], group_cols=["grp"], method=method)
     gtype = base.schema["grp"].dataType.simpleString()
     qdf = spark.createDataFrame([(r["grp"], *r["q"]) for r in q],
                                 f"grp {gtype}, q1 double, median double, q3 double")
