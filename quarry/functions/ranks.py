@@ -311,7 +311,10 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
         return []
     if method == "approx":
         return _approx_table(df, columns, probs, group_cols)
-    src = df.select(*[F.col(_q(g)) for g in group_cols], *[F.col(_q(c)).cast("double").alias(c) for c in columns])
+    dbl = [F.col(_q(c)).cast("double") for c in columns]
+    # NaN is missing, as at load
+    src = df.select(*[F.col(_q(g)) for g in group_cols],
+                    *[F.when(F.isnan(x), F.lit(None)).otherwise(x).alias(c) for x, c in zip(dbl, columns)])
     values, stats = select_ranks(src, columns, group_cols, lambda n: interpolation_ranks(n, probs), bins=bins,
                                  stats=stats)
     out = []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import types as qt
-from quarry.functions.exprs import kurtosis, pct, qcol, skewness
+from quarry.functions.exprs import kurtosis, nan_to_null, pct, qcol, skewness
 from quarry.functions.ranks import quantile_table
 
 # Thresholds, labels and messages of the insight and
@@ -66,7 +66,13 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def long_values(df: DataFrame, cols: list[str], value=lambda c: qcol(c).cast("double")) -> DataFrame:
+def _num(c):
+    """A column as double with NaN treated as missing (loaders already do this; frames passed in
+    directly may not have)."""
+    return nan_to_null(qcol(c).cast("double"))
+
+
+def long_values(df: DataFrame, cols: list[str], value=_num) -> DataFrame:
     """Unpivot to ``(position, column_name, x)``.
 
     Per-column statistics are then one ``groupBy(position)`` with a few
@@ -83,7 +89,9 @@ def long_values(df: DataFrame, cols: list[str], value=lambda c: qcol(c).cast("do
 def missing_values(df: DataFrame) -> DataFrame:
     """A2: NULL count and percent of all rows, only columns with at least one."""
     cols = df.columns
-    long = long_values(df, cols, lambda c: qcol(c).isNull())
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    long = long_values(df, cols, lambda c: (qcol(c).isNull() | F.isnan(qcol(c))) if c in floating
+                       else qcol(c).isNull())
     agg = long.groupBy("position", "column_name").agg(
         F.count_if(F.col("x")).cast("long").alias("missing_count"), F.count(F.lit(1)).alias("__n"))
     return agg.select("position", "column_name", "missing_count",
@@ -111,7 +119,7 @@ def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for start in range(0, len(cols), _MOMENT_COLS_PER_AGG):
         exprs, structs = [], []
         for i in range(start, min(start + _MOMENT_COLS_PER_AGG, len(cols))):
-            x = qcol(cols[i]).cast("double")
+            x = _num(cols[i])
             exprs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                       F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), skewness(x).alias(f"sk{i}"),
                       kurtosis(x).alias(f"ku{i}")]
@@ -241,16 +249,16 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     schema = "i int, j int, feature_1 string, feature_2 string, correlation double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    mrow = df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    mrow = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
     shift = [float(mrow[f"m{i}"]) if mrow[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
-    xs = [qcol(c).cast("double") - F.lit(shift[i]) for i, c in enumerate(cols)]
+    xs = [_num(c) - F.lit(shift[i]) for i, c in enumerate(cols)]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     rows = []
     for start in range(0, len(pairs), _PAIRS_PER_AGG):
         chunk = pairs[start:start + _PAIRS_PER_AGG]
         exprs = []
         for i, j in chunk:
-            both = qcol(cols[i]).isNotNull() & qcol(cols[j]).isNotNull()
+            both = xs[i].isNotNull() & xs[j].isNotNull()
             a, b = F.when(both, xs[i]), F.when(both, xs[j])
             exprs += [F.count(a).alias(f"n_{i}_{j}"), F.sum(a).alias(f"a_{i}_{j}"), F.sum(b).alias(f"b_{i}_{j}"),
                       F.sum(a * a).alias(f"aa_{i}_{j}"), F.sum(b * b).alias(f"bb_{i}_{j}"),

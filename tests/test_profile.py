@@ -105,3 +105,11 @@ def test_heatmap_drops_unknown_and_raises(spark):
     assert profile.heatmap(df, ["x", "nope", "s", "y"]).count() == 4
     with pytest.raises(ValueError):
         profile.heatmap(df, ["x", "s"])
+
+
+def test_raw_frame_with_nan_is_handled_without_loader(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 4.0), (3.0, None), (5.0, 8.0)], "a double, b double")
+    rows = {r["column_name"]: r for r in profile.numeric_summary(df).collect()}
+    assert rows["a"]["count"] == 3 and rows["a"]["mean"] == 3.0 and rows["a"]["median"] == 3.0
+    m = {(r["feature_1"], r["feature_2"]): r["correlation"] for r in profile.correlation_matrix(df).collect()}
+    assert math.isclose(m[("a", "b")], 1.0)          # pairs (1,2) and (5,8) only
