@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import types as qt
-from quarry.functions.exprs import qcol
+from quarry.functions.exprs import nan_to_null, qcol
 from quarry.operators.profile import long_values
 
+
+def _missing(df: DataFrame):
+    """NULL, or NaN in a floating column, is missing (as in the reference's data model)."""
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return lambda c: (qcol(c).isNull() | F.isnan(qcol(c))) if c in floating else qcol(c).isNull()
+
 # Default thresholds of the checks.
 MISSING_THRESHOLD = 0.2
 DRIFT_THRESHOLD = 0.2
@@ -98,10 +104,10 @@ def missing_rates(train: DataFrame, test: DataFrame, threshold: float = MISSING_
     """V3: per train column, NULL rate of both sides rounded to 4 (half-even)
     before comparing ``>`` threshold."""
     cols = train.columns
-    tr = long_values(train, cols, lambda c: qcol(c).isNull()).groupBy("position", "column_name").agg(
+    tr = long_values(train, cols, _missing(train)).groupBy("position", "column_name").agg(
         F.bround(F.avg(F.col("x").cast("double")), 4).alias("train_missing"))
     test_cols = [c for c in cols if c in test.columns]
-    te = long_values(test, test_cols, lambda c: qcol(c).isNull()).groupBy("column_name").agg(
+    te = long_values(test, test_cols, _missing(test)).groupBy("column_name").agg(
         F.bround(F.avg(F.col("x").cast("double")), 4).alias("test_missing")) if test_cols else None
     frame = tr.join(te, "column_name", "left") if te is not None else tr.withColumn(
         "test_missing", F.lit(None).cast("double"))
@@ -190,9 +196,10 @@ def side_profile(df: DataFrame, numeric: list[str]) -> dict:
     num = set(numeric)
     if not cols:
         return {None: df.count()}
+    missing = _missing(df)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), qcol(c).isNull().alias("isnull"),
-                 (qcol(c).cast("double") if c in num else F.lit(None).cast("double")).alias("x"))
+        F.struct(F.lit(i).alias("position"), missing(c).alias("isnull"),
+                 (nan_to_null(qcol(c).cast("double")) if c in num else F.lit(None).cast("double")).alias("x"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
     x = F.col("x")
     rows = long.groupBy("position").agg(
