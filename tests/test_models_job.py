@@ -84,3 +84,11 @@ def test_full_job_classification(spark, tmpdir_path):
     assert res.task_type == "classification" and res.best_model == "logistic_regression"
     cmp = res.frames["comparison"].collect()
     assert {r["stage"] for r in cmp} == {"baseline", "tuned"}
+
+
+def test_one_vs_rest_search_params_reach_inner_learner(spark):
+    ovr = mdl.build_models("classification", n_classes=3)["gradient_boosting_classifier"]
+    pm = mdl._translate("gradient_boosting_classifier", {"n_estimators": 50, "max_depth": 5}, ovr, 100)
+    inner = pm[ovr.classifier]
+    assert inner.getMaxIter() == 50 and inner.getMaxDepth() == 5
+    assert ovr.copy(pm).getClassifier().getMaxIter() == 50
