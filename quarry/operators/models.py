@@ -160,9 +160,7 @@ def _translate(name: str, params: dict, est, n_rows: int):
             pm[target.regParam] = 1.0 / (float(v) * max(n_rows, 1))
         elif k == "max_iter":
             pm[target.maxIter] = int(v)
-    if isinstance(est, OneVsRest):
-        # OneVsRest ignores its inner learner's params: search over configured copies
-        return {est.classifier: target.copy(pm)}
+    # keyed by the inner learner's params: OneVsRest.copy(extra) passes them down
     return pm
 
 
