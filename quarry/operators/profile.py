@@ -321,17 +321,22 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int =
     if not cols:
         return spark.createDataFrame([], "position int, column_name string, unique_count long, rank int, value string, "
                                          "count long, pct double")
-    n_rows = df.count()
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), qcol(c).cast("string").alias("value"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*").where(F.col("value").isNotNull())
+        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    # one counting subplan (NULL values kept as their own group) feeds both the
+    # top values and the distinct count / row total, so the shuffle is reused
     counts = long.groupBy("position", "column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("value"))
-    top_rows = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    uniques = counts.groupBy("position").agg(F.count(F.lit(1)).alias("unique_count"))
-    return top_rows.join(uniques, "position").select(
+    # the NULL group sorts after every value and is dropped after the window, so
+    # the counting subplan stays identical in both branches
+    w = Window.partitionBy("position").orderBy(F.col("value").isNull(), F.col("count").desc(), F.col("value"))
+    top_rows = (counts.withColumn("rank", F.row_number().over(w))
+                .where((F.col("rank") <= top) & F.col("value").isNotNull()))
+    per_col = counts.groupBy("position").agg(F.count("value").alias("unique_count"),
+                                             F.sum("count").alias("__rows"))
+    return top_rows.join(per_col, "position").select(
         "position", "column_name", "unique_count", "rank", "value", "count",
-        pct(F.col("count"), F.lit(n_rows)).alias("pct"))
+        pct(F.col("count"), F.col("__rows")).alias("pct"))
 
 
 def constant_columns(df: DataFrame, near_pct: float = NEAR_CONSTANT_PCT, method: str = "exact") -> DataFrame:
