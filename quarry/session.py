@@ -64,10 +64,18 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; raises when none is configured."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A session whose driver and executors are one process (``local[...]``, as in
+    tests) gets a folder of its own when the setting is missing; on any cluster
+    a missing setting is an error, because executors share no local disk.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for intermediate tables")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for intermediate tables")
+        current = ensure_checkpoint_dir(spark, default=tempfile.mkdtemp(prefix="quarry-ckpt-"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
