@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import ngram_join
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, ngram_join
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -27,3 +30,16 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.
 @query("op2_ngram_jaccard", OP2_SQL)
 def op2_ngram_jaccard(spark, sf_dir):
     return ngram_join.jaccard_groups(load(spark, sf_dir, "documents"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark, sf_dir):
+    return token_digests(load(spark, sf_dir, "documents"))
+
+
+def token_digests(docs):
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes of every whole text."""
+    table = bpe.read_table(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(docs, table).withColumn("ids_sha256", F.sha2("ids", 256))
+    back = bpe.decode(ids, table, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
