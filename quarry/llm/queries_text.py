@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, ngram_join
+from quarry.llm import bpe, mixing, ngram_join
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -43,3 +43,14 @@ def token_digests(docs):
     ids = bpe.encode(docs, table).withColumn("ids_sha256", F.sha2("ids", 256))
     back = bpe.decode(ids, table, keep=("doc_id", "n_tokens", "ids_sha256"))
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP6_SQL = ("WITH " + mixing.mix_sql("documents")
+           + " SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed")
+
+
+@query("op6_fair_queue_mix", OP6_SQL)
+def op6_fair_queue_mix(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
