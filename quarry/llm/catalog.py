@@ -3,5 +3,5 @@ SQL can state them, their DuckDB twins."""
 
 from __future__ import annotations
 
-from quarry.llm import queries_text, queries_vectors  # noqa: F401
+from quarry.llm import queries_pages, queries_text, queries_vectors  # noqa: F401
 from quarry.llm.registry import ORACLES, QUERIES  # noqa: F401

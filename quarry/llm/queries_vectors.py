@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import pivot_search
+from quarry.llm import cap_join, pivot_search
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -23,3 +23,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op8_pivot_top_k(spark, sf_dir):
     rows = pivot_search.quantized(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return pivot_search.top_k(rows, rows.where(F.col("id") % 50 == 0), 5)
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op3_spherical_caps", OP3_SQL)
+def op3_spherical_caps(spark, sf_dir):
+    return cap_join.near_duplicates(load(spark, sf_dir, "embeddings"))
