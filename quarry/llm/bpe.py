@@ -10,6 +10,7 @@ again. Words and their ids are then put back in text order.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import slices
 
 #: Bytes of text whose words are encoded together, and words whose ids a task remembers; both only bound memory.
-STRETCH_BYTES = 8 << 20
-REMEMBERED_WORDS = 300_000
+STRETCH_BYTES = 2 << 20
+REMEMBERED_WORDS = 200_000
 
 NONE = np.int64(1 << 40)
 
@@ -124,6 +125,46 @@ def replay(words: list[bytes], table: MergeTable) -> list[bytes]:
     return [ids[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
 
+def _encoded(batches, text: str, table: MergeTable):
+    """(part of a batch, ids of each of its rows) of all batches."""
+    split = regex.compile(table.pattern).findall
+    whole = {t: np.uint32(i).tobytes() for i, t in enumerate(table.tokens) if t is not None}
+    known: dict[str, bytes] = {}
+    for batch in batches:
+        for part in slices(batch, text, STRETCH_BYTES):
+            rows = [split(t) if t else [] for t in part.column(text).to_pylist()]
+            fresh = list(set().union(*rows).difference(known))
+            raw = [w.encode() for w in fresh]
+            ids = [whole.get(w) for w in raw]
+            open_ = [i for i, x in enumerate(ids) if x is None]
+            if open_:
+                for i, x in zip(open_, replay([raw[i] for i in open_], table)):
+                    ids[i] = x
+            known.update(zip(fresh, ids))
+            find = known.__getitem__
+            yield part, [b"".join(map(find, r)) for r in rows]
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+
+
+def decoded(ids: bytes, table: MergeTable) -> bytes:
+    """The bytes that little-endian uint32 ids stand for."""
+    return b"".join(map(table.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _map(docs: DataFrame, table: MergeTable, column: str, keep: tuple[str, ...], added: str, work) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    out = docs.select(*keep, column)
+    schema = ", ".join(f"`{k}` {out.schema[k].dataType.simpleString()}" for k in keep) + f", {added}"
+
+    def run(batches):
+        for part, *columns in work(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *columns],
+                                             names=[*keep, *(a.split()[0] for a in added.split(", "))])
+
+    return out.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, table: MergeTable, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``, ``ids`` (little-endian uint32) of each whole text.
 
@@ -131,53 +172,29 @@ def encode(docs: DataFrame, table: MergeTable, text: str = "text", keep: tuple[s
     read or added. Each row stands alone: equal texts get equal ids, and the
     order and number of rows do not matter.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)
-    out = docs.select(*keep, text)
-    fields = [f for f in out.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, ids binary"
-
-    def run(batches):
-        table = shared.value
-        split = regex.compile(table.pattern).findall
-        whole = {t: np.uint32(i).tobytes() for i, t in enumerate(table.tokens) if t is not None}
-        known: dict[str, bytes] = {}
-        for batch in batches:
-            for part in slices(batch, text, STRETCH_BYTES):
-                rows = [split(t) if t else [] for t in part.column(text).to_pylist()]
-                fresh = list(set().union(*rows).difference(known))
-                raw = [w.encode() for w in fresh]
-                ids = [whole.get(w) for w in raw]
-                open_ = [i for i, x in enumerate(ids) if x is None]
-                if open_:
-                    for i, x in zip(open_, replay([raw[i] for i in open_], table)):
-                        ids[i] = x
-                known.update(zip(fresh, ids))
-                find = known.__getitem__
-                found = [b"".join(map(find, r)) for r in rows]
-                if len(known) > REMEMBERED_WORDS:
-                    known = {}
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keep), pa.array([len(x) // 4 for x in found], pa.int64()),
-                     pa.array(found, pa.binary())], names=[*keep, "n_tokens", "ids"])
+    def work(batches, table):
+        for part, ids in _encoded(batches, text, table):
+            yield part, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())
 
-    return out.mapInArrow(run, schema)
+    return _map(docs, table, text, keep, "n_tokens long, ids binary", work)
 
 
 def decode(encoded: DataFrame, table: MergeTable, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``decoded``, the bytes that the ids of each row stand for (NULL ids: none)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
-    out = encoded.select(*keep, "ids")
-    fields = [f for f in out.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", decoded binary"
-
-    def run(batches):
-        find = shared.value.tokens.__getitem__
+    def work(batches, table):
         for batch in batches:
             for part in slices(batch, "ids", STRETCH_BYTES):
-                text = [b"".join(map(find, np.frombuffer(x or b"", "<u4").tolist()))
-                        for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(text, pa.binary())],
-                                                 names=[*keep, "decoded"])
+                yield part, pa.array([decoded(x or b"", table) for x in part.column("ids").to_pylist()], pa.binary())
 
-    return out.mapInArrow(run, schema)
+    return _map(encoded, table, "ids", keep, "decoded binary", work)
+
+
+def digests(docs: DataFrame, table: MergeTable, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encode and decode in one pass, keeping counts and digests only: ``n_tokens, ids_sha256, decoded_sha256``."""
+    def work(batches, table):
+        for part, ids in _encoded(batches, text, table):
+            yield (part, pa.array([len(x) // 4 for x in ids], pa.int64()),
+                   pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                   pa.array([hashlib.sha256(decoded(x, table)).hexdigest() for x in ids]))
+
+    return _map(docs, table, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)

@@ -37,6 +37,9 @@ _U = np.uint64
 #: Counters of the frequency sketch: 4 MB whatever the input's size.
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
+#: Bits of a set's parity signature: the signatures of two sets differ in no more bits than the sets in elements.
+SIGNATURE_BITS = 256
+SIGNATURE_WORDS = range(SIGNATURE_BITS // 64)
 #: Bits of the row filter that spares whole texts a shuffle: 1 MB. When more rows are wanted than it can tell apart
 #: it lets every row pass and the join that follows decides alone.
 FILTER_BITS = 23
@@ -88,16 +91,18 @@ def leading_length(n: int, num: int, den: int) -> int:
 
 
 def incidence(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, lead): set size, a 128-bit key of the set, and its leading block."""
+    """(doc_id, n, k1, k2, sig, lead): set size, a 128-bit key of the set, its parity signature and leading block."""
     level = np.frompyfunc(int.bit_length, 1, 1)(frequency_sketch(docs, size)).astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def rows(batches):
         level = shared.value
         for ids, sets in _sets(batches, size):
-            n, k1, k2, lead = [], [], [], []
+            n, k1, k2, sig, lead = [], [], [], [], []
             for s in sets:
                 n.append(len(s))
+                bits = np.bincount((s >> _U(7)).astype(np.int64) & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
+                sig.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 with np.errstate(over="ignore"):
                     k1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
                     k2.append(int(mix(s ^ _U(0x5BF03635)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
@@ -106,9 +111,11 @@ def incidence(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 lead.append(s[np.argsort(key, kind="stable")[:p]].astype(np.int64))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()),
-                "k2": pa.array(k2, pa.int64()), "lead": pa.array(lead, pa.list_(pa.int64()))})
+                "k2": pa.array(k2, pa.int64()), "sig": pa.array(sig, pa.list_(pa.int64())),
+                "lead": pa.array(lead, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, lead array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        rows, "doc_id long, n long, k1 long, k2 long, sig array<long>, lead array<long>")
 
 
 def _row_filter(ids: DataFrame):
@@ -133,26 +140,32 @@ def overlaps(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
             h = batch.column("h").to_numpy()
             keep = (bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1)
             batch = batch.filter(pa.array(keep.astype(bool)))
-            if batch.num_rows:
-                for ids, sets in _sets([batch], size):
-                    yield pa.RecordBatch.from_pydict({"d": pa.array(ids, pa.int64()), "s": pa.array(
-                        [x.astype(np.int64) for x in sets], pa.list_(pa.int64()))})
+            for part in slices(batch, "text"):
+                packed = [zlib.compress(t.encode(), 1) if t else b"" for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"d": part.column("doc_id").cast(pa.int64()),
+                                                  "t": pa.array(packed, pa.binary())})
 
+    # packed whole texts are a fraction of the rows' n-grams, which both ends make anew
     whole = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h")).mapInArrow(
-        rows, "d long, s array<long>")
-    left = pairs.join(whole.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(whole.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
+        rows, "d long, t binary")
+    left = pairs.join(whole.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
+    both = left.join(whole.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
 
     def multiply(batches):
+        def sets(column):
+            texts = pa.array([zlib.decompress(x).decode() if x else "" for x in column.to_pylist()], pa.large_string())
+            words, first = word_hashes(texts)
+            return [shingle_set(words[first[i]:first[i + 1]], size) for i in range(len(texts))]
+
         for batch in batches:
-            sa, sb = batch.column("sa"), batch.column("sb")
-            common = [len(np.intersect1d(sa[i].values.to_numpy(), sb[i].values.to_numpy(), assume_unique=True))
-                      for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"),
-                                              "na": batch.column("na"), "nb": batch.column("nb"),
-                                              "common": pa.array(common, pa.int64())})
-
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                common = [len(np.intersect1d(x, y, assume_unique=True))
+                          for x, y in zip(sets(part.column("ta")), sets(part.column("tb")))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "na", "nb")),
+                                                  pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+
+    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(
         multiply, "a long, b long, na long, nb long, common long")
 
 
@@ -174,7 +187,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
     docs = docs.select("doc_id", "text")
     sets = written(incidence(docs, size, num, den), "sets")
     rows = written(sets.where("n > 0").groupBy("k1", "k2", "n").agg(
-        F.min("doc_id").alias("d"), F.min_by("lead", "doc_id").alias("lead")), "rows")
+        F.min("doc_id").alias("d"), F.min_by("lead", "doc_id").alias("lead"), F.min("sig").alias("sig")), "rows")
 
     # the leading block in coordinate form; columns with one entry multiply with nothing
     entries = rows.select("d", "n", F.posexplode("lead").alias("i", "s"))
@@ -186,21 +199,29 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
         F.max(F.struct("w", (-F.col("d")).alias("m"), F.col("n").alias("nb"))).alias("h"))
     near = (entries.join(hub.select("s", (-F.col("h.m")).alias("b"), F.col("h.nb").alias("nb")), "s")
             .where((F.col("d") != F.col("b")) & (F.least("n", "nb") * den >= F.greatest("n", "nb") * num))
+            .where(F.col("i") <= F.col("n") - F.ceil((F.col("n") + F.col("nb")) * num / (num + den)))
             .groupBy(F.col("d").alias("a"), "b", F.col("n").alias("na"), "nb").agg(F.count("*").alias("c"))
             .where(F.col("c") * den * 4 >= F.col("na") * (den - num)).select("a", "b", "na", "nb"))
     first = written(_linked(docs, near, size, num, den), "links")
     merged = written(components(first, "a", "b"), "merged")
 
     # step 2: the pairwise product of what is still apart
-    apart = (entries.join(merged.withColumnRenamed("node", "d"), "d", "left")
-             .withColumn("c", F.coalesce("component", "d")).select("s", "d", "n", "i", "c"))
+    about = rows.join(merged.withColumnRenamed("node", "d"), "d", "left").select(
+        "d", F.coalesce("component", "d").alias("c"), *(F.col("sig")[j].alias(f"g{j}") for j in SIGNATURE_WORDS))
+    apart = entries.select("s", "d", "n", "i").join(about, "d")
     mixed = apart.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
     apart = written(apart.join(mixed, "s"), "apart")
-    a = apart.select("s", F.col("d").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca"))
-    b = apart.select("s", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
+    a, b = (apart.select("s", F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"),
+                         F.col("c").alias(f"c{x}"), *(F.col(f"g{j}").alias(f"g{j}{x}") for j in SIGNATURE_WORDS))
+            for x in "ab")
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    # the overlap that two sizes ask for leaves a shorter leading block for the pair, and the least for the smaller set
+    a = a.where(F.col("ia") <= F.col("na") - F.ceil(2 * F.col("na") * num / (num + den)))
+    differ = sum(F.bit_count(F.col(f"g{j}a").bitwiseXOR(F.col(f"g{j}b"))) for j in SIGNATURE_WORDS)
     pairs = (a.join(b, "s").where("ca <> cb and (na < nb or na = nb and a < b)")
              .where(F.col("na") * den >= F.col("nb") * num)
+             .where((F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
+            .where(differ <= F.col("na") + F.col("nb") - 2 * need)
              .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
              .where(F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 >= need)
              .select("a", "b", "na", "nb"))

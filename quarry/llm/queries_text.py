@@ -40,9 +40,7 @@ def op7_byte_bpe(spark, sf_dir):
 def token_digests(docs):
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes of every whole text."""
     table = bpe.read_table(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = bpe.encode(docs, table).withColumn("ids_sha256", F.sha2("ids", 256))
-    back = bpe.decode(ids, table, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(docs, table)
 
 
 OP6_SQL = ("WITH " + mixing.mix_sql("documents")
