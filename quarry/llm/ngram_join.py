@@ -38,8 +38,9 @@ _U = np.uint64
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
 #: Bits of a set's parity signature: the signatures of two sets differ in no more bits than the sets in elements.
-SIGNATURE_BITS = 256
-SIGNATURE_WORDS = range(SIGNATURE_BITS // 64)
+#: Columns with many entries, as near copies make them, carry all of it; the others do with the leading words.
+SIGNATURE_BITS = 2048
+MANY_ENTRIES, MANY_WORDS, FEW_WORDS = 64, SIGNATURE_BITS // 64, 2
 #: Bits of the row filter that spares whole texts a shuffle: 1 MB. When more rows are wanted than it can tell apart
 #: it lets every row pass and the join that follows decides alone.
 FILTER_BITS = 23
@@ -174,6 +175,21 @@ def _linked(docs, pairs, size, num, den) -> DataFrame:
             .where(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b"))
 
 
+def _shared_columns(entries: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Product of the leading blocks: a row for each column that two rows of different components share."""
+    a, b = (entries.select("s", F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"),
+                           F.col("c").alias(f"c{x}"), *(F.col(f"g{j}").alias(f"g{j}{x}") for j in range(words)))
+            for x in "ab")
+    need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    # the overlap that two sizes ask for leaves a shorter leading block for the pair, and the least for the smaller set
+    a = a.where(F.col("ia") <= F.col("na") - F.ceil(2 * F.col("na") * num / (num + den)))
+    differ = sum(F.bit_count(F.col(f"g{j}a").bitwiseXOR(F.col(f"g{j}b"))) for j in range(words))
+    return (a.join(b, "s").where("ca <> cb and (na < nb or na = nb and a < b)")
+            .where(F.col("na") * den >= F.col("nb") * num)
+            .where((F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
+            .where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb", "ia", "ib"))
+
+
 def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Groups of documents linked by n-gram Jaccard similarity of at least ``num / den``.
 
@@ -206,23 +222,20 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
     merged = written(components(first, "a", "b"), "merged")
 
     # step 2: the pairwise product of what is still apart
-    about = rows.join(merged.withColumnRenamed("node", "d"), "d", "left").select(
-        "d", F.coalesce("component", "d").alias("c"), *(F.col("sig")[j].alias(f"g{j}") for j in SIGNATURE_WORDS))
-    apart = entries.select("s", "d", "n", "i").join(about, "d")
-    mixed = apart.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
+    apart = (entries.select("s", "d", "n", "i").join(merged.withColumnRenamed("node", "d"), "d", "left")
+             .withColumn("c", F.coalesce("component", "d")).drop("component"))
+    mixed = (apart.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"))
+             .where("lo < hi").select("s", (F.col("k") > MANY_ENTRIES).alias("many")))
     apart = written(apart.join(mixed, "s"), "apart")
-    a, b = (apart.select("s", F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"),
-                         F.col("c").alias(f"c{x}"), *(F.col(f"g{j}").alias(f"g{j}{x}") for j in SIGNATURE_WORDS))
-            for x in "ab")
+    pairs = None
+    for many, words in ((False, FEW_WORDS), (True, MANY_WORDS)):
+        signed = apart.where(F.col("many") == many).join(
+            rows.select("d", *(F.col("sig")[j].alias(f"g{j}") for j in range(words))), "d")
+        part = _shared_columns(signed, words, num, den)
+        pairs = part if pairs is None else pairs.unionByName(part)
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
-    # the overlap that two sizes ask for leaves a shorter leading block for the pair, and the least for the smaller set
-    a = a.where(F.col("ia") <= F.col("na") - F.ceil(2 * F.col("na") * num / (num + den)))
-    differ = sum(F.bit_count(F.col(f"g{j}a").bitwiseXOR(F.col(f"g{j}b"))) for j in SIGNATURE_WORDS)
-    pairs = (a.join(b, "s").where("ca <> cb and (na < nb or na = nb and a < b)")
-             .where(F.col("na") * den >= F.col("nb") * num)
-             .where((F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
-            .where(differ <= F.col("na") + F.col("nb") - 2 * need)
-             .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    pairs = (pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"),
+                                                     F.max("ib").alias("ib"))
              .where(F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 >= need)
              .select("a", "b", "na", "nb"))
     links = written(_linked(docs, pairs, size, num, den), "links")
