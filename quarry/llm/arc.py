@@ -101,6 +101,11 @@ def open_archive(path: str):
     return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
+def spread(archives: DataFrame) -> DataFrame:
+    """The listing with a task for each archive."""
+    return archives.repartition(max(1, archives.count()))
+
+
 def listed(spark: SparkSession, folder: str, pattern: str = "*.arc*") -> DataFrame:
     """(path) of the archives of a folder, listed by Spark without reading them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
@@ -237,7 +242,7 @@ def index_arc(archives: DataFrame, order_header: str = "X-Page-Id") -> DataFrame
                             cols = [[] for _ in range(8)]
                 yield _rows(cols)
 
-    return archives.select("path").mapInArrow(run, INDEX)
+    return spread(archives.select("path")).mapInArrow(run, INDEX)
 
 
 INDEX = "path string, offset long, id string, uri string, date string, ord long, digest string, payload long"
@@ -308,7 +313,7 @@ def convert(archives: DataFrame, revisits: bool = True) -> DataFrame:
                         writer.write(to_warc(path, offset, h, block, first.get(offset)))
                 yield writer.listing()
 
-    return written(work.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(run, LISTING), "warcs")
+    return written(work.repartition(max(1, archives.count()), "path").sortWithinPartitions("path", "offset").mapInArrow(run, LISTING), "warcs")
 
 
 def warc_records(stream) -> Iterator[tuple[dict, bytes]]:
@@ -368,7 +373,7 @@ def read_warc(archives: DataFrame, payloads: bool = False) -> DataFrame:
                             cols = [[] for _ in range(9 + payloads)]
                 yield rows(cols)
 
-    return archives.select("path").mapInArrow(run, schema)
+    return spread(archives.select("path")).mapInArrow(run, schema)
 
 
 def pages_through_warc(pages: DataFrame) -> DataFrame:
