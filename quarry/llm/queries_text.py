@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, mixing, ngram_join
+from quarry.llm import bpe, langid, mixing, ngram_join
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -52,3 +52,9 @@ def op6_fair_queue_mix(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# no DuckDB twin: sums over all segmentations; the tests compare with enumerated segmentations and held-out labels
+@query("op4_piece_language")
+def op4_piece_language(spark, sf_dir):
+    return langid.identify(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
