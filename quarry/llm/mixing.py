@@ -66,7 +66,7 @@ def running_sum(rows: DataFrame, value, name: str) -> DataFrame:
     rows = rows.withColumn("__v", value)
     sums = rows.groupBy("turn", "bucket").agg(F.sum("__v").alias("__s"))
     earlier = sums.select("turn", "bucket", (F.sum("__s").over(W.partitionBy("turn").orderBy("bucket")) - F.col("__s"))
-                          .alias("__before"))
+                          .alias("__before")).repartition("turn", "bucket")  # else the join would deal all rows by source
     inside = W.partitionBy("turn", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     return (rows.join(earlier, ["turn", "bucket"]).withColumn(name, F.sum("__v").over(inside) + F.col("__before"))
             .drop("__v", "__before"))
