@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, mixing, ngram_join
+from quarry.llm import bpe, langid, line_dedup, mixing, ngram_join
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -58,3 +58,10 @@ def op6_fair_queue_mix(spark, sf_dir):
 @query("op4_piece_language")
 def op4_piece_language(spark, sf_dir):
     return langid.identify(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# no DuckDB twin: all pairs of lines by edit distance are too slow there on whole tables; the tests compare with them
+@query("op5_deletion_lines")
+def op5_deletion_lines(spark, sf_dir):
+    out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
