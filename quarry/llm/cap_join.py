@@ -44,7 +44,8 @@ class ProductCode:
         sample /= np.linalg.norm(sample, axis=1)[:, None]
         #: exceeded by a random direction for MEAN_FILTERS of all filters, on average
         left, right = self._halves(sample)
-        rest = np.sort(np.concatenate([np.sort((a[:, None] + b).ravel())[-16 * MEAN_FILTERS:]
+        top = 16 * MEAN_FILTERS
+        rest = np.sort(np.concatenate([np.partition((a[:, None] + b).ravel(), -min(top, a.size * b.size))[-top:].copy()
                                        for a, b in zip(left, right)]))
         self.threshold = rest[-MEAN_FILTERS * len(sample)]
 
