@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, line_dedup, mixing, ngram_join
+from quarry.llm import bpe, langid, line_dedup, mixing, ngram_join, pii
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -65,3 +65,9 @@ def op4_piece_language(spark, sf_dir):
 def op5_deletion_lines(spark, sf_dir):
     out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# no DuckDB twin: it has no places of matches; the tests compare the base spans with Python's re
+@query("op10_context_pii")
+def op10_context_pii(spark, sf_dir):
+    return pii.personal_data(load(spark, sf_dir, "documents"))
