@@ -119,35 +119,46 @@ def incidence(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         rows, "doc_id long, n long, k1 long, k2 long, sig array<long>, lead array<long>")
 
 
-def _row_filter(ids: DataFrame):
-    """Bits of the wanted ids: a fixed megabyte, gathered as grouped OR of words."""
-    h = F.pmod(F.xxhash64("d"), F.lit(1 << FILTER_BITS))
-    words = (ids.select(F.shiftright(h, 5).alias("w"), F.pmod(h, F.lit(32)).cast("int").alias("b"))
+class RowFilter:
+    """A fixed megabyte of bits that passes (at least) the ids put in."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def test(self, keys: pa.Array) -> pa.Array:
+        h = keys.to_numpy()
+        return pa.array(((self.bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1)).astype(bool))
+
+
+def filter_key(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def row_filter(ids: DataFrame):
+    """Broadcast filter of the ids ``d``; its words are gathered as grouped OR, so its size does not grow with them."""
+    words = (ids.select(F.shiftright(filter_key("d"), 5).alias("w"), F.pmod(filter_key("d"), F.lit(32)).cast("int").alias("b"))
              .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect())
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     for r in words:
         out[r["w"]] = r["bits"]
-    return ids.sparkSession.sparkContext.broadcast(out)
+    return ids.sparkSession.sparkContext.broadcast(RowFilter(out))
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """Exact overlap of the sets of each pair (a, b): the product of the whole rows."""
     pairs = written(pairs, "pairs")
-    wanted = _row_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct())
+    wanted = row_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct())
 
     def rows(batches):
-        bits = wanted.value
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            keep = (bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1)
-            batch = batch.filter(pa.array(keep.astype(bool)))
+            batch = batch.filter(wanted.value.test(batch.column("h")))
             for part in slices(batch, "text"):
                 packed = [zlib.compress(t.encode(), 1) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"d": part.column("doc_id").cast(pa.int64()),
                                                   "t": pa.array(packed, pa.binary())})
 
     # packed whole texts are a fraction of the rows' n-grams, which both ends make anew
-    whole = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("h")).mapInArrow(
+    whole = docs.select("doc_id", "text", filter_key("doc_id").alias("h")).mapInArrow(
         rows, "d long, t binary")
     left = pairs.join(whole.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(whole.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")

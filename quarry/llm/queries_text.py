@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, line_dedup, mixing, ngram_join, pii
+from quarry.llm import bpe, chains, langid, line_dedup, mixing, ngram_join, pii
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -71,3 +71,9 @@ def op5_deletion_lines(spark, sf_dir):
 @query("op10_context_pii")
 def op10_context_pii(spark, sf_dir):
     return pii.personal_data(load(spark, sf_dir, "documents"))
+
+
+# no DuckDB twin: chains and alignments; the tests compare with planted passages and longest common runs
+@query("op9_chained_passages")
+def op9_chained_passages(spark, sf_dir):
+    return chains.passages(load(spark, sf_dir, "documents"))
