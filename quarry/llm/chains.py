@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, sorted_groups, written
 from quarry.llm.ngram_join import filter_key, row_filter
-from quarry.llm.shingles import shingle_hashes, word_hashes
+from quarry.llm.shingles import mix, shingle_hashes, word_hashes
 
 #: Words of a seed, and k-mers of which the least is a seed: an equal run of SEED + WINDOW - 1 words shares one.
 SEED, WINDOW = 8, 12
@@ -36,7 +37,7 @@ PASSAGE_WORDS, IDENTITY = 50, 0.8
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(h, doc, pos) of the minimizers of all texts."""
+    """(h, doc, pos) of the minimizers of all texts, each at its first place in a text."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -50,6 +51,8 @@ def seeds(docs: DataFrame) -> DataFrame:
                 padded = np.concatenate([order, np.full(WINDOW - 1, 2 ** 64 - 1, np.uint64)])
                 at = np.unique(np.arange(len(kmers)) + sliding_window_view(padded, WINDOW).argmin(1))
                 at = at[whole[at]]
+                with np.errstate(over="ignore"):  # the first place of a seed in each text
+                    at = at[np.unique(kmers[at] ^ mix(row[at].astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict({
                     "h": pa.array(kmers[at].astype(np.int64)), "doc": pa.array(ids[row[at]], pa.int64()),
@@ -197,7 +200,8 @@ def passages(docs: DataFrame) -> DataFrame:
     Rows ``doc_id, start, end, src_doc_id, src_start, src_end, identity``: the
     words from start to end (exclusive, counted from 0) stand in the document
     of the smaller id src_doc_id too, with that share of equal words (of the
-    longer side). Passages have PASSAGE_WORDS words or more on both sides. A
+    longer side). Passages have PASSAGE_WORDS words or more on both sides; one
+    that stands several times in a document is found at its first place. A
     document without passages has no row, so have NULL, empty and short texts,
     rows without doc_id and rows that repeat a document under its own id. An
     empty table gives an empty result.
@@ -244,8 +248,12 @@ def passages(docs: DataFrame) -> DataFrame:
                                  same / max(e - s, u - t)))
             yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r)) for r in rows], schema=OUT)
 
-    return both.mapInArrow(run, "doc_id long, start long, end long, src_doc_id long, src_start long, src_end long, "
-                                "identity double").dropDuplicates(OUT.names[:-1])
+    found = both.mapInArrow(run, "doc_id long, start long, end long, src_doc_id long, src_start long, src_end long, "
+                                 "identity double")
+    # a passage inside of another one of the document says nothing more
+    before = W.partitionBy("doc_id").orderBy("start", F.desc("end"), "src_doc_id", "src_start", "src_end")
+    reach = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
+    return found.withColumn("reach", reach).where("reach is null or end > reach").drop("reach")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("src_doc_id", pa.int64()),
