@@ -210,7 +210,7 @@ def predict(docs: DataFrame, pieces: Pieces, langs: list[str], prob: np.ndarray,
     learned. Equal posteriors go to the first language in order.
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, prob))
-    out = docs.select(*keep, "text")
+    out = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{k}` {out.schema[k].dataType.simpleString()}" for k in keep) + ", lang_pred string, score double"
 
     def run(batches):
