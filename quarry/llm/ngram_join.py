@@ -38,9 +38,9 @@ _U = np.uint64
 SKETCH_BITS = 20
 SKETCH_CHUNKS = 64
 #: Bits of a set's parity signature: the signatures of two sets differ in no more bits than the sets in elements.
-#: Columns with many entries, as near copies make them, carry all of it; the others do with the leading words.
+#: Columns with many entries, as near copies make them, carry it into the product; other pairs are compared by it after.
 SIGNATURE_BITS = 2048
-MANY_ENTRIES, MANY_WORDS, FEW_WORDS = 64, SIGNATURE_BITS // 64, 2
+SIGNATURE_WORDS, MANY_ENTRIES = SIGNATURE_BITS // 64, 64
 #: Bits of the row filter that spares whole texts a shuffle: 1 MB. When more rows are wanted than it can tell apart
 #: it lets every row pass and the join that follows decides alone.
 FILTER_BITS = 23
@@ -194,7 +194,7 @@ def _shared_columns(entries: DataFrame, words: int, num: int, den: int) -> DataF
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     # the overlap that two sizes ask for leaves a shorter leading block for the pair, and the least for the smaller set
     a = a.where(F.col("ia") <= F.col("na") - F.ceil(2 * F.col("na") * num / (num + den)))
-    differ = sum(F.bit_count(F.col(f"g{j}a").bitwiseXOR(F.col(f"g{j}b"))) for j in range(words))
+    differ = sum((F.bit_count(F.col(f"g{j}a").bitwiseXOR(F.col(f"g{j}b"))) for j in range(words)), F.lit(0))
     return (a.join(b, "s").where("ca <> cb and (na < nb or na = nb and a < b)")
             .where(F.col("na") * den >= F.col("nb") * num)
             .where((F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
@@ -239,16 +239,21 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
              .where("lo < hi").select("s", (F.col("k") > MANY_ENTRIES).alias("many")))
     apart = written(apart.join(mixed, "s"), "apart")
     pairs = None
-    for many, words in ((False, FEW_WORDS), (True, MANY_WORDS)):
-        signed = apart.where(F.col("many") == many).join(
-            rows.select("d", *(F.col("sig")[j].alias(f"g{j}") for j in range(words))), "d")
-        part = _shared_columns(signed, words, num, den)
+    for many in (False, True):
+        part = apart.where(F.col("many") == many)
+        if many:
+            part = part.join(rows.select("d", *(F.col("sig")[j].alias(f"g{j}") for j in range(SIGNATURE_WORDS))), "d")
+        part = _shared_columns(part, SIGNATURE_WORDS if many else 0, num, den)
         pairs = part if pairs is None else pairs.unionByName(part)
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     pairs = (pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"),
                                                      F.max("ib").alias("ib"))
              .where(F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 >= need)
              .select("a", "b", "na", "nb"))
+    for x in "ab":
+        pairs = pairs.join(rows.select(F.col("d").alias(x), F.col("sig").alias(f"sig{x}")), x)
+    differ = sum(F.bit_count(F.col("siga")[j].bitwiseXOR(F.col("sigb")[j])) for j in range(SIGNATURE_WORDS))
+    pairs = pairs.where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb")
     links = written(_linked(docs, pairs, size, num, den), "links")
     groups = written(components(links.unionByName(first), "a", "b"), "groups")
 
