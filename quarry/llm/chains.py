@@ -37,7 +37,7 @@ PASSAGE_WORDS, IDENTITY = 50, 0.8
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(h, doc, pos) of the minimizers of all texts, each at its first place in a text."""
+    """(h, doc, pos, more) of the minimizers of all texts, each at its first place in a text; the last one is ``more`` on."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -51,14 +51,16 @@ def seeds(docs: DataFrame) -> DataFrame:
                 padded = np.concatenate([order, np.full(WINDOW - 1, 2 ** 64 - 1, np.uint64)])
                 at = np.unique(np.arange(len(kmers)) + sliding_window_view(padded, WINDOW).argmin(1))
                 at = at[whole[at]]
-                with np.errstate(over="ignore"):  # the first place of a seed in each text
-                    at = at[np.unique(kmers[at] ^ mix(row[at].astype(np.uint64) + np.uint64(1)), return_index=True)[1]]
+                with np.errstate(over="ignore"):  # one key for each seed of each text: its first place, and how far it goes
+                    key = kmers[at] ^ mix(row[at].astype(np.uint64) + np.uint64(1))
+                last = at[::-1][np.unique(key[::-1], return_index=True)[1]]
+                at = at[np.unique(key, return_index=True)[1]]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict({
                     "h": pa.array(kmers[at].astype(np.int64)), "doc": pa.array(ids[row[at]], pa.int64()),
-                    "pos": pa.array((at - first[row[at]]).astype(np.int32))})
+                    "pos": pa.array((at - first[row[at]]).astype(np.int32)), "more": pa.array((last - at).astype(np.int32))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, pos int, more int")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -118,7 +120,7 @@ def uncovered(found: list[tuple]) -> list[tuple]:
 
 
 def chains(matches: DataFrame) -> DataFrame:
-    """(doc, src, xs, ys): chains of the matches that stand in long enough stretches of a document."""
+    """(doc, src, xs, ys, more): chains of the matches that stand in long enough stretches of a document."""
     def run(batches):
         for g in sorted_groups(batches, ["doc"]):
             doc, pos = g["doc"], g["pos"]
@@ -126,24 +128,26 @@ def chains(matches: DataFrame) -> DataFrame:
             new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > REACH)
             begin = np.flatnonzero(new)
             span = pos[np.r_[begin[1:] - 1, len(pos) - 1]] + SEED - pos[begin]
+            span = np.maximum(span, np.maximum.reduceat(g["more"], begin) + SEED)  # seeds that come again in a text
             keep = np.repeat(span >= STRETCH_WORDS, np.diff(np.r_[begin, len(pos)]))
-            doc, src, x, y = (g[c][keep] for c in ("doc", "src", "pos", "src_pos"))
+            doc, src, x, y, more = (g[c][keep] for c in ("doc", "src", "pos", "src_pos", "more"))
             order = np.lexsort((y, x, src, doc))
-            doc, src, x, y = doc[order], src[order], x[order], y[order]
+            doc, src, x, y, more = doc[order], src[order], x[order], y[order], more[order]
             cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (src[1:] != src[:-1])) + 1
             rows, of_doc = [], {}
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(doc)]) if len(doc) else ():
-                of_doc.setdefault(doc[lo], []).extend((doc[lo], src[lo], x[lo:hi][c], y[lo:hi][c])
+                of_doc.setdefault(doc[lo], []).extend((doc[lo], src[lo], x[lo:hi][c], y[lo:hi][c], more[lo:hi][c].max())
                                                       for c in chain(x[lo:hi], y[lo:hi]))
             for found in of_doc.values():
                 rows += uncovered(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                 pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["doc", "src", "xs", "ys"])
+                 pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.int32())],
+                names=["doc", "src", "xs", "ys", "more"])
 
     return (matches.repartition("doc").sortWithinPartitions("doc", "pos")
-            .mapInArrow(run, "doc long, src long, xs array<int>, ys array<int>"))
+            .mapInArrow(run, "doc long, src long, xs array<int>, ys array<int>, more int"))
 
 
 def _run(a: np.ndarray, b: np.ndarray) -> int:
@@ -210,7 +214,7 @@ def passages(docs: DataFrame) -> DataFrame:
     found = written(seeds(docs), "seeds")
     first = (found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last"))
              .where("f.doc < last").select("h", F.col("f.doc").alias("src"), F.col("f.pos").alias("src_pos")))
-    matches = found.join(first, "h").where("doc > src").select("doc", "src", "pos", "src_pos")
+    matches = found.join(first, "h").where("doc > src").select("doc", "src", "pos", "src_pos", "more")
     linked = written(chains(matches), "chains")
     wanted = row_filter(linked.select(F.explode(F.array("doc", "src")).alias("d")).distinct())
 
@@ -228,10 +232,10 @@ def passages(docs: DataFrame) -> DataFrame:
 
     def window(values, name):
         lo = F.greatest(F.element_at(values, 1) - AROUND, F.lit(0))
-        return [lo.alias(f"{name}_lo"), F.slice(name, lo + 1, F.element_at(values, -1) + SEED + AROUND - lo).alias(name)]
+        return [lo.alias(f"{name}_lo"), F.slice(name, lo + 1, F.element_at(values, -1) + F.col("more") + SEED + AROUND - lo).alias(name)]
 
     left = linked.join(words.select(F.col("d").alias("doc"), F.col("w").alias("a")), "doc").select(
-        "doc", "src", "xs", "ys", *window(F.col("xs"), "a"))
+        "doc", "src", "xs", "ys", "more", *window(F.col("xs"), "a"))
     both = left.join(words.select(F.col("d").alias("src"), F.col("w").alias("b")), "src").select(
         "doc", "src", "xs", "ys", "a_lo", "a", *window(F.col("ys"), "b"))
 
