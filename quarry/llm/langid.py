@@ -167,7 +167,8 @@ def fit(labelled: DataFrame, pieces: Pieces) -> tuple[list[str], np.ndarray]:
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     pick = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= FIT_DOCUMENTS)
-    sample = known.join(ids.select("doc_id", "lang"), ["doc_id", "lang"])
+    # at most FIT_DOCUMENTS ids of each language: small whatever the corpus, so that no text is shuffled
+    sample = known.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
                           .alias("w")).where(F.length("w") <= WORD_CHARS).groupBy("lang", "w").agg(F.count("*").alias("c"))
     top = W.partitionBy("lang").orderBy(F.desc("c"), "w")
