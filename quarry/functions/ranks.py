@@ -37,13 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BINS = 4096
-MAX_PASSES = 64
 # above this many windows for one column the lookup is a broadcast join on the
 # group key instead of a CASE chain
 MAX_CASE_WINDOWS = 128
 BROADCAST_WINDOWS = 200_000
 
-_DEBUG = False
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -124,15 +122,9 @@ def select_ranks(df: DataFrame, value_cols: Sequence[str] | str, group_cols: Seq
 
     passes = 0
     while windows:
-        passes += 1
-        if passes > MAX_PASSES:
-            raise RuntimeError("rank selection did not converge")
+        passes += 1  # each pass narrows every window, down to one value
         wlist = list(windows.values())
-        import time as _t
-        _t0 = _t.time()
         buckets = _bucket_pass(base, vnames, gnames, integral, wlist, bins)
-        if _DEBUG:
-            print("pass", passes, len(wlist), "windows", round(_t.time() - _t0, 2), "s")
         new_windows: dict = {}
         for wid, w in enumerate(wlist):
             rows = sorted(buckets.get(wid, []), key=lambda t: t[1])

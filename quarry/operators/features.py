@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol, safe_corr
-from quarry.functions.joins import bounded_broadcast
 from quarry.functions.ranks import quantile_table
 from quarry.operators.profile import long_values
 
@@ -173,7 +172,7 @@ def label_table(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
 def encode_labels(df: DataFrame, target: str, labels: DataFrame, out: str | None = None) -> DataFrame:
     """F8 applied: the label's index (double) in ``out`` (default: replaces the target)."""
     out = out or target
-    lk = bounded_broadcast(labels).select(F.col("index").cast("double").alias("__idx"), F.col("label").alias("__label"))
+    lk = labels.select(F.col("index").cast("double").alias("__idx"), F.col("label").alias("__label"))
     j = df.join(lk, qcol(target).cast("string") == F.col("__label"), "left").drop("__label")
     if out == target:
         j = j.drop(target)
@@ -182,7 +181,7 @@ def encode_labels(df: DataFrame, target: str, labels: DataFrame, out: str | None
 
 def decode_labels(df: DataFrame, col: str, labels: DataFrame, out: str = "decoded") -> DataFrame:
     """index to label; out-of-range or non-numeric values stay as they are (as text)."""
-    lk = bounded_broadcast(labels).select(F.col("index").alias("__i"), F.col("label").alias("__l"))
+    lk = labels.select(F.col("index").alias("__i"), F.col("label").alias("__l"))
     idx = qcol(col).cast("string").try_cast("double")
     key = F.when(idx == F.floor(idx), idx.cast("long"))
     j = df.join(lk, key == F.col("__i"), "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.exprs import qcol
 
@@ -59,9 +60,14 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "prediction", by: l
 # ---------------------------------------------------------------- M11
 
 def confusion(df: DataFrame, y: str = "y", p: str = "prediction", by: list[str] | None = None) -> DataFrame:
+    """Counts of (label, prediction); numbers of any type are compared as doubles, so 1 and 1.0 are one class."""
     by = list(by or [])
-    return df.groupBy(*[qcol(b) for b in by], qcol(y).cast("string").alias("y"),
-                      qcol(p).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+    def value(name):
+        number = isinstance(df.select(qcol(name)).schema[0].dataType, T.NumericType)
+        return (qcol(name).cast("double") if number else qcol(name)).cast("string")
+
+    return df.groupBy(*[qcol(b) for b in by], value(y).alias("y"), value(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def classification_metrics(df: DataFrame, y: str = "y", p: str = "prediction",
@@ -89,25 +95,25 @@ def classification_metrics(df: DataFrame, y: str = "y", p: str = "prediction",
 
 # ---------------------------------------------------------------- M12, M14, M16
 
-def rank_models(results: DataFrame, metric: str, model_col: str = "model_name", order_col: str = "seq") -> DataFrame:
+def rank_models(results: DataFrame, metric: str, order_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Rank by the chosen metric (aliases applied first); higher is
     better for accuracy, precision, recall, f1, r2; ties keep the input order
-    (``order_col``). The frame holds one row per model, so a single ordered
+    (``order_cols``). The frame holds one row per model, so a single ordered
     window is fine."""
     m = normalize_metric(metric)
     if m not in results.columns:
-        raise GateError(f"Evaluation metric '{metric}' is not available for model ranking")
+        raise GateError(f"the results have no metric {m!r} to rank by")
     score = F.col(m).cast("double")
     key = score.desc() if higher_is_better(m) else score.asc()
-    w = Window.orderBy(key, F.col(order_col))
+    w = Window.orderBy(key, *order_cols)
     return results.withColumn("score", score).withColumn("rank", F.row_number().over(w))
 
 
 def final_comparison(baseline: DataFrame, tuned: DataFrame, metric: str) -> DataFrame:
     """Baseline and tuned rows scored on the same test set, ranked together."""
     both = baseline.withColumn("stage", F.lit("baseline")).unionByName(
-        tuned.withColumn("stage", F.lit("tuned")).withColumn("seq", F.col("seq") + F.lit(10_000)))
-    return rank_models(both, metric)
+        tuned.withColumn("stage", F.lit("tuned")))
+    return rank_models(both, metric, order_cols=("stage", "seq"))
 
 
 # ---------------------------------------------------------------- M17, M18
@@ -116,7 +122,7 @@ def overfitting(ranked: DataFrame, reference: DataFrame, key: str = "model_name"
                 threshold: float = OVERFITTING_THRESHOLD) -> DataFrame:
     """|reference score - test score| > threshold; no reference means no flag."""
     ref = reference.select(qcol(key), F.col("score").alias("train_reference_score"))
-    j = ranked.join(F.broadcast(ref), key, "left")
+    j = ranked.join(ref, key, "left")
     gap = F.abs(F.col("train_reference_score") - F.col("score"))
     return j.withColumn("score_gap", gap).withColumn(
         "overfitting_warning", F.coalesce(gap > F.lit(threshold), F.lit(False)))

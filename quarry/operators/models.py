@@ -53,21 +53,21 @@ class ModelError(ValueError):
 
 
 def build_models(task: str, n_classes: int = 2, seed: int = SEED, features: str = "features",
-                 label: str = "label") -> dict:
+                 label: str = "label", forest_depth: int = FOREST_DEPTH) -> dict:
     """M1-M4: the registry for a task type, in the reference's order."""
     common = dict(featuresCol=features, labelCol=label)
     if task == "classification":
         gbt = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common)
         return {
             "logistic_regression": LogisticRegression(maxIter=1000, **common),
-            "random_forest_classifier": RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=seed,
+            "random_forest_classifier": RandomForestClassifier(numTrees=100, maxDepth=forest_depth, seed=seed,
                                                                **FOREST_TUNING, **common),
             "gradient_boosting_classifier": gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **common),
         }
     if task == "regression":
         return {
             "linear_regression": LinearRegression(**common),
-            "random_forest_regressor": RandomForestRegressor(numTrees=100, maxDepth=FOREST_DEPTH, seed=seed,
+            "random_forest_regressor": RandomForestRegressor(numTrees=100, maxDepth=forest_depth, seed=seed,
                                                              **FOREST_TUNING, **common),
             "gradient_boosting_regressor": GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common),
         }
@@ -76,22 +76,14 @@ def build_models(task: str, n_classes: int = 2, seed: int = SEED, features: str
 
 def choose_models(models: dict, mode: str = "manual", selected: str | None = None,
                   model_list: list[str] | None = None) -> dict:
-    """M5: manual picks one named model; auto takes all or a given list; unknown names raise."""
-    mode = mode.lower()
-    if mode == "manual":
-        if not selected:
-            raise ModelError("selected_model must be provided when training_mode is 'manual'")
-        if selected not in models:
-            raise ModelError(f"Selected model '{selected}' is invalid. Available models: {sorted(models)}")
-        return {selected: models[selected]}
-    if mode == "auto":
-        if not model_list:
-            return dict(models)
-        bad = [m for m in model_list if m not in models]
-        if bad:
-            raise ModelError(f"Invalid model names in model_list: {bad}. Available models: {sorted(models)}")
-        return {m: models[m] for m in model_list}
-    raise ModelError("training_mode must be either 'manual' or 'auto'")
+    """M5: ``manual`` takes the one named model, ``auto`` the listed ones or all; unknown names raise."""
+    wanted = {"manual": [selected] if selected else [], "auto": list(model_list or models)}.get(mode.lower())
+    if not wanted:
+        raise ModelError(f"mode {mode!r} with model {selected!r} names nothing to train")
+    unknown = sorted(set(wanted) - set(models))
+    if unknown:
+        raise ModelError(f"no such models for this task: {', '.join(unknown)}; there are {', '.join(sorted(models))}")
+    return {name: models[name] for name in wanted}
 
 
 def evaluate(pred: DataFrame, task: str, label: str = "label", prediction: str = "prediction") -> dict:
@@ -103,11 +95,10 @@ def evaluate(pred: DataFrame, task: str, label: str = "label", prediction: str =
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least the cluster's default parallelism of partitions (tree-ensemble
-    prediction is CPU-heavy per row); large inputs already have more and are
-    left alone."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    """Deal rows over the session's shuffle partitions, and at least its default
+    parallelism: fitting and scoring tree ensembles is CPU-heavy per row."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def training_input(df: DataFrame) -> DataFrame:

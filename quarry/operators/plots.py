@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol
-from quarry.functions.joins import bounded_broadcast
 from quarry.functions.ranks import quantile_table
 
 
@@ -29,7 +28,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30, group: str | None = None) -
         base = base.where(qcol(group).isNotNull())
     bounds = base.groupBy(*keys).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
     if keys:
-        data = base.join(bounded_broadcast(bounds), keys)
+        data = base.join(bounds, keys)
     else:
         # one bounds row: read it once and inline it as literals
         r = bounds.collect()[0]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.exprs import qcol
-from quarry.functions.joins import bounded_broadcast
 from quarry.operators.metrics import normalize_metric
 
 RUNS_SCHEMA = T.StructType([
@@ -31,11 +30,18 @@ RUNS_SCHEMA = T.StructType([
     T.StructField("cv", T.IntegerType()),
     T.StructField("n_iter", T.IntegerType()),
     T.StructField("error", T.StringType()),
+    T.StructField("dataset_name", T.StringType()),
+    T.StructField("feature_mode", T.StringType()),
+    T.StructField("n_features", T.IntegerType()),
+    T.StructField("top_k", T.IntegerType()),
+    T.StructField("random_state", T.IntegerType()),
 ])
 # The parameter rows of a run comparison and their defaults.
-COMPARE_PARAMS = ("task_type", "target_column", "rows", "test_size", "scaling_method", "training_mode", "cv")
+COMPARE_PARAMS = ("test_size", "feature_mode", "n_features", "top_k", "n_iter", "cv", "random_state")
+# What tells runs apart stands before their parameters.
+DESCRIBED_BY = ("task_type", "target_column", "rows")
 DEFAULTS = {"status": "unknown", "task_type": "unknown", "target_column": "", "selected_features": "",
-            "best_model": "", "metric_label": "Score", "scaling_method": "standard", "training_mode": "auto"}
+            "best_model": "", "metric_label": "Score", "dataset_name": "", "feature_mode": "auto", "scaling_method": "standard", "training_mode": "auto"}
 
 
 def metric_label(task: str) -> str:
@@ -81,7 +87,7 @@ def compare_runs(runs: DataFrame, run_ids: list[str]) -> DataFrame:
     if not run_ids:
         raise ValueError("run_ids must not be empty")
     chosen = runs.where(F.col("run_id").isin(run_ids))
-    params = list(COMPARE_PARAMS) + ["best_score"]
+    params = [*DESCRIBED_BY, *COMPARE_PARAMS, "best_score"]
     long = chosen.select("run_id", F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(p).alias("parameter"), qcol(p).cast("string").alias("value"))
         for i, p in enumerate(params)])).alias("s")).select("run_id", "s.*")
@@ -92,17 +98,17 @@ def compare_runs(runs: DataFrame, run_ids: list[str]) -> DataFrame:
 
 
 def flatten_metrics(run_models: DataFrame) -> DataFrame:
-    """T5: ``{model}_score`` per model and ``best_score`` per run as (run_id, key, value)."""
-    per_model = run_models.select("run_id", F.concat(F.col("display_name"), F.lit("_score")).alias("key"),
-                                  F.col("score").alias("value"))
-    best = run_models.where(F.col("rank") == 1).select("run_id", F.lit("best_score").alias("key"),
-                                                       F.col("score").alias("value"))
-    return per_model.unionByName(best)
+    """T5: ``{model}_score`` per model and ``best_score`` per run as (run_id, key, value).
+
+    A model that stands in several rows of a run (baseline and tuned) counts with its best rank."""
+    per_model = run_models.select("run_id", F.concat("display_name", F.lit("_score")).alias("key"), "rank", "score")
+    best = run_models.select("run_id", F.lit("best_score").alias("key"), "rank", "score")
+    return per_model.unionByName(best).groupBy("run_id", "key").agg(F.min_by("score", "rank").alias("value"))
 
 
 def alias_lookup(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Model path to model name, falling back to the entry's own name."""
-    a = bounded_broadcast(aliases.select("model_path", F.col("model_name").alias("__alias")))
+    a = aliases.select("model_path", F.col("model_name").alias("__alias"))
     return entries.join(a, "model_path", "left").withColumn(
         "display_name", F.coalesce(F.col("__alias"), F.col("model_name"))).drop("__alias")
 
@@ -112,4 +118,4 @@ def baseline_beside_tuned(tuned: DataFrame, baseline: DataFrame, metric: str) ->
     (aliases applied first, so ``f1_weighted`` finds ``f1``)."""
     m = normalize_metric(metric)
     b = baseline.where(F.col("metric") == F.lit(m)).select("model_name", F.col("value").alias("baseline_test_score"))
-    return tuned.join(bounded_broadcast(b), "model_name", "left")
+    return tuned.join(b, "model_name", "left")

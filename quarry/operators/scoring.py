@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.exprs import qcol
-from quarry.functions.joins import bounded_broadcast
 
 LOG_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -34,9 +33,9 @@ RECENT_DEFAULT = 100
 def score(df: DataFrame, model, task: str, prediction: str = "prediction",
           probability: str = "probability") -> DataFrame:
     """B1: prediction per row; confidence 1.0 for regression, else the largest
-    class probability (1.0 when the model has no probabilities)."""
-    from quarry.operators.models import spread
-    out = model.transform(spread(df))
+    class probability (1.0 when the model has no probabilities). Row by row, so it
+    serves a stream as well."""
+    out = model.transform(df)
     if task == "classification" and probability in out.columns:
         conf = F.array_max(vector_to_array(F.col(probability)))
     else:
@@ -64,10 +63,11 @@ def utc_iso(at: F.Column, zoned: bool) -> F.Column:
 
 def log_rows(scored: DataFrame, model_version: str | F.Column, model_name: str | F.Column, task: str,
              feature_cols: list[str], id_col: str | None = None, at: F.Column | None = None) -> DataFrame:
-    """The 9 log columns; features as JSON of the named inputs."""
+    """The 9 log columns; features as JSON of the named inputs. Without ``id_col`` an id is 63 random bits,
+    so that it does not come again with the next append."""
     at = F.current_timestamp() if at is None else at
     zoned = isinstance(scored.select(at).schema[0].dataType, T.TimestampType)
-    rid = qcol(id_col).cast("long") if id_col else F.monotonically_increasing_id()
+    rid = qcol(id_col).cast("long") if id_col else F.shiftrightunsigned(F.xxhash64(F.uuid()), 1)
     ver = model_version if isinstance(model_version, F.Column) else F.lit(model_version)
     name = model_name if isinstance(model_name, F.Column) else F.lit(model_name)
     return scored.select(
@@ -79,9 +79,14 @@ def log_rows(scored: DataFrame, model_version: str | F.Column, model_name: str |
         F.col("confidence_score").cast("double").alias("confidence_score"), at.alias("created_at"))
 
 
+def utc_date() -> F.Column:
+    """The log's partition: the date of its UTC ``timestamp``, whatever the session zone."""
+    return F.to_date(F.substring("timestamp", 1, 10))
+
+
 def append_log(rows: DataFrame, path: str) -> str:
     """Append to the log table, partitioned by the UTC date of created_at."""
-    rows.withColumn("dt", F.to_date("created_at")).write.mode("append").partitionBy("dt").parquet(path)
+    rows.withColumn("dt", utc_date()).write.mode("append").partitionBy("dt").parquet(path)
     return path
 
 
@@ -135,7 +140,7 @@ def prediction_comparison(df: DataFrame, key: list[str], actual: str, predictors
 
 def decode_predictions(df: DataFrame, col: str, labels: DataFrame) -> DataFrame:
     """Label decoding of a prediction column (F9) with a size-checked broadcast."""
-    lk = bounded_broadcast(labels).select(F.col("index").alias("__i"), F.col("label").alias("__l"))
+    lk = labels.select(F.col("index").alias("__i"), F.col("label").alias("__l"))
     j = df.join(lk, qcol(col).cast("long") == F.col("__i"), "left")
     return j.withColumn(col, F.coalesce(F.col("__l"), qcol(col).cast("string"))).drop("__i", "__l")
 

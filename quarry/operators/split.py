@@ -1,11 +1,12 @@
 """Deduplication and splits.
 
-Splits are defined by a seeded 64-bit row hash, ``xxhash64(seed, row)``:
-a row goes to test when its hash is among the ``n_test`` smallest of its
-stratum. The cut value is found with the distributed rank selection
-(``quarry.functions.ranks``), so there is no global sort and no window over a
-hot class; sizes are exact. Rows whose hash equals the cut value (hash ties)
-are few and are ordered by a second, independent hash and then the row itself.
+Splits are defined by a seeded 64-bit row hash: rows stand in the order of
+``xxhash64(seed, row)`` inside their stratum, and test rows or folds are ranges
+of that order. Equal rows are counted first and take as many places as they
+have copies, so that sizes are exact however often rows repeat; strata may be
+NULL. Places are running sums inside hash buckets on top of the sums of the
+earlier buckets: no global sort, no window over a whole stratum, and nothing of
+the data or its strata in the plan or on the driver.
 Row membership differs from the reference's random generator by design.
 """
 
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol
-from quarry.functions.ranks import column_stats, select_ranks
 
 SEED = 42
+# Leading bits of the row hash that make a bucket; a bucket of a stratum is one window.
+BUCKET_BITS = 12
 
 
 class SplitError(ValueError):
@@ -37,78 +39,56 @@ def row_hash(df: DataFrame, seed: int = SEED, cols: list[str] | None = None) ->
 
 
 def test_count(n: int, test_size) -> int:
-    """Exact test size: ceil(n * size) for a float in (0, 1); an int in (0, n)."""
-    if isinstance(test_size, bool):
-        raise SplitError("test_size must be either float or int")
-    if isinstance(test_size, float):
-        if not 0 < test_size < 1:
-            raise SplitError("test_size as float must be between 0 and 1")
-        return int(math.ceil(n * test_size))
-    if isinstance(test_size, int):
-        if test_size <= 0:
-            raise SplitError("test_size as int must be greater than 0")
-        if test_size >= n:
-            raise SplitError("test_size as int must be smaller than the dataset size")
-        return test_size
-    raise SplitError("test_size must be either float or int")
-
-
-def _cut(df: DataFrame, quotas_for, strata: list[str], seed: int) -> DataFrame:
-    """Flag the ``quota`` smallest hashes of each stratum in column ``__test``.
-
-    ``quotas_for({stratum: n})`` returns ``{stratum: quota}``. One aggregate
-    gives the stratum sizes, the rank selection finds each stratum's cut value
-    and the exact count of hashes below it, so only the rows tied with the
-    cut (64-bit collisions, a handful) need a tie-break.
-    """
-    h = "__h"
-    keyed = df.withColumn(h, row_hash(df, seed, df.columns))
-    stats = column_stats(keyed.select(*[qcol(s).alias(f"__g{k}") for k, s in enumerate(strata)], h),
-                         [h], [f"__g{k}" for k in range(len(strata))])
-    sizes = {g: n for (_, g), (n, _, _) in stats.items()}
-    wanted = {g: q for g, q in quotas_for(sizes).items() if q > 0}
-
-    def ranks_for(n, key):
-        q = wanted.get(key[1])
-        return [q - 1] if q else []
-
-    below: dict = {}
-    values, _ = select_ranks(keyed, h, strata, ranks_for, stats=stats, below_out=below)
-    cuts = {g: values[(0, g, wanted[g] - 1)] for g in wanted}
-    need = {g: wanted[g] - below[(0, g, wanted[g] - 1)] for g in wanted}
-    if not cuts:
-        return keyed.withColumn("__test", F.lit(False)).drop(h)
-
-    def per_stratum(pick):
-        expr = None
-        for g, v in cuts.items():
-            cond = F.lit(True)
-            for k, s in enumerate(strata):
-                cond = cond & (qcol(s) == F.lit(g[k]))
-            expr = F.when(cond, pick(g, v)) if expr is None else expr.when(cond, pick(g, v))
-        return expr
-
-    cut_col = per_stratum(lambda g, v: F.lit(v).cast("long"))
-    below_cut = F.col(h) < cut_col
-    tie = F.col(h) == cut_col
-    w = Window.partitionBy(*[qcol(s) for s in strata]).orderBy(
-        F.xxhash64(F.lit(seed + 1), *[qcol(c) for c in df.columns]), *[qcol(c) for c in df.columns])
-    need_col = per_stratum(lambda g, v: F.lit(need[g]))
-    # the tie set is a handful of rows (64-bit hash collisions), so this window is tiny
-    tied = keyed.where(tie).withColumn("__test", F.row_number().over(w) <= need_col)
-    rest = keyed.where(~tie | tie.isNull()).withColumn("__test", F.coalesce(below_cut, F.lit(False)))
-    return rest.unionByName(tied).drop(h)
+    """Exact test size: ceil(n * size) for a share in (0, 1); a whole number of rows in (0, n)."""
+    share = isinstance(test_size, float)
+    if isinstance(test_size, bool) or not (share or isinstance(test_size, int)):
+        raise SplitError(f"the test size is a share or a number of rows, not {test_size!r}")
+    if not 0 < test_size < (1 if share else n):
+        raise SplitError(f"the test size {test_size} leaves no rows on one side")
+    return math.ceil(n * test_size) if share else test_size
+
+
+def _placed(df: DataFrame, strata: list[str], seed: int) -> DataFrame:
+    """One row per distinct row of ``df`` with its copies ``__copies``, the place
+    ``__from`` of the first copy in its stratum, and the stratum's size ``__n``."""
+    keys = [f"__g{i}" for i in range(len(strata))]
+    rows = df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    rows = rows.withColumns({k: qcol(s) for k, s in zip(keys, strata)} | {"__h": row_hash(df, seed, df.columns)})
+    rows = rows.withColumn("__b", F.shiftright("__h", 64 - BUCKET_BITS))
+    sums = rows.groupBy(*keys, "__b").agg(F.sum("__copies").alias("__s"))
+    all_of = Window.partitionBy(*keys)
+    starts = sums.select(
+        *[F.col(k).alias(f"{k}r") for k in keys], F.col("__b").alias("__br"), F.sum("__s").over(all_of).alias("__n"),
+        (F.sum("__s").over(all_of.orderBy("__b")) - F.col("__s")).alias("__start")).repartition(
+        *[f"{k}r" for k in keys], "__br")
+    same = F.col("__b") == F.col("__br")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}r"))
+    # rows of equal hash but other values are told apart by a second hash, then by themselves
+    inside = Window.partitionBy(*keys, "__b").orderBy("__h", row_hash(df, seed + 1, df.columns),
+                                                      *[F.to_json(F.struct(qcol(c))) for c in df.columns])
+    before = F.sum("__copies").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__copies")
+    return rows.join(starts, same).withColumn("__from", F.col("__start") + before)
+
+
+def _copies(placed: DataFrame, columns: list[str], value: Column, name: str) -> DataFrame:
+    """Every copy again, with ``value`` of its place ``__place`` as column ``name``."""
+    each = placed.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    return each.withColumn("__place", F.col("__from") + F.col("__i")).withColumn(name, value).select(
+        *[qcol(c) for c in columns], name)
+
+
+def _sides(flagged: DataFrame):
+    return flagged.where("not __test").drop("__test"), flagged.where("__test").drop("__test")
 
 
 def random_split(df: DataFrame, test_size=0.2, seed: int = SEED):
     """R2: (train, test) with exactly ``test_count(n, test_size)`` test rows."""
-    def quotas(sizes):
-        n = sum(sizes.values())
-        if n == 0:
-            raise SplitError("Dataset is empty")
-        return {g: test_count(n, test_size) for g in sizes}
-    flagged = _cut(df.withColumn("__s", F.lit(0)), quotas, ["__s"], seed).drop("__s")
-    return flagged.where(~F.col("__test")).drop("__test"), flagged.where(F.col("__test")).drop("__test")
+    n = df.count()
+    if n == 0:
+        raise SplitError("there are no rows to split")
+    flagged = _copies(_placed(df, [], seed), df.columns, F.col("__place") < test_count(n, test_size), "__test")
+    return _sides(flagged)
 
 
 def class_quotas(counts: dict, n_test: int) -> dict:
@@ -123,19 +103,29 @@ def class_quotas(counts: dict, n_test: int) -> dict:
     return base
 
 
+def quota_table(counts: DataFrame, n: int, n_test: int) -> DataFrame:
+    """``class_quotas`` as a table: (class, k) to (class, quota)."""
+    share = F.lit(n_test).cast("long") * F.col("k")
+    parts = counts.withColumn("base", F.expr(f"{n_test}L * k div {n}L")).withColumn("rest", share % n)
+    rank = F.row_number().over(Window.orderBy(F.desc("rest"), F.col("class").cast("string")))
+    left = F.lit(n_test) - F.sum("base").over(Window.partitionBy())
+    return parts.select("class", (F.col("base") + F.when(rank <= left, 1).otherwise(0)).alias("quota"))
+
+
 def stratified_split(df: DataFrame, target: str, test_size=0.2, seed: int = SEED, task_type: str = "classification",
                      stratify: bool = True):
     """Per-class quotas; plain split when not classification, fewer than two
-    classes, or a class with fewer than two rows (NULL counts as a class)."""
+    classes, a class with fewer than two rows, or rows without a class."""
     if not stratify or task_type != "classification":
         return random_split(df, test_size, seed)
-    counts = {r[0]: r[1] for r in df.groupBy(qcol(target)).count().collect()}
-    if len(counts) < 2 or min(counts.values()) < 2 or None in counts:
+    counts = df.groupBy(qcol(target).alias("class")).agg(F.count(F.lit(1)).alias("k"))
+    about = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("k").alias("least"), F.sum("k").alias("n"),
+                       F.count_if(F.col("class").isNull()).alias("missing")).first()
+    if about["classes"] < 2 or about["least"] < 2 or about["missing"]:
         return random_split(df, test_size, seed)
-    n = sum(counts.values())
-    quotas = class_quotas(counts, test_count(n, test_size))
-    flagged = _cut(df, lambda sizes: {(c,): q for c, q in quotas.items()}, [target], seed)
-    return flagged.where(~F.col("__test")).drop("__test"), flagged.where(F.col("__test")).drop("__test")
+    quotas = quota_table(counts, about["n"], test_count(about["n"], test_size))
+    placed = _placed(df, [target], seed).join(quotas, F.col("__g0") == F.col("class"))
+    return _sides(_copies(placed, df.columns, F.col("__place") < F.col("quota"), "__test"))
 
 
 def fold_sizes(n: int, k: int) -> list[int]:
@@ -147,45 +137,15 @@ def assign_folds(df: DataFrame, k: int = 3, seed: int = SEED, strata: list[str]
                  fold_col: str = "fold") -> DataFrame:
     """Integer fold column for ``CrossValidator(foldCol=...)``.
 
-    Fold f holds the rows whose hash rank (within the stratum, if any) falls in
-    the f-th block of ``fold_sizes``. The k-1 cut values come from one rank
-    selection; the assignment is a CASE over them, so nothing is sorted.
-    Rows tied with a cut value go to the lower fold.
+    Fold f holds the f-th block of ``fold_sizes`` of the places (within the
+    stratum, if any; NULL is a stratum). Copies of a row take places one by one
+    and may so fall into different folds.
     """
     if k < 2:
-        raise SplitError("cv must be at least 2")
-    strata = list(strata or [])
-    h = "__h"
-    keyed = df.withColumn(h, row_hash(df, seed, df.columns))
-    if not strata:
-        keyed = keyed.withColumn("__s", F.lit(0))
-        keys = ["__s"]
-    else:
-        keys = strata
-
-    def ranks_for(n, key):
-        sizes = fold_sizes(n, k)
-        cum, out = 0, []
-        for s in sizes[:-1]:
-            cum += s
-            if cum > 0:
-                out.append(cum - 1)
-        return out
-
-    values, stats = select_ranks(keyed, h, keys, ranks_for)
-    expr = None
-    for (ci, g), (n, _, _) in stats.items():
-        sizes = fold_sizes(n, k)
-        cond = F.lit(True)
-        for i, s in enumerate(keys):
-            cond = cond & (qcol(s) == F.lit(g[i]))
-        fold = F.lit(k - 1)
-        cum = sum(sizes[:-1])
-        for f in range(k - 2, -1, -1):
-            r = cum - 1
-            cum -= sizes[f]
-            if (0, g, r) in values:
-                fold = F.when(F.col(h) <= F.lit(values[(0, g, r)]).cast("long"), F.lit(f)).otherwise(fold)
-        expr = F.when(cond, fold) if expr is None else expr.when(cond, fold)
-    out = keyed.withColumn(fold_col, expr.cast("int")).drop(h)
-    return out.drop("__s") if not strata else out
+        raise SplitError("a search needs two folds or more")
+    n, place = F.col("__n"), F.col("__place")
+    size, extra = F.floor(n / k), n % k
+    longer = extra * (size + 1)
+    fold = F.when(place < longer, F.floor(place / (size + 1))).otherwise(
+        extra + F.floor((place - longer) / F.greatest(size, F.lit(1))))
+    return _copies(_placed(df, list(strata or []), seed), df.columns, fold.cast("int"), fold_col)

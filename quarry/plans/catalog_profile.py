@@ -477,11 +477,8 @@ FROM ({LINEITEM_WITH_NULLS_SQL})""")
 def s1_csv_scan(spark, sf):
     """S3 then S1: lineitem (with NULLs) written as CSV by Spark, read back with
     NA-token handling and one-pass type inference."""
-    import tempfile
-
-    from quarry.session import ensure_checkpoint_dir, scratch_dir
+    from quarry.session import scratch_dir
     from quarry.sources import readers
-    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="quarry-ckpt-"))
     path = scratch_dir(spark, "csv")
     readers.write_table(lineitem_with_nulls(spark, sf).select(*S1_COLS), path, fmt="csv")
     return readers.read_csv(spark, path)
@@ -490,12 +487,19 @@ def s1_csv_scan(spark, sf):
 @query("S4_report_roundtrip", _a2_sql())
 def s4_report_roundtrip(spark, sf):
     """A flat report frame (A2) written as JSON and read back with its schema."""
-    import tempfile
-
-    from quarry.session import ensure_checkpoint_dir, scratch_dir
+    from quarry.session import scratch_dir
     from quarry.sources import readers
-    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="quarry-ckpt-"))
     rep = rounded(profile.missing_values(lineitem_with_nulls(spark, sf).select(*LI_ALL)))
     path = scratch_dir(spark, "report")
     readers.write_report(rep, path)
     return readers.read_report(spark, path, rep.schema)
+
+
+@query("S1_csv_text", "SELECT doc_id, text FROM documents")
+def s1_csv_text(spark, sf):
+    """Whole texts with quotes, commas and line breaks through CSV and back."""
+    from quarry.session import scratch_dir
+    from quarry.sources import readers
+    path = scratch_dir(spark, "csv")
+    readers.write_table(table(spark, sf, "documents").select("doc_id", "text"), path, fmt="csv")
+    return readers.read_csv(spark, path, schema={"doc_id": "long", "text": "string"})

@@ -176,3 +176,33 @@ FROM n, range(3) AS r(f)""")
 def r4_fold_sizes(spark, sf):
     folds = split.assign_folds(table(spark, sf, "lineitem"), k=3)
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("R4_folds_repeated", """
+WITH n AS (SELECT count(*) AS n FROM lineitem)
+SELECT CAST(f AS INTEGER) AS fold, CAST(n // 3 + CASE WHEN f < n % 3 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM n, range(3) AS r(f)""")
+def r4_folds_repeated(spark, sf):
+    """Folds of rows that repeat thousands of times: two flags of every line item."""
+    flags = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus")
+    return split.assign_folds(flags, k=3).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("R4_folds_null_strata", """
+WITH c AS (SELECT nullif(l_returnflag, 'A') AS stratum, count(*) AS k FROM lineitem GROUP BY 1)
+SELECT stratum, CAST(f AS INTEGER) AS fold, CAST(k // 3 + CASE WHEN f < k % 3 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM c, range(3) AS r(f)""")
+def r4_folds_null_strata(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.nullif("l_returnflag", F.lit("A")).alias("stratum"), "l_quantity")
+    folds = split.assign_folds(li, k=3, strata=["stratum"])
+    return folds.groupBy("stratum", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("R2_split_disjoint", """
+SELECT count(*) AS n_keys, CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_test, CAST(0 AS BIGINT) AS n_shared FROM orders""")
+def r2_split_disjoint(spark, sf):
+    train, test = split.random_split(table(spark, sf, "orders"), 0.2)
+    sides = train.select("o_orderkey", F.lit(0).alias("t")).unionByName(test.select("o_orderkey", F.lit(1).alias("t")))
+    per = sides.groupBy("o_orderkey").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    return per.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("b") == 1).alias("n_test"),
+                   F.count_if(F.col("a") < F.col("b")).alias("n_shared"))

@@ -8,8 +8,8 @@ sample or driver pass is involved.
 
 from __future__ import annotations
 
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,15 +78,31 @@ def _infer_casts(raw: DataFrame) -> dict[str, str]:
     return out
 
 
+# How text is quoted, for the reader and the writer alike.
+CSV_TEXT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False}
+
+
 def read_csv(spark: SparkSession, path: str, schema: dict[str, str] | T.StructType | None = None,
-             na_tokens=NA_TOKENS, check_path: bool = True) -> DataFrame:
-    """CSV with a header row; missing tokens become NULL; types inferred or given."""
+             na_tokens=NA_TOKENS, multi_line: bool = True) -> DataFrame:
+    """CSV with a header row; missing tokens become NULL; types inferred or given.
+
+    Quoted fields may hold doubled quotes, commas and, with ``multi_line``, line
+    breaks; such a file is read by one task, so large inputs come as many files
+    or, without breaks in fields, with ``multi_line=False``. A record that does
+    not fit the header fails the read. Paths are resolved by Spark alone.
+    """
     if not path:
-        raise ValueError("Dataset path is empty")
-    if check_path and "://" not in path:
-        if not os.path.exists(path):
-            raise FileNotFoundError(f"Dataset file does not exist: {path}")
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+        raise ValueError("no path was given")
+    reader = spark.read.options(**CSV_TEXT, multiLine=multi_line)
+    try:
+        names = reader.csv(path).columns
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no CSV input at {path}") from None
+        raise
+    fixed = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = reader.option("mode", "FAILFAST").schema(fixed).csv(path)
     tokens = list(na_tokens)
     raw = raw.select(*[
         F.when(F.trim(qcol(c)).isin(tokens) | qcol(c).isNull(), F.lit(None).cast("string")).otherwise(qcol(c)).alias(c)
@@ -139,7 +155,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_TEXT).csv(path)
     elif fmt == "json":
         writer.json(path)
     else:

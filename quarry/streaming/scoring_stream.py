@@ -11,7 +11,6 @@ lives in the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import scoring
@@ -24,7 +23,7 @@ def scored_log_stream(stream: DataFrame, model, task: str, feature_cols: list[st
     so every micro-batch is independent (no state store needed)."""
     scored = scoring.score(stream, model, task) if model is not None else stream
     rows = scoring.log_rows(scored, model_version, model_name, task, feature_cols, id_col=id_col, at=at)
-    return rows.withColumn("dt", F.to_date("created_at"))
+    return rows.withColumn("dt", scoring.utc_date())
 
 
 def run_scoring_stream(spark: SparkSession, source_path: str, schema: T.StructType, log_path: str, model, task: str,

@@ -139,3 +139,9 @@ def test_wide_one_hot_uses_sparse_stages_with_same_layout(spark):
     assert narrow.encoder is None
     nv = [r[0] for r in narrow.assemble(test).select(vector_to_array("features")).collect()]
     assert nv[0][0] == 1.0 and nv[0][1 + 5] == 1.0
+
+
+def test_confusion_compares_numbers_of_any_type(spark):
+    df = spark.createDataFrame([(1, 1.0), (0, 0.0), (2, 2.0)], "y int, prediction double")
+    row = mx.classification_metrics(df).first()
+    assert (row.accuracy, row.precision, row.recall, row.f1) == (1.0, 1.0, 1.0, 1.0)

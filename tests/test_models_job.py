@@ -91,3 +91,12 @@ def test_one_vs_rest_search_params_reach_inner_learner(spark):
     pm = mdl._translate("gradient_boosting_classifier", {"n_estimators": 50, "max_depth": 5}, ovr, 100)
     inner = ovr.copy(pm).getClassifier()          # what CrossValidator's fit(df, paramMap) builds
     assert inner.getMaxIter() == 50 and inner.getMaxDepth() == 5
+
+
+@pytest.mark.parametrize("low,high", [(1, 2), (-1, 1)])
+def test_job_runs_on_numeric_classes(spark, tmpdir_path, low, high):
+    rows = [(float(i % 50), float(i % 7), high if i % 50 > 24 else low) for i in range(200)]
+    df = spark.createDataFrame([(a + i / 1000, b, y) for i, (a, b, y) in enumerate(rows)], "a double, b double, y int")
+    result = job.run(spark, df, "y", job.RunOptions(model_list=("logistic_regression", "gradient_boosting_classifier"),
+                                                    top_k=1, n_iter=1, cv=2, drift_threshold=10.0), base_path=tmpdir_path)
+    assert result.status == "completed" and result.best_score > 0.9

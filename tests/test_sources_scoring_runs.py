@@ -128,3 +128,31 @@ def test_log_timestamp_text_is_utc_in_any_session_zone(spark):
         assert row["timestamp"] == "2024-01-01T00:00:00.250000+00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_csv_keeps_quotes_breaks_and_blanks(spark, tmpdir_path):
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines, \"q\""), (3, " blanks "), (4, 'ends with "')]
+    path = readers.write_table(spark.createDataFrame(rows, "i long, t string"), f"{tmpdir_path}/t", fmt="csv")
+    assert sorted(map(tuple, readers.read_csv(spark, path, schema={"i": "long", "t": "string"}).collect())) == rows
+
+
+def test_csv_record_that_does_not_fit_fails(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/bad.csv", "w") as f:
+        f.write("a,b\n1,2\n3\n4,5,6\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_csv(spark, f"{tmpdir_path}/bad.csv").collect()
+
+
+def test_log_date_is_utc_and_ids_do_not_repeat(spark, tmpdir_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql("SELECT 1.0D AS x, 2.0D AS prediction, 1.0D AS confidence_score, "
+                       "timestamp'2026-01-02T01:00:00Z' AS at FROM range(3)")
+        for _ in range(2):
+            scoring.append_log(scoring.log_rows(df, "v", "m", "regression", ["x"], at=F.col("at")), f"{tmpdir_path}/log")
+        log = scoring.read_log(spark, f"{tmpdir_path}/log")
+        assert [str(r.dt) for r in log.select("dt").distinct().collect()] == ["2026-01-02"]
+        assert log.select("id").distinct().count() == 6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

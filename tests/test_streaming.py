@@ -34,3 +34,19 @@ def test_stream_log_is_exactly_once_across_restarts(spark, tmpdir_path):
     log_df = scoring.read_log(spark, log)
     assert log_df.count() == events.count()
     assert log_df.select("id").distinct().count() == events.count()
+
+
+def test_stream_scores_with_a_fitted_model(spark, tmpdir_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from quarry.streaming.scoring_stream import run_scoring_stream
+    df = spark.range(60).selectExpr("id", "double(id) AS x", "3 * double(id) + 1 AS label")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression()]).fit(df)
+    df.drop("label").write.parquet(f"{tmpdir_path}/in")
+    q = run_scoring_stream(spark, f"{tmpdir_path}/in", df.drop("label").schema, f"{tmpdir_path}/log", model, "regression",
+                           ["x"], "v1", "linear", id_col="id", checkpoint=f"{tmpdir_path}/ckpt")
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{tmpdir_path}/log").collect()
+    assert len(rows) == 60 and all(abs(r.prediction - (3 * r.id + 1)) < 1e-6 for r in rows)

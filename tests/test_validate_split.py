@@ -136,3 +136,16 @@ def test_shared_scan_validate_matches_standalone_checks(spark):
         assert x["column_name"] == y["column_name"] and x["drift_detected"] == y["drift_detected"]
         assert math.isclose(x["drift_score"], y["drift_score"], rel_tol=1e-12)
     assert rep.checks["data_drift"] == ok5
+
+
+def test_folds_and_splits_of_repeated_rows_and_null_strata(spark):
+    rows = [(1, "a")] * 800 + [(i, "b") for i in range(100)] + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "x int, y string")
+    assert sorted(r[1] for r in split.assign_folds(df, 3).groupBy("fold").count().collect()) == [310, 310, 310]
+    per = {(r[0], r[1]): r[2] for r in split.assign_folds(df, 3, strata=["y"]).groupBy("y", "fold").count().collect()}
+    assert per == {(y, f): n for y, sizes in (("a", [267, 267, 266]), ("b", [34, 33, 33]), (None, [10, 10, 10]))
+                   for f, n in enumerate(sizes)}
+    train, test = split.random_split(df, 0.2)
+    assert (train.count(), test.count()) == (744, 186)
+    train, test = split.stratified_split(df.where("y is not null"), "y", 0.2)
+    assert {r[0]: r[1] for r in test.groupBy("y").count().collect()} == {"a": 160, "b": 20}
