@@ -108,11 +108,11 @@ WITH c AS (SELECT DISTINCT CAST(o_orderpriority AS VARCHAR) AS v FROM orders
            WHERE o_orderkey % 5 <> 0 AND o_orderpriority IS NOT NULL),
 k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx FROM c)
 SELECT o.o_orderkey, CAST(coalesce(k.idx, -1) AS DOUBLE) AS o_orderpriority
-FROM orders o LEFT JOIN k ON CAST(o.o_orderpriority AS VARCHAR) = k.v WHERE o.o_orderkey % 5 = 0""")
+FROM orders o LEFT JOIN k ON CAST(o.o_orderpriority AS VARCHAR) = k.v""")
 def f7_ordinal_encode(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     cats = fx.fit_categories(o.where(F.col("o_orderkey") % 5 != 0), ["o_orderpriority"])
-    return fx.ordinal_encode(o.where(F.col("o_orderkey") % 5 == 0), cats)
+    return fx.ordinal_encode(o, cats)
 
 
 @query("F8_label_table", """

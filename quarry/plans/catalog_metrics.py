@@ -123,7 +123,7 @@ SELECT *, r2 AS score, CAST(row_number() OVER (ORDER BY r2 DESC, seq) AS INTEGER
 FROM (SELECT * FROM b UNION ALL SELECT * FROM t)""", ["r2", "mae", "rmse", "score"]))
 def m16_final_comparison(spark, sf):
     test = mx.regression_metrics(_reg_frame(spark, sf, F.col("l_orderkey") % 5 == 0), by=["seq", "model_name"])
-    tuned = test.where(F.col("model_name") != "mean_only")
+    tuned = test.where(F.col("model_name") != "mean_only").withColumn("seq", F.col("seq") + 10000)
     return rounded(mx.final_comparison(test, tuned, "r2"))
 
 

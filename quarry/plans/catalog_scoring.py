@@ -24,7 +24,7 @@ def b1_batch_score_regression(spark, sf):
     from pyspark.ml.regression import LinearRegression
     train, test = regression_sides(spark, sf)
     model = LinearRegression().fit(train)
-    out = scoring.score(test, model, "regression")
+    out = scoring.score(train.unionByName(test), model, "regression")
     return rounded(out.select("l_orderkey", "l_linenumber", "prediction", "confidence_score"))
 
 
@@ -33,7 +33,7 @@ def b1_batch_score_classification(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     train, test, _ = classification_sides(spark, sf)
     model = LogisticRegression(maxIter=100).fit(train)
-    out = scoring.score(test, model, "classification")
+    out = scoring.score(train.unionByName(test), model, "classification")
     return rounded(out.select("l_orderkey", "l_linenumber", "prediction", "confidence_score"))
 
 
