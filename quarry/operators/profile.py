@@ -8,6 +8,9 @@ distributed rank selection of ``quarry.functions.ranks``.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,8 @@ RECOMMEND_CORR = 0.85
 RECOMMEND_CORR_TOP = 5
 OUTLIER_RECOMMEND_PCT = 5.0
 NEAR_CONSTANT_PCT = 1.0
+# Error of distinct-value estimates, and how far above the line an estimate rules a column out.
+ESTIMATE_ERROR, CLEARLY = 0.02, 1.5
 TOP_VALUES = 10
 PRIORITY_ORDER = ("high", "medium", "low")
 MSG_SKEW_ISSUE = "Skewed distribution (%s skew: %s)"      # direction, skewness with 2 decimals
@@ -100,37 +105,26 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A3, A6, A7
 
-# columns per one-row moments aggregate: count, avg, stddev, min, max, the
-# skewness and kurtosis buffers and the constant guard are about 22 buffer
-# fields per column, so 4 columns stay under spark.sql.codegen.maxFields (100)
-_MOMENT_COLS_PER_AGG = 4
-
-
 def moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, max, population skewness and excess kurtosis.
 
-    One-row aggregates over chunks of 4 columns (whole-stage codegen, no
-    grouping hash map), unpivoted to one row per column.
+    One scan for any number of columns: values go into the long form
+    ``(position, x)`` and are aggregated by position, partially in each task.
     """
     cols = qt.eda_numeric(df) if cols is None else cols
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], _MOMENT_SCHEMA)
-    out = None
-    for start in range(0, len(cols), _MOMENT_COLS_PER_AGG):
-        exprs, structs = [], []
-        for i in range(start, min(start + _MOMENT_COLS_PER_AGG, len(cols))):
-            x = _num(cols[i])
-            exprs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), skewness(x).alias(f"sk{i}"),
-                      kurtosis(x).alias(f"ku{i}")]
-            structs.append(F.struct(
-                F.lit(i).alias("position"), F.lit(cols[i]).alias("column_name"),
-                F.col(f"n{i}").cast("long").alias("count"), F.col(f"m{i}").alias("mean"),
-                F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                F.col(f"sk{i}").alias("skewness"), F.col(f"ku{i}").alias("kurtosis")))
-        part = _unpivot_structs(df.agg(*exprs), structs)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return spark.createDataFrame([], _MOMENT_SCHEMA)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), _num(c).cast("double").alias("x"))
+                                         for i, c in enumerate(cols)])).alias("s")).select("s.*")
+    x = F.col("x")
+    found = long.groupBy("position").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+        F.max(x).alias("max"), skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"))
+    names = spark.createDataFrame(list(enumerate(cols)), "position int, column_name string")
+    return names.join(found, "position", "left").select(
+        "position", "column_name", F.coalesce("n", F.lit(0)).cast("long").alias("count"), "mean", "std", "min", "max",
+        "skewness", "kurtosis")
 
 
 _MOMENT_SCHEMA = T.StructType([
@@ -228,56 +222,42 @@ def skewed_columns(df: DataFrame, cols: list[str] | None = None, threshold: floa
 
 # ---------------------------------------------------------------- A5, A8, A18
 
-# pairs per one-row aggregate: five sums and one count per pair, so 15 pairs
-# stay under spark.sql.codegen.maxFields (100)
-_PAIRS_PER_AGG = 15
-
-
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A5: Pearson with pairwise deletion; all ordered pairs including the diagonal.
 
-    Needs at least two numeric columns (otherwise an empty frame). One cheap
-    pass takes each column's mean; each pair then needs only plain sums of the
-    shifted values over rows where both are present (n, sum a, sum b, sum a^2,
-    sum b^2, sum ab). Shifting by the mean keeps the sums well conditioned;
-    sums are the cheapest aggregate buffers, and the pairs are chunked so each
-    aggregate keeps whole-stage codegen. r is NULL when either side is
-    constant over the shared rows.
+    Needs at least two numeric columns (otherwise an empty frame). Two scans for
+    any number of columns: one takes the means, the other the Gramian of the rows
+    ``[m, m x, m x^2]`` with x shifted by its mean and m = 1 where it is present.
+    Its entries are, for every pair, the count, the sums, the sums of squares and
+    the product over the rows where both are present. r is NULL when either side
+    is constant over the shared rows.
     """
     cols = qt.eda_numeric(df) if cols is None else list(cols)
     spark = df.sparkSession
     schema = "i int, j int, feature_1 string, feature_2 string, correlation double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    mrow = df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
-    shift = [float(mrow[f"m{i}"]) if mrow[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
-    xs = [_num(c) - F.lit(shift[i]) for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    rows = []
-    for start in range(0, len(pairs), _PAIRS_PER_AGG):
-        chunk = pairs[start:start + _PAIRS_PER_AGG]
-        exprs = []
-        for i, j in chunk:
-            both = xs[i].isNotNull() & xs[j].isNotNull()
-            a, b = F.when(both, xs[i]), F.when(both, xs[j])
-            exprs += [F.count(a).alias(f"n_{i}_{j}"), F.sum(a).alias(f"a_{i}_{j}"), F.sum(b).alias(f"b_{i}_{j}"),
-                      F.sum(a * a).alias(f"aa_{i}_{j}"), F.sum(b * b).alias(f"bb_{i}_{j}"),
-                      F.sum(a * b).alias(f"ab_{i}_{j}")]
-        r = df.agg(*exprs).collect()[0]
-        for i, j in chunk:
-            n = r[f"n_{i}_{j}"]
+    k = len(cols)
+    means = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    if not means["n"]:
+        return spark.createDataFrame([(i, j, cols[i], cols[j], None) for i in range(k) for j in range(k)], schema)
+    present = [F.when(_num(c).isNotNull(), 1.0).otherwise(0.0) for c in cols]
+    x = [F.coalesce(_num(c).cast("double") - F.lit(float(means[f"m{i}"] or 0.0)), F.lit(0.0)) for i, c in enumerate(cols)]
+    rows = df.select(array_to_vector(F.array(*present, *x, *[v * v for v in x])).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeGramianMatrix().toArray()
+    n, total = gram[:k, :k], gram[k:2 * k, :k]
+    squares, product = gram[2 * k:, :k], gram[k:2 * k, k:2 * k]
+    out = []
+    for i in range(k):
+        for j in range(k):
             corr = None
-            if n:
-                sa, sb = r[f"a_{i}_{j}"], r[f"b_{i}_{j}"]
-                vaa = r[f"aa_{i}_{j}"] / n - (sa / n) ** 2
-                vbb = r[f"bb_{i}_{j}"] / n - (sb / n) ** 2
-                cab = r[f"ab_{i}_{j}"] / n - (sa / n) * (sb / n)
-                if vaa > 0 and vbb > 0:
-                    corr = cab / (vaa ** 0.5 * vbb ** 0.5)
-            rows.append((i, j, cols[i], cols[j], corr))
-            if i != j:
-                rows.append((j, i, cols[j], cols[i], corr))
-    return spark.createDataFrame(rows, schema)
+            if n[i, j]:
+                sa, sb = total[i, j] / n[i, j], total[j, i] / n[i, j]
+                va, vb = squares[i, j] / n[i, j] - sa * sa, squares[j, i] / n[i, j] - sb * sb
+                if va > 0 and vb > 0:
+                    corr = float((product[i, j] / n[i, j] - sa * sb) / (va ** 0.5 * vb ** 0.5))
+            out.append((i, j, cols[i], cols[j], corr))
+    return spark.createDataFrame(out, schema)
 
 
 def strong_correlations(df: DataFrame, cols: list[str] | None = None, threshold: float = STRONG_CORR) -> DataFrame:
@@ -342,20 +322,28 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int =
 def constant_columns(df: DataFrame, near_pct: float = NEAR_CONSTANT_PCT, method: str = "exact") -> DataFrame:
     """Distinct <= 1 is constant; distinct / rows < 1% is near-constant; all types.
 
-    Several exact ``count(DISTINCT)`` in one ``agg`` are planned by Catalyst as
-    one ``Expand`` (one row per column) and a two-level aggregation, so each
-    column's distinct values are deduplicated on the map side first; memory
-    follows the number of distinct values. ``method="approx"`` uses
-    HyperLogLog++ (``approx_count_distinct``, fixed-size sketches, one pass),
-    which is exact for very small counts and within about 1% above them.
+    One scan estimates every column's distinct values (HyperLogLog++). Only
+    columns whose estimate is not far above the line, CLEARLY times, are counted
+    exactly, so columns of many values are never shuffled; that margin is over
+    20 standard errors of the estimate. ``method="approx"`` reports the estimates.
     """
     cols = df.columns
     n = F.count(F.lit(1))
-    distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if method == "approx" else F.count_distinct
-    agg = df.agg(n.alias("__n"), *[distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+    estimate = [F.approx_count_distinct(qcol(c), ESTIMATE_ERROR) for c in cols]
+    if method != "approx":
+        seen = df.agg(n.alias("n"), *[e.alias(f"d{i}") for i, e in enumerate(estimate)]).first()
+        line = max(1.0, near_pct / 100 * seen["n"])
+        near = [i for i in range(len(cols)) if seen[f"d{i}"] <= CLEARLY * line]
+    else:
+        near = list(range(len(cols)))
+    if not near:
+        return df.sparkSession.createDataFrame([], "position int, column_name string, type string, unique_values long, "
+                                                   "unique_percentage double")
+    agg = df.agg(n.alias("__n"), *[(estimate[i] if method == "approx" else F.count_distinct(qcol(cols[i]))).alias(f"d{i}")
+                                   for i in near])
     structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
                         F.col(f"d{i}").cast("long").alias("unique_values"),
-                        pct(F.col(f"d{i}"), F.col("__n")).alias("unique_pct")) for i, c in enumerate(cols)]
+                        pct(F.col(f"d{i}"), F.col("__n")).alias("unique_pct")) for i, c in ((i, cols[i]) for i in near)]
     u = _unpivot_structs(agg, structs)
     kind = (F.when(F.col("unique_values") <= 1, "constant")
             .when(F.col("unique_pct") < F.lit(near_pct), "near_constant"))

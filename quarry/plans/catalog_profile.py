@@ -503,3 +503,43 @@ def s1_csv_text(spark, sf):
     path = scratch_dir(spark, "csv")
     readers.write_table(table(spark, sf, "documents").select("doc_id", "text"), path, fmt="csv")
     return readers.read_csv(spark, path, schema={"doc_id": "long", "text": "string"})
+
+
+# lineitem with real tails: a product, a higher power, a falling square, and a near copy of a column
+TAIL_COLS = ["l_quantity", "amount", "power", "fall", "close"]
+TAIL_SRC = ("SELECT l_quantity, l_extendedprice * l_quantity / 1000000 AS amount, "
+            "l_quantity * l_quantity * l_quantity * l_extendedprice / 1000000000 AS power, "
+            "-(l_quantity * l_quantity * l_extendedprice) / 1000000 AS fall, "
+            "l_quantity + l_extendedprice / 10000 AS close FROM lineitem")
+
+
+def _tail_frame(spark, sf):
+    q, e = F.col("l_quantity"), F.col("l_extendedprice")
+    return table(spark, sf, "lineitem").select(
+        q, (e * q / 1000000).alias("amount"), (q * q * q * e / 1000000000).alias("power"),
+        (-(q * q * e) / 1000000).alias("fall"), (q + e / 10000).alias("close"))
+
+
+@query("A6_outliers_tails", _a6_sql(TAIL_COLS, TAIL_SRC))
+def a6_outliers_tails(spark, sf):
+    return rounded(profile.outliers(_tail_frame(spark, sf)))
+
+
+@query("A7_skewed_tails", _a7_sql(TAIL_COLS, TAIL_SRC))
+def a7_skewed_tails(spark, sf):
+    return rounded(profile.skewed_columns(_tail_frame(spark, sf)))
+
+
+@query("A8_strong_tails", _a8_sql(TAIL_COLS, TAIL_SRC, 0.7))
+def a8_strong_tails(spark, sf):
+    return rounded(profile.strong_correlations(_tail_frame(spark, sf)))
+
+
+@query("P7_outlier_rows_tails", f"""
+WITH t AS ({TAIL_SRC}),
+q AS (SELECT quantile_cont(power, 0.25) AS q1, quantile_cont(power, 0.75) AS q3 FROM t)
+SELECT l_quantity, count(*) AS n FROM t, q
+WHERE power < q1 - 1.5 * (q3 - q1) OR power > q3 + 1.5 * (q3 - q1) GROUP BY l_quantity""")
+def p7_outlier_rows_tails(spark, sf):
+    rows = profile.outlier_filter(_tail_frame(spark, sf), "power")
+    return rows.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))

@@ -113,3 +113,15 @@ def test_raw_frame_with_nan_is_handled_without_loader(spark):
     assert rows["a"]["count"] == 3 and rows["a"]["mean"] == 3.0 and rows["a"]["median"] == 3.0
     m = {(r["feature_1"], r["feature_2"]): r["correlation"] for r in profile.correlation_matrix(df).collect()}
     assert math.isclose(m[("a", "b")], 1.0)          # pairs (1,2) and (5,8) only
+
+
+def test_wide_correlations_take_as_many_jobs_as_narrow_ones(spark):
+    def jobs(k):
+        df = spark.range(50).select(*[((F.col("id") * (i + 3)) % 17).cast("double").alias(f"c{i}") for i in range(k)])
+        spark.sparkContext.setJobGroup(f"corr{k}", "")
+        m = profile.correlation_matrix(df)
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"corr{k}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n, m.count()
+    few, many = jobs(3), jobs(30)
+    assert few[0] == many[0] and many[1] == 900
