@@ -204,7 +204,7 @@ def fit(labelled: DataFrame, pieces: Pieces) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, pieces: Pieces, langs: list[str], prob: np.ndarray,
-            keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+            keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score``, the posterior of the prediction under equal priors.
 
     ``und`` with score 0 if the text is NULL or has no letter, or if nothing was
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, pieces: Pieces, langs: list[str], prob: np.ndarray,
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, langs, prob))
     out = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join(f"`{k}` {out.schema[k].dataType.simpleString()}" for k in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{k}` {out.schema[k].dataType.simpleString()}" for k in keep) + f", {names[0]} string, {names[1]} double"
 
     def run(batches):
         pieces, langs, prob = shared.value
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, pieces: Pieces, langs: list[str], prob: np.ndarray,
                 if len(known) > REMEMBERED_WORDS:
                     known, table = {}, table[:0]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(pred, pa.string()),
-                                                  pa.array(score)], names=[*keep, "lang_pred", "score"])
+                                                  pa.array(score)], names=[*keep, *names])
 
     return out.mapInArrow(run, schema)
 
@@ -254,8 +254,9 @@ def read_pieces(path: str) -> Pieces:
     return Pieces([model.id_to_piece(i) for i in range(model.get_piece_size())])
 
 
-def identify(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Learn on documents whose crc32(doc_id as text) mod 4 is not 2, predict all: ``keep, held_out, lang_pred, score``.
+def identify(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
+             names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """Learn on documents whose crc32(doc_id as text) mod 4 is not 2, predict all: the columns ``keep`` and ``names``.
 
     NULL doc_ids are not learned from and count as not held out. Extra columns
     are ignored, equal rows get equal predictions, an empty table gives none.
@@ -264,6 +265,5 @@ def identify(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
     pieces = read_pieces(path)
     learn = docs.where(~held & F.col("doc_id").isNotNull())
     langs, prob = fit(learn, pieces)
-    flagged = docs.withColumn("held_out", held)
-    out = predict(flagged, pieces, langs, prob, keep=(*keep, "held_out"))
-    return out.select(*keep, "held_out", "lang_pred", "score")
+    flagged = docs.withColumn(names[0], held)
+    return predict(flagged, pieces, langs, prob, keep=(*keep, names[0]), names=names[1:]).select(*keep, *names)

@@ -102,8 +102,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     return stay.unionByName(lines.where("blank").select("doc_id", "place"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, and ``n_lines`` and ``n_kept``; one row per input row.
+def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_kept")) -> DataFrame:
+    """``docs`` with the kept lines as ``text``, and its lines and kept lines as ``names``; one row per input row.
 
     ``docs`` has ``doc_id`` (unique) and ``text``; other columns stay as they
     are. Lines are what stands between line feeds, compared as they are; lines
@@ -123,5 +123,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
     n_kept = (F.when(F.col("text").isNull(), 0).when(F.col("doc_id").isNull(), F.size("__lines"))
               .when(F.col("__places").isNull(), 0).otherwise(F.size("__places")).cast("long"))
-    out = full.select(*docs.drop("text").columns, text.alias("text"), n.alias("n_lines"), n_kept.alias("n_kept"))
-    return out.select(*docs.columns, "n_lines", "n_kept")
+    out = full.select(*docs.drop("text").columns, text.alias("text"), n.alias(names[0]), n_kept.alias(names[1]))
+    return out.select(*docs.columns, *names)

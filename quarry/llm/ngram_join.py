@@ -204,14 +204,14 @@ def _shared_columns(entries: DataFrame, words: int, num: int, den: int) -> DataF
 def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Groups of documents linked by n-gram Jaccard similarity of at least ``num / den``.
 
-    ``docs`` has ``doc_id`` (unique, not NULL) and ``text``; other columns, also
-    of clashing names, are ignored. A set holds the distinct runs of ``size``
+    ``docs`` has ``doc_id`` (unique) and ``text``; other columns, also of clashing
+    names, are ignored, and rows without doc_id have no row in the result. A set holds the distinct runs of ``size``
     words; a text with fewer words is one run; NULL, empty and blank texts have
     the empty set and link with nothing. Returns ``doc_id``, ``n_shingles`` and
     ``component_id``, the smallest doc_id reachable by links. Equal texts give
     equal sets and always link. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     sets = written(incidence(docs, size, num, den), "sets")
     rows = written(sets.where("n > 0").groupBy("k1", "k2", "n").agg(
         F.min("doc_id").alias("d"), F.min_by("lead", "doc_id").alias("lead"), F.min("sig").alias("sig")), "rows")
