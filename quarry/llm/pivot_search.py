@@ -167,8 +167,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # the k-th score so far gives the distance that still matters
     q_norm = queries.select(F.col("id").alias("q"), norm.cast("double").alias("qq"))
     kth = seen.where(F.col("rank") == k).select("q", F.col("score").alias("kth"))
-    bounds = (q_norm.join(kth, "q", "left").select("q", F.coalesce(
-        F.sqrt(F.greatest(F.col("qq") + most - 2 * F.col("kth"), F.lit(0.0))), F.lit(float("inf"))).alias("bound")))
+    near = F.sqrt(F.greatest(F.col("qq") + most - 2 * F.col("kth"), F.lit(0.0)))
+    bound = F.when(F.col("kth").isNotNull(), near).otherwise(float("inf"))  # fewer than k seen: nothing is ruled out
+    bounds = q_norm.join(kth, "q", "left").select("q", bound.alias("bound"))
     rest = (reach.join(bounds, "q").join(ranges, "pivot")
             .where(gap <= F.col("bound") * (1 + SLACK) + SLACK)
             .join(own.select("annulus", "q"), ["annulus", "q"], "left_anti").select("annulus", "q", "d", "bound"))

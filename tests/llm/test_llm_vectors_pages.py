@@ -76,8 +76,9 @@ def test_cap_filters_recall_at_the_bound():
         assert above <= set(a[i].tolist()) and (len(a[i]) == len(above) or len(above) < cap_join.LEAST_FILTERS)
 
 
-def test_pivot_search_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(pivot_search, "ANNULUS_ROWS", 16)
+@pytest.mark.parametrize("annulus", [16, 1])  # with one row each, the first look sees fewer than k
+def test_pivot_search_brute_force(spark, monkeypatch, annulus):
+    monkeypatch.setattr(pivot_search, "ANNULUS_ROWS", annulus)
     rng = np.random.default_rng(3)
     x = np.round(rng.standard_normal((260, 16)), 1).astype(np.float32)
     x[100:140] = x[3]  # ties
