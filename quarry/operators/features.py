@@ -88,7 +88,7 @@ def fit_scaler(train: DataFrame, cols: list[str], method: str = "standard") -> d
     """(shift, divisor) per column; population std or range, divisor 1 when 0."""
     method = method.lower()
     if method not in SCALERS:
-        raise FeatureError("scaling_method must be one of: 'standard', 'minmax', 'none'")
+        raise FeatureError(f"no scaling called {method!r}")
     if method == "none" or not cols:
         return {}
     x = F.col("x")
@@ -254,7 +254,7 @@ def mutual_information(df: DataFrame, features: list[str], target: str, discrete
 def top_features(scores: DataFrame, n: int, n_columns: int | None = None) -> DataFrame:
     """score descending, then name; n > 0, capped at n_columns - 1 when given."""
     if n <= 0:
-        raise FeatureError("n_features must be greater than 0")
+        raise FeatureError(f"cannot keep {n} features")
     if n_columns is not None:
         n = max(1, min(n, n_columns - 1))
     head = scores.orderBy(F.col("score").desc(), F.col("feature")).limit(n)

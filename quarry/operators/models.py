@@ -71,7 +71,7 @@ def build_models(task: str, n_classes: int = 2, seed: int = SEED, features: str
                                                              **FOREST_TUNING, **common),
             "gradient_boosting_regressor": GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, **common),
         }
-    raise ModelError("task_type must be either 'classification' or 'regression'")
+    raise ModelError(f"no models for a {task!r} task")
 
 
 def choose_models(models: dict, mode: str = "manual", selected: str | None = None,
@@ -194,7 +194,7 @@ def random_search(train: DataFrame, name: str, est, task: str, metric: str, n_it
     a plain fit. Returns (best_model, best_params, cv_best_score)."""
     space = SEARCH_SPACES.get(name)
     if space is None:
-        raise ModelError(f"No search space configured for model '{name}'")
+        raise ModelError(f"{name!r} has no search space")
     cands = sample_candidates(space, n_iter, seed)
     if not cands:
         data = training_input(train)
@@ -226,9 +226,9 @@ def models_to_tune(ranked: DataFrame, choice="top_k", top_k: int = 3) -> list[st
         return [r["model_name"] for r in ranked.orderBy("rank").limit(int(top_k)).collect()]
     if isinstance(choice, list):
         if not choice:
-            raise ModelError("No models were selected for tuning")
+            raise ModelError("the list of models to tune is empty")
         return list(choice)
-    raise ModelError("models_to_tune must be a list of model names or 'top_k'")
+    raise ModelError(f"cannot tell which models to tune from {choice!r}")
 
 
 # ---------------------------------------------------------------- M15

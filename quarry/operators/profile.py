@@ -281,7 +281,7 @@ def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
     numeric = set(qt.eda_numeric(df))
     keep = [c for c in columns if c in numeric]
     if len(keep) < 2:
-        raise ValueError("Need at least 2 numeric columns for heatmap")
+        raise ValueError(f"a heatmap of {len(keep)} numeric columns has no pairs")
     return correlation_matrix(df, keep)
 
 

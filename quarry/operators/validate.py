@@ -55,9 +55,9 @@ def integrity(train: DataFrame, test: DataFrame):
     """V1: both sides non-empty (raises), equal column sets, shapes, sorted symmetric difference."""
     n_train, n_test = train.count(), test.count()
     if n_train == 0:
-        raise ValidationError("Train dataset is empty")
+        raise ValidationError("no training rows")
     if n_test == 0:
-        raise ValidationError("Test dataset is empty")
+        raise ValidationError("no test rows")
     a, b = set(train.columns), set(test.columns)
     mismatch = sorted(a ^ b)
     status = a == b
@@ -125,10 +125,10 @@ def target_check(train: DataFrame, test: DataFrame, target: str, threshold: floa
     """V4: at least 2 distinct non-NULL values per side (raises); the largest
     share (NULL counted) above ``threshold`` on either side is a warning."""
     if not target:
-        raise ValidationError("Target column is not configured")
+        raise ValidationError("validation needs the name of a target")
     for side, df in (("train", train), ("test", test)):
         if target not in df.columns:
-            raise ValidationError(f"Target column '{target}' missing in {side} dataset")
+            raise ValidationError(f"the {side} side lacks the target {target!r}")
 
     def dist(df, side):
         n = df.count()
@@ -141,7 +141,7 @@ def target_check(train: DataFrame, test: DataFrame, target: str, threshold: floa
     stats = {r["side"]: (r["n_unique"], r["majority_share"]) for r in summary.collect()}
     for side in ("train", "test"):
         if stats.get(side, (0, 0))[0] < 2:
-            raise ValidationError(f"{side.capitalize()} target column '{target}' must contain at least 2 unique values")
+            raise ValidationError(f"one value of {target!r} or none on the {side} side")
     warn = any(stats[s][1] > threshold for s in stats)
     frame = d.join(summary, "side").select(
         "side", "class", "count", F.bround("raw_share", 4).alias("share"), "n_unique",
@@ -236,9 +236,9 @@ def validate(train: DataFrame, test: DataFrame, target: str, expected_schema: di
     n_train, n_test = ptr[None], pte[None]
     # V1
     if n_train == 0:
-        raise ValidationError("Train dataset is empty")
+        raise ValidationError("no training rows")
     if n_test == 0:
-        raise ValidationError("Test dataset is empty")
+        raise ValidationError("no test rows")
     a, b = set(train.columns), set(test.columns)
     rep.checks["data_integrity"] = a == b
     rep.frames["data_integrity"] = spark.createDataFrame(
@@ -262,7 +262,7 @@ def validate(train: DataFrame, test: DataFrame, target: str, expected_schema: di
     ok, frame, warn = target_check(train, test, target, imbalance_threshold)
     rep.checks["target_column"], rep.frames["target_column"] = ok, frame
     if warn:
-        rep.warnings.append(f"Severe class imbalance detected in target column '{target}'")
+        rep.warnings.append(f"one class of {target!r} has nearly all rows")
     # V5
     rows, drifted = [], []
     for i, c in enumerate(drift_cols):
@@ -285,7 +285,7 @@ def gate(report: ValidationReport) -> None:
     """V7: a failed validation stops the run."""
     if not report.passed:
         failed = [k for k, v in report.checks.items() if not v]
-        raise ValidationError(f"Data validation failed: {failed}")
+        raise ValidationError(f"failed checks: {failed}")
 
 
 def spark_type_name(dt: T.DataType) -> str:
