@@ -63,10 +63,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFr
 
 def running_sum(rows: DataFrame, value, name: str) -> DataFrame:
     """``name``: sum of ``value`` over the rows of the same ``turn`` up to this one, by (``key``, ``doc_id``)."""
-    rows = rows.withColumn("__v", value)
+    # dealt by bucket before anything is grouped, else a join or sum by source would deal whole sources
+    rows = rows.withColumn("__v", value).repartition("turn", "bucket")
     sums = rows.groupBy("turn", "bucket").agg(F.sum("__v").alias("__s"))
     earlier = sums.select("turn", "bucket", (F.sum("__s").over(W.partitionBy("turn").orderBy("bucket")) - F.col("__s"))
-                          .alias("__before")).repartition("turn", "bucket")  # else the join would deal all rows by source
+                          .alias("__before")).repartition("turn", "bucket")
     inside = W.partitionBy("turn", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     return (rows.join(earlier, ["turn", "bucket"]).withColumn(name, F.sum("__v").over(inside) + F.col("__before"))
             .drop("__v", "__before"))
