@@ -6,7 +6,8 @@ however many others share it). The matches of a document and an earlier one are
 chained: a chain rises in both texts, each match adds its words, and the words
 between matches cost. Chains are found in one sweep with a Fenwick tree of best
 scores. Each chain is then aligned word by word, through and beyond its matches,
-which gives the passage, its place in both texts and its share of equal words.
+and cut where gaps are wide or equal words few, which gives its passages, their
+places in both texts and their shares of equal words.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from quarry.llm.shingles import mix, shingle_hashes, word_hashes
 
 #: Words of a seed, and k-mers of which the least is a seed: an equal run of SEED + WINDOW - 1 words shares one.
 SEED, WINDOW = 8, 12
-#: Score of a match and cost of each word between matches, in each text: gaps of up to about 40 words are bridged.
+#: Score of a match and cost of each word between matches, in each text: what a chain bridges grows with its score.
 MATCH, GAP = 8.0, 0.1
 #: Matches of a document (with any others) no further apart than REACH words make a stretch; stretches shorter than
-#: STRETCH_WORDS hold no passage: the outermost seeds of an equal run of 50 words span 28 or more. Words around a chain
-#: that its alignment looks at.
+#: STRETCH_WORDS hold no passage: the outermost seeds of an equal run of 50 words span 28 or more. A passage bridges no
+#: more than REACH unlike words at a time. Words around a chain that its alignment looks at.
 REACH, STRETCH_WORDS, AROUND = 40, 20, 64
 #: A passage has at least so many words in both texts and so large a share of equal ones.
 PASSAGE_WORDS, IDENTITY = 50, 0.8
@@ -152,23 +153,35 @@ def chains(matches: DataFrame) -> DataFrame:
 
 def _run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the common beginning."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Words taken of each and equal words, from the beginning on: equal runs, bridged over up to three odd words."""
-    i = j = same = 0
+    n, at, size = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at:min(at + size, n)] != b[at:min(at + size, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, size = at + size, 2 * size
+    return n
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal runs (start in a, start in b, words) from the beginning on, bridged over up to three odd words."""
+    i = j = 0
+    out = []
     while True:
         n = _run(a[i:], b[j:])
-        i, j, same = i + n, j + n, same + n
+        if n:
+            out.append((i, j, n))
+        i, j = i + n, j + n
         for dx, dy in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (3, 3)):
             if _run(a[i + dx:i + dx + 4], b[j + dy:j + dy + 4]) == 4:
                 i, j = i + dx, j + dy
                 break
         else:
-            return i, j, same
+            return out
+
+
+def _before(a: np.ndarray, b: np.ndarray, i: int, j: int, x: int, y: int) -> list[tuple[int, int, int]]:
+    """The same from (x, y) back to (i, j) at most."""
+    return [(x - dx - n, y - dy - n, n) for dx, dy, n in reversed(_extend(a[i:x][::-1], b[j:y][::-1]))]
 
 
 def _common(a: list, b: list) -> int:
@@ -181,20 +194,62 @@ def _common(a: list, b: list) -> int:
     return row[-1]
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end, src_start, src_end, equal words) of the passage through the matches (xs, ys) of words a and b."""
+def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Equal runs of the words a and b through the matches (xs, ys), and beyond them.
+
+    A row for each run: its start in a, its start in b, its words, and the equal
+    words of the gap before it (0 if that is wider than REACH).
+    """
     i, j = int(xs[0]), int(ys[0])
-    back_i, back_j, same = _extend(a[:i][::-1], b[:j][::-1])
-    start, src_start = i - back_i, j - back_j
+    runs = [(*r, 0) for r in _before(a, b, 0, 0, i, j)]
     for x, y in zip(xs.tolist(), ys.tolist()):
         if x < i or y < j:  # overlaps what is aligned already
             continue
-        if x > i or y > j:
-            same += _common(a[i:x].tolist(), b[j:y].tolist())
-        n = _run(a[x:], b[y:])
-        same, i, j = same + n, x + n, y + n
-    n, m, more = _extend(a[i:], b[j:])
-    return start, i + n, src_start, j + m, same + more
+        ahead = [(i + dx, j + dy, n, 0) for dx, dy, n in _extend(a[i:x], b[j:y])]
+        if ahead:
+            i, j = ahead[-1][0] + ahead[-1][2], ahead[-1][1] + ahead[-1][2]
+        behind = [*_before(a, b, i, j, x, y), (x, y, _run(a[x:], b[y:]))]
+        p, q = behind[0][:2]
+        same = _common(a[i:p].tolist(), b[j:q].tolist()) if max(p - i, q - j) <= REACH else 0
+        runs += ahead + [(*r, 0 if k else same) for k, r in enumerate(behind)]
+        i, j = x + behind[-1][2], y + behind[-1][2]
+    return np.array(runs + [(i + dx, j + dy, n, 0) for dx, dy, n in _extend(a[i:], b[j:])])
+
+
+def judged(runs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, src_start, src_end, equal words) of the passages that the runs of an alignment hold.
+
+    No passage bridges a gap of more than REACH words. If the runs between two
+    such gaps fail as a whole, they are covered by their longest parts that pass.
+    """
+    runs = runs[runs[:, 2] > 0]
+    gap = np.maximum(*(runs[1:, c] - runs[:-1, c] - runs[:-1, 2] for c in (0, 1))) if len(runs) else []
+    out = []
+    for part in np.split(runs, np.flatnonzero(gap > REACH) + 1) if len(runs) else ():
+        x, y, n, same = part.T
+        total = np.cumsum(n + same)  # up to the end of each run
+        before = total - n
+
+        def passing(lo):
+            words, src_words = x[lo:] + n[lo:] - x[lo], y[lo:] + n[lo:] - y[lo]
+            return np.flatnonzero((np.minimum(words, src_words) >= PASSAGE_WORDS)
+                                  & (total[lo:] - before[lo] >= IDENTITY * np.maximum(words, src_words))) + lo
+
+        def add(lo, hi):
+            out.append((int(x[lo]), int(x[hi] + n[hi]), int(y[lo]), int(y[hi] + n[hi]), int(total[hi] - before[lo])))
+
+        i, end, top, size = 0, -1, (-1, -1), len(part)
+        if size - 1 in passing(0):
+            add(0, size - 1)
+            continue
+        while end < size - 1:  # of the parts from the first run not covered or before, the one that goes furthest
+            while i <= end + 1:
+                top = max(top, (int(max(passing(i), default=-1)), -i))
+                i += 1
+            if top[0] > end:
+                add(-top[1], top[0])
+            end = max(end + 1, top[0])
+    return out
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -246,8 +301,7 @@ def passages(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b, xs, ys = (c[n][i].values.to_numpy() for n in ("a", "b", "xs", "ys"))
                 lo, src_lo = c["a_lo"][i].as_py(), c["b_lo"][i].as_py()
-                s, e, t, u, same = align(a, b, xs - lo, ys - src_lo)
-                if min(e - s, u - t) >= PASSAGE_WORDS and same >= IDENTITY * max(e - s, u - t):
+                for s, e, t, u, same in judged(align(a, b, xs - lo, ys - src_lo)):
                     rows.append((c["doc"][i].as_py(), s + lo, e + lo, c["src"][i].as_py(), t + src_lo, u + src_lo,
                                  same / max(e - s, u - t)))
             yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r)) for r in rows], schema=OUT)

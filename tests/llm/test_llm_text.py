@@ -311,6 +311,32 @@ def test_chain_matches_quadratic_search():
         assert score == pytest.approx(best.max())
 
 
+def distinct_words(prefix, n):
+    return [f"{prefix}{i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("gap", [30, 60, 250])
+@pytest.mark.parametrize("second", [8, 60])
+def test_passages_of_one_pair_over_a_gap(spark, gap, second):
+    p, q = distinct_words("p", 60), distinct_words("q", second)
+    rows = [(i, " ".join(distinct_words(f"h{i}x", 9) + p + distinct_words(f"g{i}x", gap) + q + distinct_words(f"t{i}x", 9)))
+            for i in (1, 2)]
+    got = sorted((r.doc_id, r.start, r.end, r.src_start, r.src_end, r.identity) for r in chains.passages(frame(spark, rows)).collect())
+    want = [(2, 9, 69, 9, 69, 1.0)] + [(2, 69 + gap, 129 + gap, 69 + gap, 129 + gap, 1.0)] * (second == 60)
+    if (gap, second) == (30, 60):  # 120 of 150 words
+        want = [(2, 9, 159, 9, 159, 0.8)]
+    assert got == want
+
+
+def test_parts_of_an_alignment_that_fails_as_a_whole():
+    # 26 + 3 odd + 26 words pass; the 4-word runs after them do not
+    starts = [0, 29, *range(58, 200, 7)]
+    runs = np.array([(x, x, 26 if x < 58 else 4, 0) for x in starts])
+    out = chains.judged(runs)
+    assert out[0][0] == 0 and out[0][1] >= 55 and all(same >= chains.IDENTITY * (e - s) for s, e, _, _, same in out)
+    assert chains.judged(runs[2:]) == [] and chains.judged(runs[:0]) == []
+
+
 # ---- personal data -------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
