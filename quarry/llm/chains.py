@@ -12,8 +12,6 @@ places in both texts and their shares of equal words.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
@@ -103,23 +101,6 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def uncovered(found: list[tuple]) -> list[tuple]:
-    """The chains of a document without those that lie inside of longer ones that are passages themselves."""
-    found = sorted(found, key=lambda r: (int(r[2][0] - r[2][-1]), r[2][0], r[1]))  # by span, descending
-    out, starts, ends = [], [], []  # disjoint or nested stretches that are covered, in order
-    for r in found:
-        lo, hi = int(r[2][0]), int(r[2][-1])
-        at = bisect.bisect_right(starts, lo) - 1
-        if at >= 0 and ends[at] >= hi:
-            continue
-        out.append(r)
-        if hi + SEED - lo >= PASSAGE_WORDS:
-            # longer ones came first, so this one can only overlap its neighbours
-            starts.insert(at + 1, lo)
-            ends.insert(at + 1, max(hi, ends[at] if at >= 0 else hi))
-    return out
-
-
 def chains(matches: DataFrame) -> DataFrame:
     """(doc, src, xs, ys, more): chains of the matches that stand in long enough stretches of a document."""
     def run(batches):
@@ -135,12 +116,10 @@ def chains(matches: DataFrame) -> DataFrame:
             order = np.lexsort((y, x, src, doc))
             doc, src, x, y, more = doc[order], src[order], x[order], y[order], more[order]
             cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (src[1:] != src[:-1])) + 1
-            rows, of_doc = [], {}
+            rows = []
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(doc)]) if len(doc) else ():
-                of_doc.setdefault(doc[lo], []).extend((doc[lo], src[lo], x[lo:hi][c], y[lo:hi][c], more[lo:hi][c].max())
-                                                      for c in chain(x[lo:hi], y[lo:hi]))
-            for found in of_doc.values():
-                rows += uncovered(found)
+                rows += [(doc[lo], src[lo], x[lo:hi][c], y[lo:hi][c], more[lo:hi][c].max())
+                         for c in chain(x[lo:hi], y[lo:hi])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.list_(pa.int32())),

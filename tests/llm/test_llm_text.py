@@ -337,6 +337,17 @@ def test_parts_of_an_alignment_that_fails_as_a_whole():
     assert chains.judged(runs[2:]) == [] and chains.judged(runs[:0]) == []
 
 
+def test_exact_passage_inside_a_longer_chain_that_fails(spark):
+    a, p = distinct_words("a", 400), distinct_words("p", 80)
+    # 14 words of each 34 of document 1, with the passage of document 2 between
+    shared = [w for i in range(0, 400, 34) for w in a[i:i + 14] + distinct_words(f"o{i}x", 20)]
+    text = shared[:200] + p + shared[200:]
+    assert len(text) == 488
+    rows = [(1, " ".join(a)), (2, " ".join(distinct_words("b", 50) + p)), (3, " ".join(text))]
+    got = [(r.doc_id, r.start, r.end, r.src_doc_id, r.src_start, r.src_end) for r in chains.passages(frame(spark, rows)).collect()]
+    assert got == [(3, 200, 280, 2, 50, 130)]
+
+
 # ---- personal data -------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
