@@ -1,8 +1,8 @@
 """Substring deduplication by collinear chaining of shared seeds.
 
-Seeds are the minimizers of the word k-mers of whole texts. Each seed is joined
-with its earliest occurrence in the corpus (a document has one partner per seed,
-however many others share it). The matches of a document and an earlier one are
+Seeds are the minimizers of the word k-mers of whole texts. Each place of a seed
+is joined with its earliest occurrence in the corpus, in an earlier document or in
+its own (one partner, however many others share it). The matches of a document and an earlier one are
 chained: a chain rises in both texts, each match adds its words, and the words
 between matches cost. Chains are found in one sweep with a Fenwick tree of best
 scores. Each chain is then aligned word by word, through and beyond its matches,
@@ -36,8 +36,14 @@ PASSAGE_WORDS, IDENTITY = 50, 0.8
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(h, doc, pos, more) of the minimizers of all texts, each at its first place in a text; the last one is ``more`` on."""
-    def run(batches):
+    """(h, doc, pos, more, run) of the minimizers of all texts.
+
+    Places less than PASSAGE_WORDS after one another are one row, as the text
+    between repeats a unit shorter than a passage: the first place, the last one
+    is ``run`` on. ``more`` is the same, but for the first row of a seed in a text
+    it reaches to the last place of all.
+    """
+    def of_texts(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words, first = word_hashes(part.column("text"))
@@ -50,16 +56,25 @@ def seeds(docs: DataFrame) -> DataFrame:
                 padded = np.concatenate([order, np.full(WINDOW - 1, 2 ** 64 - 1, np.uint64)])
                 at = np.unique(np.arange(len(kmers)) + sliding_window_view(padded, WINDOW).argmin(1))
                 at = at[whole[at]]
-                with np.errstate(over="ignore"):  # one key for each seed of each text: its first place, and how far it goes
+                if not len(at):
+                    continue
+                with np.errstate(over="ignore"):  # one key for each seed of each text
                     key = kmers[at] ^ mix(row[at].astype(np.uint64) + np.uint64(1))
-                last = at[::-1][np.unique(key[::-1], return_index=True)[1]]
-                at = at[np.unique(key, return_index=True)[1]]
+                order = np.argsort(key, kind="stable")
+                key, at = key[order], at[order]
+                first_one = np.r_[True, key[1:] != key[:-1]]
+                begin = np.flatnonzero(first_one | np.r_[True, at[1:] - at[:-1] >= PASSAGE_WORDS])
+                run = at[np.r_[begin[1:], len(at)] - 1] - at[begin]
+                ends = at[np.r_[np.flatnonzero(first_one)[1:], len(at)] - 1]
+                more = np.where(first_one[begin], ends[np.cumsum(first_one)[begin] - 1] - at[begin], run)
+                at = at[begin]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict({
                     "h": pa.array(kmers[at].astype(np.int64)), "doc": pa.array(ids[row[at]], pa.int64()),
-                    "pos": pa.array((at - first[row[at]]).astype(np.int32)), "more": pa.array((last - at).astype(np.int32))})
+                    "pos": pa.array((at - first[row[at]]).astype(np.int32)), "more": pa.array(more.astype(np.int32)),
+                    "run": pa.array(run.astype(np.int32))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc long, pos int, more int")
+    return docs.select("doc_id", "text").mapInArrow(of_texts, "h long, doc long, pos int, more int, run int")
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -102,7 +117,10 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def chains(matches: DataFrame) -> DataFrame:
-    """(doc, src, xs, ys, more): chains of the matches that stand in long enough stretches of a document."""
+    """(doc, src, xs, ys, more, again, run): chains of the matches that stand in long enough stretches of a document.
+
+    The seed that comes again furthest on is number ``again``, for ``run`` words.
+    """
     def run(batches):
         for g in sorted_groups(batches, ["doc"]):
             doc, pos = g["doc"], g["pos"]
@@ -112,22 +130,25 @@ def chains(matches: DataFrame) -> DataFrame:
             span = pos[np.r_[begin[1:] - 1, len(pos) - 1]] + SEED - pos[begin]
             span = np.maximum(span, np.maximum.reduceat(g["more"], begin) + SEED)  # seeds that come again in a text
             keep = np.repeat(span >= STRETCH_WORDS, np.diff(np.r_[begin, len(pos)]))
-            doc, src, x, y, more = (g[c][keep] for c in ("doc", "src", "pos", "src_pos", "more"))
+            doc, src, x, y, more, again = (g[c][keep] for c in ("doc", "src", "pos", "src_pos", "more", "run"))
             order = np.lexsort((y, x, src, doc))
-            doc, src, x, y, more = doc[order], src[order], x[order], y[order], more[order]
+            doc, src, x, y, more, again = (v[order] for v in (doc, src, x, y, more, again))
             cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (src[1:] != src[:-1])) + 1
             rows = []
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(doc)]) if len(doc) else ():
-                rows += [(doc[lo], src[lo], x[lo:hi][c], y[lo:hi][c], more[lo:hi][c].max())
-                         for c in chain(x[lo:hi], y[lo:hi])]
+                for c in chain(x[lo:hi], y[lo:hi]):
+                    c = c + lo
+                    k = int(np.argmax(np.where(again[c] > 0, x[c] + again[c], -1)))
+                    rows.append((doc[lo], src[lo], x[c], y[c], more[c].max(), k, again[c[k]]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                 pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.int32())],
-                names=["doc", "src", "xs", "ys", "more"])
+                 pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+                 *(pa.array([r[k] for r in rows], pa.int32()) for k in (4, 5, 6))],
+                names=["doc", "src", "xs", "ys", "more", "again", "run"])
 
     return (matches.repartition("doc").sortWithinPartitions("doc", "pos")
-            .mapInArrow(run, "doc long, src long, xs array<int>, ys array<int>, more int"))
+            .mapInArrow(run, "doc long, src long, xs array<int>, ys array<int>, more int, again int, run int"))
 
 
 def _run(a: np.ndarray, b: np.ndarray) -> int:
@@ -231,24 +252,40 @@ def judged(runs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def repeated(a: np.ndarray, b: np.ndarray, x: int, y: int, run: int, found: list[tuple]) -> list[tuple]:
+    """Passages from the further places, up to ``run`` words on, of the seed at (x, y), where those found do not reach."""
+    places = np.flatnonzero((sliding_window_view(a[x:x + run + SEED], SEED) == b[y:y + SEED]).all(1))[1:] + x
+    found, out, reach = sorted(found), [], 0
+    for p in places.tolist():
+        while found and found[0][0] <= p:
+            reach = max(reach, found.pop(0)[1])
+        if p + SEED > reach:
+            new = judged(align(a, b, np.array([p]), np.array([y])))
+            out += new
+            reach = max([reach, *(r[1] for r in new if r[0] <= p)])
+    return out
+
+
 def passages(docs: DataFrame) -> DataFrame:
-    """Passages of documents that repeat in an earlier document, exactly or nearly.
+    """Passages of documents that repeat in an earlier document or earlier in their own, exactly or nearly.
 
     ``docs`` has ``doc_id`` (unique) and ``text``; other columns are ignored.
     Rows ``doc_id, start, end, src_doc_id, src_start, src_end, identity``: the
     words from start to end (exclusive, counted from 0) stand in the document
-    of the smaller id src_doc_id too, with that share of equal words (of the
-    longer side). Passages have PASSAGE_WORDS words or more on both sides; one
-    that stands several times in a document is found at its first place. A
-    document without passages has no row, so have NULL, empty and short texts,
+    of the smaller or same id src_doc_id too, with that share of equal words (of the
+    longer side). Passages have PASSAGE_WORDS words or more on both sides. Each
+    place in a document has its row, also where the document itself has the first
+    one (src_doc_id is doc_id then, and src_start is less than start); a unit of
+    fewer words that repeats on end is not a copy of itself. A document
+    without passages has no row, so have NULL, empty and short texts,
     rows without doc_id and rows that repeat a document under its own id. An
     empty table gives an empty result.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     found = written(seeds(docs), "seeds")
-    first = (found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last"))
-             .where("f.doc < last").select("h", F.col("f.doc").alias("src"), F.col("f.pos").alias("src_pos")))
-    matches = found.join(first, "h").where("doc > src").select("doc", "src", "pos", "src_pos", "more")
+    first = (found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max(F.struct("doc", "pos")).alias("last"))
+             .where("f < last").select("h", F.col("f.doc").alias("src"), F.col("f.pos").alias("src_pos")))
+    matches = found.join(first, "h").where("doc > src or doc = src and pos > src_pos").select("doc", "src", "pos", "src_pos", "more", "run")
     linked = written(chains(matches), "chains")
     wanted = row_filter(linked.select(F.explode(F.array("doc", "src")).alias("d")).distinct())
 
@@ -269,23 +306,27 @@ def passages(docs: DataFrame) -> DataFrame:
         return [lo.alias(f"{name}_lo"), F.slice(name, lo + 1, F.element_at(values, -1) + F.col("more") + SEED + AROUND - lo).alias(name)]
 
     left = linked.join(words.select(F.col("d").alias("doc"), F.col("w").alias("a")), "doc").select(
-        "doc", "src", "xs", "ys", "more", *window(F.col("xs"), "a"))
+        "doc", "src", "xs", "ys", "more", "again", "run", *window(F.col("xs"), "a"))
     both = left.join(words.select(F.col("d").alias("src"), F.col("w").alias("b")), "src").select(
-        "doc", "src", "xs", "ys", "a_lo", "a", *window(F.col("ys"), "b"))
+        "doc", "src", "xs", "ys", "again", "run", "a_lo", "a", *window(F.col("ys"), "b"))
 
-    def run(batches):
+    def aligned(batches):
         for batch in batches:
             rows = []
             c = {n: batch.column(n) for n in batch.schema.names}
             for i in range(batch.num_rows):
                 a, b, xs, ys = (c[n][i].values.to_numpy() for n in ("a", "b", "xs", "ys"))
                 lo, src_lo = c["a_lo"][i].as_py(), c["b_lo"][i].as_py()
-                for s, e, t, u, same in judged(align(a, b, xs - lo, ys - src_lo)):
+                found = judged(align(a, b, xs - lo, ys - src_lo))
+                if run := c["run"][i].as_py():
+                    k = c["again"][i].as_py()
+                    found += repeated(a, b, int(xs[k]) - lo, int(ys[k]) - src_lo, run, found)
+                for s, e, t, u, same in found:
                     rows.append((c["doc"][i].as_py(), s + lo, e + lo, c["src"][i].as_py(), t + src_lo, u + src_lo,
                                  same / max(e - s, u - t)))
             yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r)) for r in rows], schema=OUT)
 
-    found = both.mapInArrow(run, "doc_id long, start long, end long, src_doc_id long, src_start long, src_end long, "
+    found = both.mapInArrow(aligned, "doc_id long, start long, end long, src_doc_id long, src_start long, src_end long, "
                                  "identity double")
     # a passage inside of another one of the document says nothing more
     before = W.partitionBy("doc_id").orderBy("start", F.desc("end"), "src_doc_id", "src_start", "src_end")

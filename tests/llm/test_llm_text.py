@@ -348,6 +348,24 @@ def test_exact_passage_inside_a_longer_chain_that_fails(spark):
     assert got == [(3, 200, 280, 2, 50, 130)]
 
 
+def test_passages_at_several_places_and_within_a_document(spark):
+    p, q = distinct_words("p", 60), distinct_words("q", 70)
+    rows = [(1, p), (2, p + distinct_words("x", 80) + p + distinct_words("y", 7) + p),  # two documents
+            (3, distinct_words("z", 30) + q + distinct_words("u", 90) + q),  # one document
+            (4, distinct_words("v", 60) * 4), (5, ["again"] * 3000), (6, ["begin"] + ["again"] * 7000),
+            (7, ["thrice", "a", "day"] * 400)]
+    out = chains.passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    texts = dict(rows)
+    assert all(r.identity == 1 and texts[r.doc_id][r.start:r.end] == texts[r.src_doc_id][r.src_start:r.src_end]
+               and (r.src_doc_id, r.src_start) < (r.doc_id, r.start) for r in out)
+    got = {}
+    for r in sorted(out):
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.src_doc_id))
+    assert got[2] == [(0, 60, 1), (140, 200, 1), (207, 267, 1)] and got[3] == [(190, 260, 3)] and set(got) == {2, 3, 4, 6}
+    for i, lo, hi in ((4, 60, 240), (6, 1, 7001)):  # repeats on end: covered from the second on
+        assert set().union(*(range(s, e) for s, e, _ in got[i])) == set(range(lo, hi)) and len(got[i]) <= 4
+
+
 # ---- personal data -------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
