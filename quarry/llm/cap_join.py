@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import components, written
 
-#: Filters that a vector exceeds on average, and the number that it takes at least (its best ones).
-MEAN_FILTERS, LEAST_FILTERS = 48, 32
+#: Filters that a vector exceeds on average, and the number that it takes at least (its best ones); with codes of more
+#: than FULL_WORDS words (20,000 vectors), so many times more as there are words, as a higher threshold has less recall.
+MEAN_FILTERS, LEAST_FILTERS, FULL_WORDS = 48, 32, 34
 BLOCKS = 4
 
 
@@ -42,12 +43,28 @@ class ProductCode:
         self.words = words
         sample = rng.standard_normal((512, width))
         sample /= np.linalg.norm(sample, axis=1)[:, None]
-        #: exceeded by a random direction for MEAN_FILTERS of all filters, on average
-        left, right = self._halves(sample)
-        top = 16 * MEAN_FILTERS
-        rest = np.sort(np.concatenate([np.partition((a[:, None] + b).ravel(), -min(top, a.size * b.size))[-top:].copy()
-                                       for a, b in zip(left, right)]))
-        self.threshold = rest[-MEAN_FILTERS * len(sample)]
+        more = max(1.0, words / FULL_WORDS)
+        self.least = round(LEAST_FILTERS * more)
+        #: exceeded by a random direction for MEAN_FILTERS (times ``more``) of all filters, on average
+        self.threshold = self._kept(sample, round(MEAN_FILTERS * more) * len(sample))
+
+    def _kept(self, x: np.ndarray, n: int) -> float:
+        """The n-th greatest of the scores of all filters with all rows, without making the scores."""
+        size = self.words ** 2
+        # the n greatest sums of two sorted lists are among those at places i, j with (i + 1) * (j + 1) <= n
+        counts = np.minimum(n // np.arange(1, min(n, size) + 1), size)
+        i = np.repeat(np.arange(len(counts)), counts)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+        best = np.zeros(0)
+        for row in x:
+            left, right = (-np.sort(-h[0]) for h in self._halves(row[None]))
+            scores = left[i] + right[j]
+            if len(best) == n:
+                scores = scores[scores > best[0]]
+            best = np.concatenate([best, scores])
+            if len(best) > n:
+                best = np.partition(best, len(best) - n)[-n:]
+        return float(best.min())
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = [x @ p @ c for p, c in zip(self.parts, self.code)]
@@ -55,7 +72,7 @@ class ProductCode:
         return (s[0][:, :, None] + s[1][:, None, :]).reshape(n, -1), (s[2][:, :, None] + s[3][:, None, :]).reshape(n, -1)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Numbers of all filters above the threshold for each unit row, and of its best LEAST_FILTERS."""
+        """Numbers of all filters above the threshold for each unit row, and of its best ``least``."""
         left, right = self._halves(x)
         half = left.shape[1]
         out = []
@@ -66,9 +83,9 @@ class ProductCode:
             oa = np.argsort(-a)
             bound = self.threshold
             count = np.searchsorted(-b, a[oa] - bound, "right")
-            if count.sum() < LEAST_FILTERS:  # lower the bound to the score of the last one wanted
-                top = (a[oa[:LEAST_FILTERS], None] + b[:LEAST_FILTERS]).ravel()
-                bound = np.partition(top, -min(LEAST_FILTERS, len(top)))[-min(LEAST_FILTERS, len(top))]
+            if count.sum() < self.least:  # lower the bound to the score of the last one wanted
+                top = (a[oa[:self.least], None] + b[:self.least]).ravel()
+                bound = np.partition(top, -min(self.least, len(top)))[-min(self.least, len(top))]
                 count = np.searchsorted(-b, a[oa] - bound + 1e-12, "right")
             use = np.flatnonzero(count)
             count = count[use]

@@ -3,6 +3,7 @@ import base64
 import hashlib
 import io
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -76,6 +77,33 @@ def test_cap_filters_recall_at_the_bound():
         assert above <= set(a[i].tolist()) and (len(a[i]) == len(above) or len(above) < cap_join.LEAST_FILTERS)
 
 
+def test_cap_threshold_equals_that_of_all_scores():
+    for width, words in ((64, 8), (5, 9), (2, 8)):
+        code = cap_join.ProductCode(width, words)
+        x = np.random.default_rng(5).standard_normal((40, width))
+        left, right = code._halves(x)
+        every = np.sort((left[:, :, None] + right[:, None, :]).ravel())
+        for n in (1, 48 * 40, every.size):
+            assert code._kept(x, n) == every[-n]
+
+
+@pytest.mark.parametrize("vectors", [10 ** 6, 10 ** 7])
+def test_cap_code_of_many_vectors(vectors):
+    tracemalloc.start()
+    code = cap_join.ProductCode(64, math.ceil((64 * vectors) ** 0.25))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    rng = np.random.default_rng(1)
+    y, z = rng.standard_normal((2, 400, 64))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    z -= (z * y).sum(1)[:, None] * y
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    near = 0.95 * y + math.sqrt(1 - 0.95 ** 2) * z
+    a, b = code.decode(y), code.decode(near)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.97
+
+
 @pytest.mark.parametrize("annulus", [16, 1])  # with one row each, the first look sees fewer than k
 def test_pivot_search_brute_force(spark, monkeypatch, annulus):
     monkeypatch.setattr(pivot_search, "ANNULUS_ROWS", annulus)
