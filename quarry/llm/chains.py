@@ -197,8 +197,8 @@ def _common(a: list, b: list) -> int:
 def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     """Equal runs of the words a and b through the matches (xs, ys), and beyond them.
 
-    A row for each run: its start in a, its start in b, its words, and the equal
-    words of the gap before it (0 if that is wider than REACH).
+    A row for each run: its start in a, its start in b, its words, and the words
+    that may be equal in the gap before it (0 if that is wider than REACH).
     """
     i, j = int(xs[0]), int(ys[0])
     runs = [(*r, 0) for r in _before(a, b, 0, 0, i, j)]
@@ -210,7 +210,7 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.nd
             i, j = ahead[-1][0] + ahead[-1][2], ahead[-1][1] + ahead[-1][2]
         behind = [*_before(a, b, i, j, x, y), (x, y, _run(a[x:], b[y:]))]
         p, q = behind[0][:2]
-        same = _common(a[i:p].tolist(), b[j:q].tolist()) if max(p - i, q - j) <= REACH else 0
+        same = min(p - i, q - j) if max(p - i, q - j) <= REACH else 0
         runs += ahead + [(*r, 0 if k else same) for k, r in enumerate(behind)]
         i, j = x + behind[-1][2], y + behind[-1][2]
     return np.array(runs + [(i + dx, j + dy, n, 0) for dx, dy, n in _extend(a[i:], b[j:])])
@@ -252,6 +252,18 @@ def judged(runs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def found_in(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The passages through the matches (xs, ys). Gaps are compared only where their words could make a passage."""
+    runs = align(a, b, xs, ys)
+    if not judged(runs):
+        return []
+    ends = runs[:-1, :2] + runs[:-1, 2:3]
+    for k in np.flatnonzero(runs[1:, 3]) + 1:
+        (i, j), (x, y) = ends[k - 1], runs[k, :2]
+        runs[k, 3] = _common(a[i:x].tolist(), b[j:y].tolist())
+    return judged(runs)
+
+
 def repeated(a: np.ndarray, b: np.ndarray, x: int, y: int, run: int, found: list[tuple]) -> list[tuple]:
     """Passages from the further places, up to ``run`` words on, of the seed at (x, y), where those found do not reach."""
     places = np.flatnonzero((sliding_window_view(a[x:x + run + SEED], SEED) == b[y:y + SEED]).all(1))[1:] + x
@@ -260,7 +272,7 @@ def repeated(a: np.ndarray, b: np.ndarray, x: int, y: int, run: int, found: list
         while found and found[0][0] <= p:
             reach = max(reach, found.pop(0)[1])
         if p + SEED > reach:
-            new = judged(align(a, b, np.array([p]), np.array([y])))
+            new = found_in(a, b, np.array([p]), np.array([y]))
             out += new
             reach = max([reach, *(r[1] for r in new if r[0] <= p)])
     return out
@@ -317,7 +329,7 @@ def passages(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b, xs, ys = (c[n][i].values.to_numpy() for n in ("a", "b", "xs", "ys"))
                 lo, src_lo = c["a_lo"][i].as_py(), c["b_lo"][i].as_py()
-                found = judged(align(a, b, xs - lo, ys - src_lo))
+                found = found_in(a, b, xs - lo, ys - src_lo)
                 if run := c["run"][i].as_py():
                     k = c["again"][i].as_py()
                     found += repeated(a, b, int(xs[k]) - lo, int(ys[k]) - src_lo, run, found)
