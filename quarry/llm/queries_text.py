@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chains, langid, line_dedup, mixing, ngram_join, pii
+from quarry.llm import bpe, chains, langid, line_dedup, mixing, ngram_join, pii, prefix_table, spelling
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -77,3 +77,52 @@ def op10_context_pii(spark, sf_dir):
 @query("op9_chained_passages")
 def op9_chained_passages(spark, sf_dir):
     return chains.passages(load(spark, sf_dir, "documents"))
+
+
+# no DuckDB twin: merges in rank order; the tests compare with the sentencepiece library
+@query("op12_prefix_table")
+def op12_prefix_table(spark, sf_dir):
+    table = prefix_table.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return prefix_table.digests(load(spark, sf_dir, "documents"), table)
+
+
+#: CRC-32 of the UTF-8 bytes of ``<doc_id>:<run>`` by its usual table, the words, pairs at one edit, and the chain of forms.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT [list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS c FROM o GROUP BY 1, 2),
+b AS (SELECT run, c, list_prepend(4294967295, flatten([CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+             ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END
+             FOR x IN string_split(CAST(doc_id AS VARCHAR) || ':' || run, '')])) AS bytes FROM d),
+h AS (SELECT run, c, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2)
+             ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+v AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+k AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS k FROM v),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM k a JOIN w b ON a.k = b.word
+      UNION SELECT b.word, a.word, a.n FROM k a JOIN w b ON a.k = b.word),
+q AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) AS r FROM p),
+s AS (SELECT word, CAST(count(*) AS BIGINT) AS n_near, max(m) AS m, max(other) FILTER (r = 1) AS other FROM q GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form,
+             CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN s USING (word)),
+g AS (SELECT word, word AS at FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.at AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word
+JOIN f e ON e.word = g.at AND e.form IS NULL
+"""
+
+
+@query("op11_spelling_forms", OP11_SQL)
+def op11_spelling_forms(spark, sf_dir):
+    """Runs of letters, one of 31 (by the hash of document and run) without one of its characters, by their forms."""
+    docs = load(spark, sf_dir, "documents")
+    runs = spelling.occurrences(docs, "doc_id", "text", 7)
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "run"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.forms(spelling.vocabulary(words, 7, 2), 7, 10)
