@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import cap_join, pivot_search
+from quarry.llm import cap_join, pivot_search, vertical_scan
 from quarry.llm.common import load
 from quarry.llm.registry import query
 
@@ -42,3 +42,27 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 @query("op3_spherical_caps", OP3_SQL)
 def op3_spherical_caps(spark, sf_dir):
     return cap_join.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(sum(q.x * c.x) AS BIGINT) AS score
+      FROM e q JOIN e c USING (i) WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2, 3),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op13_vertical_scan", OP13_SQL)
+def op13_vertical_scan(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vertical_scan.mine(vertical_scan.prepared(load(spark, sf_dir, "embeddings"), "vec_id", label, "embedding",
+                                                     F.col("vec_id") % 100 == 0))

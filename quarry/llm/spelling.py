@@ -62,12 +62,14 @@ class Acceptor:
             if known != s:
                 self.next[path[-1]][word[len(path) - 1]] = known
 
-    def common(self, p: int, q: int, but: str = "") -> list[str]:
-        """Words that lead from both states to final ones, not beginning with ``but``: the part after the edit."""
+    def common(self, p: int, q: int, but: str = "", after: str = "") -> list[str]:
+        """Words that lead from both states to final ones: the part after the edit.
+
+        Followed by ``after``, they do not begin with ``but``."""
         out, stack = [], [(p, q, "")]
         while stack:
             p, q, s = stack.pop()
-            if self.final[p] and self.final[q]:
+            if self.final[p] and self.final[q] and (s or not but or but != after):
                 out.append(s)
             a, b = self.next[p], self.next[q]
             for c in a if len(a) <= len(b) else b:
@@ -75,23 +77,25 @@ class Acceptor:
                     stack.append((a[c], b[c], s + c))
         return out
 
-    def edits(self, p: int) -> list[tuple[str, str]]:
-        """Pairs of ends from state ``p`` whose first characters differ by the edit; a longer end comes second."""
+    def edits(self, p: int, after: str) -> list[tuple[str, str]]:
+        """Pairs of ends from state ``p`` that differ from their first character on; a longer end comes second.
+
+        Of the places at which a character of a run may have been inserted, that is the last one."""
         out, arcs = [], sorted(self.next[p].items())
         for i, (b, q) in enumerate(arcs):
             for a, r in arcs[:i]:
                 out += [(a + s, b + s) for s in self.common(r, q)]
-            out += [(s, b + s) for s in self.common(p, q, b)]
+            out += [(s, b + s) for s in self.common(p, q, b, after)]
         return out
 
-    def pairs(self, depth: int) -> Iterator[tuple[str, str]]:
-        """Accepted pairs of words whose common prefix is shorter than ``depth``; each pair comes once."""
+    def pairs(self, depth: int, after: str = "") -> Iterator[tuple[str, str]]:
+        """Accepted pairs of words, followed by ``after``, whose common prefix is shorter than ``depth``; each once."""
         known: dict[int, list] = {}
         stack = [(0, "")]
         while stack:
             p, prefix = stack.pop()
             if p not in known:
-                known[p] = self.edits(p)
+                known[p] = self.edits(p, after)
             for x, y in known[p]:
                 yield prefix + x, prefix + y
             if len(prefix) + 1 < depth:
@@ -175,7 +179,7 @@ def near_pairs(words: DataFrame, least: int = 1) -> DataFrame:
                 x = run["x"][lo:hi].tolist()
                 n = dict(zip(x, run["n"][lo:hi].tolist()))
                 middle = size - len(head) - len(tail)
-                for a, b in Acceptor(x).pairs(int(run["below"][lo]) - len(head)):
+                for a, b in Acceptor(x).pairs(int(run["below"][lo]) - len(head), tail[:1]):
                     if not size or len(b) == middle:
                         for column, value in zip(out, (head + a + tail, head + b + tail, n[a], n[b])):
                             column.append(value)
