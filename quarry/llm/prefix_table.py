@@ -117,7 +117,7 @@ class PieceTable:
             for p in self.right:
                 a.add_word(p, p)
             a.make_automaton()
-            self._automaton, self._pairs = a, {}
+            self._automaton, self._pairs, self._tested = a, {}, 0
         return self._automaton
 
     def __getstate__(self):
@@ -126,7 +126,7 @@ class PieceTable:
     def last_tokens(self, unit: str) -> list[str | None]:
         """The last token of each prefix of a text, by the prefix's last character; None for a byte-coded one."""
         matches, last = self.automaton.iter(unit), [None] * len(unit)
-        pairs, test = self._pairs, self.compatible
+        pairs = self._pairs
         for end, t in matches:
             if last[end] is not None:
                 continue
@@ -134,15 +134,19 @@ class PieceTable:
             if start >= 0:
                 u = last[start]
                 if u is not None:
-                    key = (u, t)
-                    ok = pairs.get(key)
+                    fits = pairs.get(u)
+                    if fits is None:
+                        fits = pairs[u] = {}
+                    ok = fits.get(t)
                     if ok is None:
-                        ok = pairs[key] = test(u, t)
+                        ok = fits[t] = self.compatible(u, t)
+                        self._tested += 1
                     if not ok:
                         continue
             last[end] = t
-        if len(pairs) > REMEMBERED_PAIRS:
+        if self._tested > REMEMBERED_PAIRS:
             pairs.clear()
+            self._tested = 0
         return last
 
     def encode(self, unit: str) -> list[int]:
@@ -160,7 +164,10 @@ class PieceTable:
 
     def pieces_text(self, ids: list[int]) -> str:
         """The characters that ids stand for, marks as spaces; stray bytes become U+FFFD."""
-        out, held = [], bytearray()
+        try:
+            return "".join([self.name[i] for i in ids]).replace(MARK, " ")
+        except KeyError:  # bytes, or ids that are no pieces
+            out, held = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
             if b is not None:
@@ -224,18 +231,19 @@ def read_model(path: str) -> PieceTable:
     return PieceTable(normal, byte_ids, norm.add_dummy_prefix)
 
 
-def _encoded(batches, text: str, table: PieceTable, store):
-    """(part of a batch, for each row what ``store`` keeps of the ids of its units, in order) of all batches."""
-    known: dict[str, object] = {}
+def _encoded(batches, text: str, table: PieceTable, *stores):
+    """(part of a batch, for each of ``stores`` a list by row of what it keeps of the ids of each unit) of all batches."""
+    known: list[dict] = [{} for _ in stores]
     for batch in batches:
         for part in slices(batch, text, STRETCH_BYTES):
             rows = [table.units.findall(table.normalized(t)) for t in part.column(text).to_pylist()]
-            for unit in set().union(*rows).difference(known):
-                known[unit] = store(table.encode(unit))
-            find = known.__getitem__
-            yield part, [list(map(find, r)) for r in rows]
-            if len(known) > REMEMBERED_UNITS:
-                known.clear()
+            for unit in set().union(*rows).difference(known[0]):
+                ids = table.encode(unit)
+                for kept, store in zip(known, stores):
+                    kept[unit] = store(ids)
+            yield part, *([map(kept.__getitem__, r) for r in rows] for kept in known)
+            if len(known[0]) > REMEMBERED_UNITS:
+                known = [{} for _ in stores]
 
 
 def _map(docs: DataFrame, table: PieceTable, column: str, keep: tuple[str, ...], added: str, work) -> DataFrame:
@@ -282,12 +290,11 @@ def digests(docs: DataFrame, table: PieceTable, text: str = "text", keep: tuple[
     row's units are decoded apart and joined.
     """
     def work(batches, table):
-        def store(ids):
-            return ",".join(map(str, ids)), table.pieces_text(ids)
+        def decimal(ids):
+            return ",".join(map(str, ids))
 
-        for part, rows in _encoded(batches, text, table, store):
-            ids = [",".join([x[0] for x in r]) for r in rows]
-            texts = ["".join([x[1] for x in r]) for r in rows]
+        for part, ids, texts in _encoded(batches, text, table, decimal, table.pieces_text):
+            ids, texts = list(map(",".join, ids)), list(map("".join, texts))
             if table.dummy_prefix:
                 texts = [t[1:] if t.startswith(" ") else t for t in texts]
             yield (part, pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()),
