@@ -37,6 +37,24 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("quarry.arrow.bounded", "true")
 
 
+#: Bits of the filter of ``hashed_in``: at most 65,536 rows of 64 bits are sent, whatever the input's size.
+FILTER_BITS = 22
+
+
+def hashed_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash ``column`` (long) may be one of ``wanted``: all that are, and few others.
+
+    It spares other rows a shuffle. The filter is a table of bits of fixed size that Spark sends to the rows; when
+    more is wanted than it can tell apart it lets every row pass, and the join behind it decides alone."""
+    place = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    bits = (wanted.select(F.shiftright(place, 6).cast("int").alias("__word"), bit.alias("__bit"))
+            .groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")))
+    told = df.withColumn("__word", F.shiftright(place, 6).cast("int")).join(F.broadcast(bits), "__word")
+    hit = F.call_function("shiftright", F.col("__bits"), bit)
+    return told.where(hit.bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]

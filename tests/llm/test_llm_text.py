@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, chains, langid, line_dedup, mixing, ngram_join, pii
 from quarry.llm.shingles import shingle_set, word_hashes
@@ -157,8 +158,8 @@ def within_one(a, b):
     return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
 
 
-def brute_lines(rows):
-    seen, out = [], {}
+def brute_lines(rows, least=0):
+    seen, gone, out = [], set(), {}
     for i, text in rows:
         if text is None:
             out[i] = (None, 0, 0)
@@ -168,16 +169,19 @@ def brute_lines(rows):
             if not line.strip(" \t\r\x0b\x0c"):
                 keep.append(line)
                 continue
-            if not any(line == s or (min(len(line), len(s)) >= line_dedup.NEAR_CHARS and within_one(line, s)) for s in seen):
+            # a line goes for an earlier one that stays; one of fewer than ``least`` characters only for an equal one
+            if line in gone or any(line == s or (min(len(line), len(s)) >= least and within_one(line, s)) for s in seen):
+                gone.add(line)
+            else:
                 keep.append(line)
-            seen.append(line)
+                seen.append(line)
         out[i] = ("\n".join(keep), len(text.split("\n")), len(keep))
     return out
 
 
-@pytest.mark.parametrize("variant_chars", [1024, 13])
-def test_dedup_lines_brute_force(spark, monkeypatch, variant_chars):
-    monkeypatch.setattr(line_dedup, "VARIANT_CHARS", variant_chars)
+@pytest.mark.parametrize("block,least", [(128, 0), (3, 0), (128, 12)])
+def test_dedup_lines_brute_force(spark, monkeypatch, block, least):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(2)
     base = ["".join(rng.choices("ab é", k=rng.randint(0, 16))) for _ in range(40)]
 
@@ -193,9 +197,34 @@ def test_dedup_lines_brute_force(spark, monkeypatch, variant_chars):
 
     rows = [(i, None if i % 17 == 0 else "\n".join(change(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for i in range(70)]
     rows += [(900, ""), (901, "z" * 5000 + "\n" + "y" * 40), (902, "z" * 4999 + "\n" + "y" * 41), (903, "\n\n")]
-    out = line_dedup.dedup_lines(frame(spark, rows))
+    out = line_dedup.dedup_lines(frame(spark, rows), least=least)
     assert out.columns == ["doc_id", "text", "n", "h", "size", "key", "n_lines", "n_kept"]
-    assert {r.doc_id: (r.text, r.n_lines, r.n_kept) for r in out.collect()} == brute_lines(rows)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_kept) for r in out.collect()} == brute_lines(rows, least)
+
+
+def test_numbered_lines_stay_unless_a_kept_line_is_near(spark):
+    rows = [(1, "\n".join(f"a numbered line {i}" for i in range(1000, 1200)))]
+    kept = line_dedup.dedup_lines(frame(spark, rows)).first()
+    assert kept.n_kept == brute_lines(rows)[1][2] == 20
+    # a chain: every second line stays
+    rows = [(i, "x" * (i + 1)) for i in range(12)]
+    assert [r.text for r in line_dedup.dedup_lines(frame(spark, rows)).orderBy("doc_id").collect()] == [
+        "x" * (i + 1) if i % 2 == 0 else "" for i in range(12)]
+
+
+def test_long_lines_that_share_a_half_do_not_all_meet(spark):
+    """Lines meet in a key only if they agree in all but one place."""
+    rng = random.Random(8)
+    half = "".join(rng.choices("abcdé", k=600))
+    lines = [half + "".join(rng.choices("abcdé", k=600)) for _ in range(60)]
+    lines += [x[:700] + "Z" + x[701:] for x in lines[:5]] + [x[:1000] + x[1001:] for x in lines[5:10]] + ["q" + x for x in lines[10:15]]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    out = {r.doc_id: (r.text, r.n_lines, r.n_kept) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out == brute_lines(rows) and sum(r[2] for r in out.values()) == 60
+    line, n, faced = F.col("text"), F.length("text"), F.lit(15)
+    keys = frame(spark, rows).select("doc_id", F.explode(line_dedup.variant_keys(line, n, faced)).alias("k"))
+    met = keys.alias("a").join(keys.alias("b"), "k").where("a.doc_id < b.doc_id").select("a.doc_id", "b.doc_id").distinct()
+    assert met.count() == 15
 
 
 def test_dedup_lines_edges(spark):
