@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, sorted_groups, written
-from quarry.llm.ngram_join import filter_key, row_filter
+from quarry.llm.common import hashed_in, slices, sorted_groups, written
 from quarry.llm.shingles import mix, shingle_hashes, word_hashes
 
 #: Words of a seed, and k-mers of which the least is a seed: an equal run of SEED + WINDOW - 1 words shares one.
@@ -299,11 +298,10 @@ def passages(docs: DataFrame) -> DataFrame:
              .where("f < last").select("h", F.col("f.doc").alias("src"), F.col("f.pos").alias("src_pos")))
     matches = found.join(first, "h").where("doc > src or doc = src and pos > src_pos").select("doc", "src", "pos", "src_pos", "more", "run")
     linked = written(chains(matches), "chains")
-    wanted = row_filter(linked.select(F.explode(F.array("doc", "src")).alias("d")).distinct())
+    wanted = linked.select(F.explode(F.array("doc", "src")).alias("d")).select(F.xxhash64("d").alias("h"))
 
     def words_of(batches):
         for batch in batches:
-            batch = batch.filter(wanted.value.test(batch.column("h")))
             for part in slices(batch, "text"):
                 words, at = word_hashes(part.column("text"))
                 short = pa.array((words >> np.uint64(32)).astype(np.uint32).view(np.int32))
@@ -311,7 +309,8 @@ def passages(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), short)],
                     names=["d", "w"])
 
-    words = docs.withColumn("h", filter_key("doc_id")).mapInArrow(words_of, "d long, w array<int>")
+    words = hashed_in(docs.withColumn("h", F.xxhash64(F.col("doc_id").cast("long"))), "h", wanted).mapInArrow(
+        words_of, "d long, w array<int>")
 
     def window(values, name):
         lo = F.greatest(F.element_at(values, 1) - AROUND, F.lit(0))

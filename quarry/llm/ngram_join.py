@@ -25,25 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quarry.llm.common import components, slices, sorted_groups, written
+from quarry.llm.common import components, hashed_in, slices, written
 from quarry.llm.shingles import mix, shingle_set, word_hashes
 
 _U = np.uint64
 
-#: Counters of the frequency sketch: 4 MB whatever the input's size.
+#: Counters of the frequency sketch: 8 MB whatever the input's size. They are added up in a tree: the chunks of the map
+#: tasks in lanes, then the lanes.
 SKETCH_BITS = 20
-SKETCH_CHUNKS = 64
+SKETCH_CHUNKS, SKETCH_LANES = 64, 64
 #: Bits of a set's parity signature: the signatures of two sets differ in no more bits than the sets in elements.
 #: Columns with many entries, as near copies make them, carry it into the product; other pairs are compared by it after.
 SIGNATURE_BITS = 2048
 SIGNATURE_WORDS, MANY_ENTRIES = SIGNATURE_BITS // 64, 64
-#: Bits of the row filter that spares whole texts a shuffle: 1 MB. When more rows are wanted than it can tell apart
-#: it lets every row pass and the join that follows decides alone.
-FILTER_BITS = 23
 
 
 def _sets(batches, size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -65,21 +64,35 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64),
                                      minlength=len(total))
         if total.any():
+            lane = TaskContext.get().partitionId() % SKETCH_LANES
             yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array(range(SKETCH_CHUNKS), pa.int32()),
+                "chunk": pa.array(range(SKETCH_CHUNKS), pa.int32()), "lane": pa.array([lane] * SKETCH_CHUNKS, pa.int32()),
                 "counts": pa.array([zlib.compress(total[i * width:(i + 1) * width].tobytes(), 1)
                                     for i in range(SKETCH_CHUNKS)], pa.binary())})
 
     def add(batches):
-        for run in sorted_groups(batches, ["chunk"]):
-            for lo, hi in zip(run["__start"], np.r_[run["__start"][1:], len(run["chunk"])]):
-                total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in run["counts"][lo:hi])
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([run["chunk"][lo]], pa.int32()),
-                                                  "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    schema = "chunk int, counts binary"
-    rows = (docs.select("doc_id", "text").mapInArrow(count, schema)
-            .repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, schema).collect())
+        at, total = None, None
+        for batch in batches:  # sorted by chunk and lane; only a running sum is held
+            for chunk, lane, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lane", "counts"))):
+                part = np.frombuffer(zlib.decompress(counts), np.int64)
+                if (chunk, lane) == at:
+                    total = total + part
+                    continue
+                if at is not None:
+                    yield summed(at, total)
+                at, total = (chunk, lane), part
+        if at is not None:
+            yield summed(at, total)
+
+    def summed(at, total):
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(at[:1], pa.int32()), "lane": pa.array(at[1:], pa.int32()),
+                                           "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "chunk int, lane int, counts binary"
+    lanes = (docs.select("doc_id", "text").mapInArrow(count, schema)
+             .repartition("chunk", "lane").sortWithinPartitions("chunk", "lane").mapInArrow(add, schema))
+    rows = (lanes.withColumn("lane", F.lit(0)).repartition("chunk").sortWithinPartitions("chunk")
+            .mapInArrow(add, schema).collect())
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         out[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
@@ -119,46 +132,20 @@ def incidence(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         rows, "doc_id long, n long, k1 long, k2 long, sig array<long>, lead array<long>")
 
 
-class RowFilter:
-    """A fixed megabyte of bits that passes (at least) the ids put in."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def test(self, keys: pa.Array) -> pa.Array:
-        h = keys.to_numpy()
-        return pa.array(((self.bits[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1)).astype(bool))
-
-
-def filter_key(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
-
-
-def row_filter(ids: DataFrame):
-    """Broadcast filter of the ids ``d``; its words are gathered as grouped OR, so its size does not grow with them."""
-    words = (ids.select(F.shiftright(filter_key("d"), 5).alias("w"), F.pmod(filter_key("d"), F.lit(32)).cast("int").alias("b"))
-             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect())
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    for r in words:
-        out[r["w"]] = r["bits"]
-    return ids.sparkSession.sparkContext.broadcast(RowFilter(out))
-
-
 def overlaps(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """Exact overlap of the sets of each pair (a, b): the product of the whole rows."""
     pairs = written(pairs, "pairs")
-    wanted = row_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).select(F.xxhash64("d").alias("h"))
 
     def rows(batches):
         for batch in batches:
-            batch = batch.filter(wanted.value.test(batch.column("h")))
             for part in slices(batch, "text"):
                 packed = [zlib.compress(t.encode(), 1) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"d": part.column("doc_id").cast(pa.int64()),
                                                   "t": pa.array(packed, pa.binary())})
 
     # packed whole texts are a fraction of the rows' n-grams, which both ends make anew
-    whole = docs.select("doc_id", "text", filter_key("doc_id").alias("h")).mapInArrow(
+    whole = hashed_in(docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h")), "h", wanted).mapInArrow(
         rows, "d long, t binary")
     left = pairs.join(whole.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(whole.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b")
