@@ -13,13 +13,13 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol, safe_corr
 from quarry.functions.ranks import quantile_table
+from quarry.operators import dictionary, pipeline
 from quarry.operators.profile import long_values
 
 # Option names and the mutual-information bin count.
@@ -27,9 +27,6 @@ NUMERIC_STRATEGIES = ("mean", "median", "most_frequent")
 SCALERS = ("standard", "minmax", "none")
 MI_BINS = 10
 UNKNOWN_CODE = -1
-# above this many one-hot columns the vector is built by fitted ML stages
-# (sparse) instead of one projected column per category
-WIDE_ONE_HOT = 256
 
 
 class FeatureError(ValueError):
@@ -113,27 +110,22 @@ def apply_scaler(df: DataFrame, params: dict) -> DataFrame:
 
 # ---------------------------------------------------------------- F6, F7
 
-def fit_categories(train: DataFrame, cols: list[str]) -> dict:
-    """Sorted distinct non-NULL values per column (as strings), from train."""
-    if not cols:
-        return {}
-    long = long_values(train, cols, lambda c: qcol(c).cast("string")).where(F.col("x").isNotNull())
-    rows = long.select("column_name", "x").distinct().collect()
+def fit_categories(train: DataFrame, cols: list[str]) -> DataFrame:
+    """The category table (column_name, value, code): sorted distinct non-NULL values per column, as text, from train."""
+    return dictionary.category_table(train, cols)
+
+
+def category_names(table: DataFrame, cols: list[str]) -> dict:
+    """The categories as lists, for outputs that have a column for each."""
     out = {c: [] for c in cols}
-    for r in rows:
-        out[r["column_name"]].append(r["x"])
-    return {c: sorted(v) for c, v in out.items()}
+    for r in table.orderBy("column_name", "code").collect():
+        out[r["column_name"]].append(r["value"])
+    return out
 
 
-def ordinal_encode(df: DataFrame, categories: dict) -> DataFrame:
+def ordinal_encode(df: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
     """position in the sorted train categories; unseen (or NULL) gives -1."""
-    def code(c):
-        cats = categories[c]
-        lookup = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(float(i)))]) if cats else None
-        val = F.element_at(lookup, qcol(c).cast("string")) if lookup is not None else F.lit(None)
-        return F.coalesce(val.cast("double") if lookup is not None else val.cast("double"),
-                          F.lit(float(UNKNOWN_CODE))).alias(c)
-    return df.select(*[code(c) if c in categories else qcol(c) for c in df.columns])
+    return dictionary.encode(df, table, {c: (c, c) for c in cols}, UNKNOWN_CODE).select(*[qcol(c) for c in df.columns])
 
 
 def one_hot_columns(df: DataFrame, categories: dict, sep: str = "_") -> DataFrame:
@@ -149,16 +141,6 @@ def one_hot_columns(df: DataFrame, categories: dict, sep: str = "_") -> DataFram
     return df.select(*out)
 
 
-def one_hot_stages(cols: list[str]):
-    """F6 as ML stages: alphabetical index with a kept unknown slot, which the
-    default ``dropLast`` one-hot removes, so unseen values become all zeros."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc", handleInvalid="keep")
-           for c in cols]
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__ohe" for c in cols],
-                        dropLast=True)
-    return idx + [ohe]
-
-
 # ---------------------------------------------------------------- F8, F9
 
 def label_table(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
@@ -195,8 +177,7 @@ def selector_frame(train: DataFrame, numerical: list[str], categorical: list[str
     fills = fit_numeric_imputer(train, numerical, num_strategy)
     fills.update(fit_mode(train, categorical))
     filled = apply_fill(train, fills)
-    cats = fit_categories(filled, categorical)
-    return ordinal_encode(filled, cats)
+    return ordinal_encode(filled, fit_categories(filled, categorical), categorical)
 
 
 def correlation_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -280,16 +261,21 @@ def output_names(numerical: list[str], categories: dict) -> list[str]:
     return out
 
 
+def _as_numbers(df: DataFrame, numerical: list[str], others: list[str]) -> DataFrame:
+    """Numeric inputs as doubles, so that a fill of an integer column keeps its fraction."""
+    return df.select(*[qcol(c).cast("double").alias(c) for c in numerical], *[qcol(c) for c in others])
+
+
 @dataclass
 class Preprocessor:
-    """parameters fitted on train; ``transform`` applies them to any frame."""
+    """parameters fitted on train; ``transform`` and ``assemble`` apply them to any frame."""
     numerical: list
     categorical: list
     fills: dict = field(default_factory=dict)
     scale: dict = field(default_factory=dict)
-    categories: dict = field(default_factory=dict)
-    names: list = field(default_factory=list)
-    encoder: object = None
+    table: DataFrame | None = None
+    _stages: list | None = None
+    _categories: dict | None = None
 
     @classmethod
     def fit(cls, train: DataFrame, numerical, categorical, num_strategy="mean", cat_strategy="most_frequent",
@@ -298,18 +284,32 @@ class Preprocessor:
             raise FeatureError(f"unsupported categorical imputation strategy '{cat_strategy}'")
         fills = fit_numeric_imputer(train, numerical, num_strategy)
         fills.update(fit_mode(train, categorical))
-        filled = apply_fill(train.select(*[qcol(c) for c in numerical + categorical]), fills)
-        scale = fit_scaler(filled, numerical, scaling)
-        cats = fit_categories(filled, categorical)
-        encoder = None
-        if sum(len(v) for v in cats.values()) > WIDE_ONE_HOT:
-            encoder = Pipeline(stages=one_hot_stages(list(categorical))).fit(filled.select(*categorical))
-        return cls(list(numerical), list(categorical), fills, scale, cats, output_names(numerical, cats), encoder)
+        filled = apply_fill(_as_numbers(train, numerical, categorical), fills)
+        return cls(list(numerical), list(categorical), fills, fit_scaler(filled, numerical, scaling),
+                   fit_categories(filled, categorical))
+
+    @property
+    def categories(self) -> dict:
+        """The categories as lists: for named output columns, one for each."""
+        if self._categories is None:
+            self._categories = category_names(self.table, self.categorical)
+        return self._categories
+
+    @property
+    def names(self) -> list[str]:
+        return output_names(self.numerical, self.categories)
+
+    def stages(self) -> list:
+        """The fitted stages from raw columns to ``features``; they can be saved in a ``PipelineModel``."""
+        if self._stages is None:
+            self._stages = pipeline.preparation(self.table.sparkSession, self.numerical, self.categorical, self.fills,
+                                                self.scale, self.table)
+        return self._stages
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Named output columns (F14 order: numeric, then one-hot), plus ``keep`` columns last."""
         keep = [k for k in (keep or []) if k in df.columns]
-        base = apply_fill(df.select(*[qcol(c) for c in self.numerical + self.categorical + keep]), self.fills)
+        base = apply_fill(_as_numbers(df, self.numerical, self.categorical + keep), self.fills)
         base = apply_scaler(base, self.scale)
         exprs = [qcol(c).cast("double") for c in self.numerical]
         for c in self.categorical:
@@ -319,21 +319,6 @@ class Preprocessor:
 
     def assemble(self, df: DataFrame, keep: list[str] | None = None, out: str = "features") -> DataFrame:
         """The ``features`` vector (numeric first, then one-hot), ``keep`` columns beside it."""
-        if self.encoder is None:
-            t = self.transform(df, keep)
-            return VectorAssembler(inputCols=self.names, outputCol=out, handleInvalid="keep").transform(t)
         keep = [k for k in (keep or []) if k in df.columns]
-        base = apply_fill(df.select(*[qcol(c) for c in self.numerical + self.categorical + keep]), self.fills)
-        base = apply_scaler(base, self.scale)
-        enc = self.encoder.transform(base)
-        va = VectorAssembler(inputCols=self.numerical + [f"{c}__ohe" for c in self.categorical], outputCol=out,
-                             handleInvalid="keep")
-        return va.transform(enc).select(out, *[qcol(k) for k in keep])
-
-
-def ml_preprocessor(numerical: list[str], categorical: list[str]) -> Pipeline:
-    """The same preparation as stock ML stages, for a saved ``PipelineModel``."""
-    stages = one_hot_stages(categorical) if categorical else []
-    stages.append(VectorAssembler(inputCols=numerical + [f"{c}__ohe" for c in categorical], outputCol="features",
-                                  handleInvalid="keep"))
-    return Pipeline(stages=stages)
+        made = PipelineModel(stages=self.stages()).transform(df)
+        return made.select(F.col("features").alias(out), *[qcol(k) for k in keep])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -244,12 +244,5 @@ def save_models(models: list, base_path: str, prefix: str = "model") -> list[str
 
 
 def load_pipeline(path: str) -> PipelineModel:
+    """A saved run: the whole way from raw rows to predictions (``operators.pipeline``)."""
     return PipelineModel.load(path)
-
-
-def full_pipeline(pre_stages: list, estimator) -> Pipeline:
-    return Pipeline(stages=list(pre_stages) + [estimator])
-
-
-def with_label(df: DataFrame, target: str, label: str = "label") -> DataFrame:
-    return df.withColumn(label, F.col(target).cast("double"))

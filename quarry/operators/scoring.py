@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.exprs import qcol
+from quarry.operators.models import load_pipeline
+from quarry.operators.pipeline import inputs_of
 
 LOG_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -36,6 +38,8 @@ def score(df: DataFrame, model, task: str, prediction: str = "prediction",
     class probability (1.0 when the model has no probabilities). Row by row, so it
     serves a stream as well."""
     out = model.transform(df)
+    if "confidence_score" in out.columns:  # a saved pipeline gives it
+        return out
     if task == "classification" and probability in out.columns:
         conf = F.array_max(vector_to_array(F.col(probability)))
     else:
@@ -138,11 +142,31 @@ def prediction_comparison(df: DataFrame, key: list[str], actual: str, predictors
     return out.select(*[qcol(k) for k in key], "actual", *names)
 
 
-def decode_predictions(df: DataFrame, col: str, labels: DataFrame) -> DataFrame:
-    """Label decoding of a prediction column (F9) with a size-checked broadcast."""
-    lk = labels.select(F.col("index").alias("__i"), F.col("label").alias("__l"))
-    j = df.join(lk, qcol(col).cast("long") == F.col("__i"), "left")
-    return j.withColumn(col, F.coalesce(F.col("__l"), qcol(col).cast("string"))).drop("__i", "__l")
+def score_saved(df: DataFrame, path: str) -> DataFrame:
+    """B1: raw rows through a saved pipeline: ``prediction, confidence_score`` and, with classes, ``predicted_label``.
+
+    A missing input column raises. Row by row, so it serves a stream as well."""
+    model = load_pipeline(path)
+    lacking = [c for c in inputs_of(model) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"the input lacks {lacking}")
+    return model.transform(df)
+
+
+def compare_saved(df: DataFrame, key: list[str], actual: str, models: list[tuple[str, str]], digits: int = 4) -> DataFrame:
+    """Actual beside the prediction of each saved pipeline (display name, path), numbers rounded, classes decoded.
+
+    Every pipeline adds its outputs to the same rows, which are read once; none needs a join on a row key."""
+    out, names = df, []
+    for i, (name, path) in enumerate(models):
+        out = score_saved(out, path)
+        decoded = "predicted_label" in out.columns
+        value = F.col("predicted_label") if decoded else F.round("prediction", digits)
+        out = out.withColumn(f"__q_{i}", value).drop("prediction", "confidence_score", "predicted_label")
+        out = out.withColumnRenamed(f"__q_{i}", f"__p_{i}")  # later pipelines drop what begins with __q_
+        names.append(f"{name}_prediction")
+    return out.select(*[qcol(k) for k in key], qcol(actual).alias("actual"),
+                      *[F.col(f"__p_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def preview(df: DataFrame, key: list[str], n: int = 25) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import features as fx
+from quarry.operators import pipeline
 from quarry.plans.registry import query
+from quarry.session import scratch_dir
 from quarry.plans.tables import LINEITEM_WITH_NULLS_SQL, lineitem_with_nulls, rounded, sql_rounded, table
 
 TRAIN_LI = f"SELECT * FROM ({LINEITEM_WITH_NULLS_SQL}) WHERE l_orderkey % 5 <> 0"
@@ -92,12 +94,13 @@ k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx FROM c)
 SELECT p.p_partkey, CAST(k.idx AS INTEGER) AS hot_index, CAST((SELECT count(*) FROM c) AS INTEGER) AS n_categories
 FROM part p LEFT JOIN k ON CAST(p.p_brand AS VARCHAR) = k.v""")
 def f6_one_hot_index(spark, sf):
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
-    model = Pipeline(stages=fx.one_hot_stages(["p_brand"])).fit(part.where(F.col("p_partkey") % 5 != 0))
-    arr = vector_to_array(F.col("p_brand__ohe"))
-    out = model.transform(part).select("p_partkey", arr.alias("a"))
+    cats = fx.fit_categories(part.where(F.col("p_partkey") % 5 != 0), ["p_brand"])
+    stages = pipeline.preparation(spark, [], ["p_brand"], {}, {}, cats)
+    arr = vector_to_array(F.col("features"))
+    out = PipelineModel(stages=stages).transform(part).select("p_partkey", arr.alias("a"))
     pos = F.array_position(F.col("a"), F.lit(1.0))
     return out.select("p_partkey", F.when(pos > 0, (pos - 1).cast("int")).alias("hot_index"),
                       F.size("a").cast("int").alias("n_categories"))
@@ -112,7 +115,7 @@ FROM orders o LEFT JOIN k ON CAST(o.o_orderpriority AS VARCHAR) = k.v""")
 def f7_ordinal_encode(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     cats = fx.fit_categories(o.where(F.col("o_orderkey") % 5 != 0), ["o_orderpriority"])
-    return fx.ordinal_encode(o, cats)
+    return fx.ordinal_encode(o, cats, ["o_orderpriority"])
 
 
 @query("F8_label_table", """
@@ -224,3 +227,29 @@ def f13_transform_apply(spark, sf):
     pre = fx.Preprocessor.fit(part.where(F.col("p_partkey") % 5 != 0), ["p_size"], ["p_brand"])
     out = pre.transform(part, keep=["p_partkey"])
     return rounded(out.select("p_partkey", "num__p_size", "`cat__p_brand_Brand#11`"))
+
+
+@query("F13_saved_pipeline_features", sql_rounded("""
+WITH t AS (SELECT * REPLACE (nullif(p_size, 7) AS p_size) FROM part),
+f AS (SELECT avg(p_size) AS fill, avg(p_retailprice) AS mp, stddev_pop(p_retailprice) AS sp FROM t WHERE p_partkey % 5 <> 0),
+s AS (SELECT avg(coalesce(p_size, fill)) AS ms, stddev_pop(coalesce(p_size, fill)) AS ss FROM t, f WHERE p_partkey % 5 <> 0),
+b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) + 1 AS i FROM (SELECT DISTINCT p_brand FROM t WHERE p_partkey % 5 <> 0)),
+k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i
+      FROM (SELECT DISTINCT CAST(p_size > 25 AS VARCHAR) AS v FROM part WHERE p_partkey % 5 <> 0))
+SELECT p_partkey, CAST(0 AS INTEGER) AS position, (coalesce(p_size, fill) - ms) / ss AS value FROM t, f, s
+UNION ALL SELECT p_partkey, 1, (p_retailprice - mp) / sp FROM t, f
+UNION ALL SELECT p_partkey, CAST(b.i AS INTEGER), 1.0 FROM t JOIN b USING (p_brand)
+UNION ALL SELECT p_partkey, CAST(2 + (SELECT count(*) FROM b) + k.i AS INTEGER), 1.0
+FROM part JOIN k ON CAST(p_size > 25 AS VARCHAR) = k.v""", ["value"]))
+def f13_saved_pipeline_features(spark, sf):
+    """Every feature of every row, all categories of a text and a boolean column, by stages that were saved and loaded."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    part = table(spark, sf, "part").select(
+        "p_partkey", F.nullif("p_size", F.lit(7)).alias("p_size"), "p_retailprice", "p_brand", (F.col("p_size") > 25).alias("large"))
+    pre = fx.Preprocessor.fit(part.where(F.col("p_partkey") % 5 != 0), ["p_size", "p_retailprice"], ["p_brand", "large"])
+    path = scratch_dir(spark, "preparation")
+    PipelineModel(stages=pre.stages()).write().save(path)
+    out = PipelineModel.load(path).transform(part)
+    every = out.select("p_partkey", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return rounded(every.where((F.col("position") < 2) | (F.col("value") != 0)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import checks, scoring
+from quarry.operators import checks, features as fx, pipeline, registry, scoring
 from quarry.operators import metrics as mx
 from quarry.plans.catalog_metrics import REG_MODELS, _rank_sql, _reg_frame, _reg_metrics_sql
 from quarry.plans.catalog_models import regression_sides, classification_sides
@@ -113,16 +113,32 @@ def s9_log_partitions(spark, sf):
 
 
 def _models_table(spark, sf):
+    """The formula models as versions of a written registry; the first is promoted, then the best one."""
     ranked = mx.rank_models(mx.regression_metrics(_reg_frame(spark, sf), by=["seq", "model_name"]), "r2")
-    return ranked.select((F.col("seq") + 1).alias("version"), F.col("model_name").alias("name"),
-                         F.when(F.col("rank") == 1, "Production").otherwise("Staging").alias("stage"))
+    path, best = scratch_dir(spark, "models"), None
+    # one row a model
+    for r in ranked.orderBy("seq").collect():
+        version = registry.register(spark, path, r["model_name"], "formula", metric="r2", score=r["r2"])
+        best = version if r["rank"] == 1 else best
+        if version == 1:
+            registry.promote(spark, path, version)
+    registry.promote(spark, path, best)
+    return registry.models(spark, path)
 
 
 @query("B6_production_model", f"""
-SELECT seq + 1 AS version, model_name AS name, 'Production' AS stage
+SELECT CAST(seq + 1 AS BIGINT) AS version, model_name AS name, 'Production' AS stage
 FROM ({_rank_sql(_reg_metrics_sql(), "r2", True)}) WHERE rank = 1 ORDER BY version LIMIT 1""")
 def b6_production_model(spark, sf):
-    return scoring.production_model(_models_table(spark, sf))
+    return scoring.production_model(_models_table(spark, sf)).select("version", "name", "stage")
+
+
+@query("B6_model_versions", sql_rounded(f"""
+SELECT CAST(seq + 1 AS BIGINT) AS version, model_name AS name, r2 AS score,
+  CASE WHEN rank = 1 THEN 'Production' WHEN seq = 0 THEN 'Archived' ELSE 'Staging' END AS stage
+FROM ({_rank_sql(_reg_metrics_sql(), "r2", True)})""", ["score"]))
+def b6_model_versions(spark, sf):
+    return rounded(_models_table(spark, sf).select("version", "name", "score", "stage"))
 
 
 def _b7_sql():
@@ -160,3 +176,70 @@ def b4_stream_score_and_log(spark, sf):
         "input_features", F.get_json_object(F.col("input_features"), "$.props"))
     return rounded(log.select("id", "timestamp", "model_version", "model_name", "task_type", "input_features",
                               "prediction", "confidence_score", "created_at", "dt"))
+
+
+def _saved_line(spark, train, feature, target, scaling="standard"):
+    """A saved pipeline of a least-squares line: fill, scale, assemble, fit; the folder's path."""
+    from pyspark.ml.regression import LinearRegression
+    pre = fx.Preprocessor.fit(train, [feature], [], scaling=scaling)
+    data = pre.assemble(train, keep=[target]).withColumn("label", F.col(target).cast("double"))
+    model = LinearRegression(solver="normal").fit(data)
+    path = scratch_dir(spark, "pipeline")
+    pipeline.scoring_pipeline(pre.stages(), model, "regression").write().save(path)
+    return path
+
+
+def _line_sql(name, source, train, feature, target):
+    """The line in SQL: missing values filled by the mean of train, slope and intercept by least squares."""
+    return f"""{name}_f AS (SELECT avg({feature}) AS fill FROM {source} WHERE {train}),
+{name} AS (SELECT fill, regr_slope({target}, coalesce({feature}, fill)) AS a, regr_intercept({target}, coalesce({feature}, fill)) AS b
+  FROM {source}, {name}_f WHERE {train} GROUP BY fill)"""
+
+
+@query("B1_saved_pipeline", sql_rounded(f"""
+WITH li AS ({LINEITEM_WITH_NULLS_SQL}), {_line_sql("m", "li", "l_orderkey % 5 <> 0", "l_tax", "l_extendedprice")}
+SELECT l_orderkey, l_linenumber, b + a * coalesce(l_tax, fill) AS prediction, 1.0 AS confidence_score FROM li, m""",
+                                        ["prediction", "confidence_score"], 3))
+def b1_saved_pipeline(spark, sf):
+    """Raw rows, with missing values, through a pipeline that was saved and is loaded by its folder alone."""
+    li = lineitem_with_nulls(spark, sf)
+    path = _saved_line(spark, li.where(F.col("l_orderkey") % 5 != 0), "l_tax", "l_extendedprice")
+    raw = li.select("l_orderkey", "l_linenumber", "l_tax")
+    return rounded(scoring.score_saved(raw, path).drop("l_tax"), 3)
+
+
+_LINES = ("l_quantity", "l_discount", "l_tax")
+
+
+@query("B7_saved_pipelines", f"""
+WITH li AS ({LINEITEM_WITH_NULLS_SQL}), {", ".join(_line_sql(f"m{i}", "li", "l_orderkey % 5 <> 0", f, "l_extendedprice")
+                                                   for i, f in enumerate(_LINES))}
+SELECT l_orderkey, l_linenumber, l_extendedprice AS actual,
+  {", ".join(f"round(m{i}.b + m{i}.a * coalesce({f}, m{i}.fill), 2) AS {f}_prediction" for i, f in enumerate(_LINES))}
+FROM li, m0, m1, m2 WHERE l_orderkey % 5 = 0""")
+def b7_saved_pipelines(spark, sf):
+    """Actual beside the predictions of three saved pipelines on the raw test rows."""
+    li = lineitem_with_nulls(spark, sf)
+    models = [(f, _saved_line(spark, li.where(F.col("l_orderkey") % 5 != 0), f, "l_extendedprice")) for f in _LINES]
+    return scoring.compare_saved(li.where(F.col("l_orderkey") % 5 == 0), ["l_orderkey", "l_linenumber"], "l_extendedprice",
+                                 models, digits=2)
+
+
+@query("B4_stream_saved_pipeline", sql_rounded(f"""
+WITH {_line_sql("m", "events", "event_id % 5 <> 0", "user_id", "value")}
+SELECT event_id AS id, CAST(json_extract_string(input_features, '$.user_id') AS BIGINT) AS user_id, prediction, 1.0 AS confidence_score,
+  event_type AS model_version, CAST(ts AS DATE) AS dt
+FROM (SELECT *, b + a * user_id AS prediction, to_json({{'user_id': user_id}}) AS input_features FROM events, m)""",
+                                               ["prediction", "confidence_score"]))
+def b4_stream_saved_pipeline(spark, sf):
+    """The events as a stream of requests, scored by a saved pipeline that the stream loads, and logged; the stream is
+    started twice on one checkpoint, so that what the first run has logged is not logged again."""
+    from quarry.streaming.scoring_stream import run_saved_stream
+    events = table(spark, sf, "events")
+    path = _saved_line(spark, events.where(F.col("event_id") % 5 != 0), "user_id", "value")
+    log, checkpoint = scratch_dir(spark, "stream-log"), scratch_dir(spark, "stream-ckpt")
+    for _ in range(2):
+        run_saved_stream(spark, f"{sf.rstrip('/')}/events.parque[t]", events.schema, log, path, "regression", F.col("event_type"),
+                         "line", id_col="event_id", at=F.col("ts"), checkpoint=checkpoint).awaitTermination()
+    rows = scoring.features_by_name(scoring.read_log(spark, log), "input_features", ["user_id"], {"user_id": "long"})
+    return rounded(rows.select("id", "user_id", "prediction", "confidence_score", "model_version", "dt"))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quarry.operators import scoring
+from quarry.operators.models import load_pipeline
+from quarry.operators.pipeline import inputs_of
 from quarry.session import checkpoint_dir
 
 
@@ -41,3 +43,14 @@ def run_scoring_stream(spark: SparkSession, source_path: str, schema: T.StructTy
               .option("checkpointLocation", ckpt).option("path", log_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def run_saved_stream(spark: SparkSession, source_path: str, schema: T.StructType, log_path: str, model_path: str, task: str,
+                     model_version, model_name, id_col: str | None = None, at=None, checkpoint: str | None = None,
+                     available_now: bool = True):
+    """The stream through a saved pipeline: raw requests are scored by what ``model_path`` holds when the stream starts.
+
+    A restart on the same checkpoint loads the folder again and goes on with the files that are not logged yet."""
+    model = load_pipeline(model_path)
+    return run_scoring_stream(spark, source_path, schema, log_path, model, task, inputs_of(model), model_version, model_name,
+                              id_col, at, checkpoint, available_now)

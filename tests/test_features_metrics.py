@@ -40,15 +40,15 @@ def test_ordinal_and_one_hot_unseen(spark):
     train = spark.createDataFrame([("b",), ("a",)], "c string")
     test = spark.createDataFrame([("a",), ("z",)], "c string")
     cats = fx.fit_categories(train, ["c"])
-    assert cats == {"c": ["a", "b"]}
-    assert [r[0] for r in fx.ordinal_encode(test, cats).collect()] == [0.0, -1.0]
-    oh = fx.one_hot_columns(test, cats).collect()
+    names = fx.category_names(cats, ["c"])
+    assert names == {"c": ["a", "b"]}
+    assert sorted(r[0] for r in fx.ordinal_encode(test, cats, ["c"]).collect()) == [-1.0, 0.0]
+    oh = fx.one_hot_columns(test, names).collect()
     assert (oh[0]["c_a"], oh[0]["c_b"], oh[1]["c_a"], oh[1]["c_b"]) == (1.0, 0.0, 0.0, 0.0)
-    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
-    m = Pipeline(stages=fx.one_hot_stages(["c"])).fit(train)
-    arr = [r[0] for r in m.transform(test).select(vector_to_array("c__ohe")).collect()]
-    assert arr == [[1.0, 0.0], [0.0, 0.0]]
+    pre = fx.Preprocessor.fit(train, [], ["c"])
+    arr = {r[0]: r[1] for r in pre.assemble(test, keep=["c"]).select("c", vector_to_array("features")).collect()}
+    assert arr == {"a": [1.0, 0.0], "z": [0.0, 0.0]}
 
 
 def test_output_names_sanitised_and_clash():
@@ -125,20 +125,24 @@ def test_threshold_sweep_first_best(spark):
     assert math.isclose(mx.SWEEP[0], 0.2) and math.isclose(mx.SWEEP[-1], 0.8)
 
 
-def test_wide_one_hot_uses_sparse_stages_with_same_layout(spark):
+@pytest.mark.parametrize("n", [9, 300])
+def test_one_hot_has_one_layout_for_any_number_of_categories(spark, n):
+    from datetime import datetime, timedelta
     from pyspark.ml.functions import vector_to_array
-    rows = [(float(i % 7), f"c{i % 300:03d}") for i in range(900)]
-    train = spark.createDataFrame(rows, "x double, c string")
-    test = spark.createDataFrame([(1.0, "c005"), (2.0, "zzz")], "x double, c string")
-    pre = fx.Preprocessor.fit(train, ["x"], ["c"], scaling="none")
-    assert pre.encoder is not None and len(pre.names) == 301
-    vecs = [r[0] for r in pre.assemble(test).select(vector_to_array("features")).collect()]
-    assert vecs[0][0] == 1.0 and vecs[0][1 + 5] == 1.0 and sum(vecs[0]) == 2.0
-    assert vecs[1][0] == 2.0 and sum(vecs[1]) == 2.0          # unseen category: all zeros
-    narrow = fx.Preprocessor.fit(train.where("c < 'c010'"), ["x"], ["c"], scaling="none")
-    assert narrow.encoder is None
-    nv = [r[0] for r in narrow.assemble(test).select(vector_to_array("features")).collect()]
-    assert nv[0][0] == 1.0 and nv[0][1 + 5] == 1.0
+    at = datetime(2024, 1, 1)
+    rows = [(float(i % 7), f"c{i % n:03d}", i % 2 == 0, at + timedelta(days=i % 3)) for i in range(900)]
+    train = spark.createDataFrame(rows, "x double, c string, b boolean, t timestamp")
+    test = spark.createDataFrame([(1.0, "c005", True, at), (2.0, "zzz", None, None), (3.0, "c005", False, at - timedelta(days=1))],
+                                 "x double, c string, b boolean, t timestamp")
+    pre = fx.Preprocessor.fit(train, ["x"], ["c", "b", "t"], scaling="none")
+    assert len(pre.names) == 1 + n + 2 + 3 and pre.names[1 + n] == "cat__b_false"
+    vecs = {r[0]: r[1] for r in pre.assemble(test, keep=["x"]).select("x", vector_to_array("features")).collect()}
+    hot = {x: [i for i, v in enumerate(vec) if i and v] for x, vec in vecs.items()}
+    assert all(len(v) == 1 + n + 2 + 3 and v[0] == x for x, v in vecs.items())
+    # an unseen value is all zeros, a missing one is filled by the most frequent
+    assert hot == {1.0: [6, n + 2, n + 3], 2.0: [n + 1, n + 3], 3.0: [6, n + 1]}
+    named = {r["num__x"]: [i for i, v in enumerate(r) if i and v] for r in pre.transform(test).collect()}
+    assert named == hot
 
 
 def test_confusion_compares_numbers_of_any_type(spark):
