@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import qcol, safe_corr
-from quarry.functions.ranks import quantile_table
+from quarry.functions.exprs import nan_to_null, qcol, safe_corr
+from quarry.functions.quantiles import quantile_table
 from quarry.operators import dictionary, pipeline
 from quarry.operators.profile import long_values
 
@@ -188,46 +189,34 @@ def correlation_scores(df: DataFrame, features: list[str], target: str) -> DataF
     return agg.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def _bin(x, lo, hi, bins):
-    return F.when(hi == lo, F.lit(0)).otherwise(
-        F.least(F.floor((x - lo) / (hi - lo) * F.lit(float(bins))).cast("int"), F.lit(bins - 1)))
-
-
 def mutual_information(df: DataFrame, features: list[str], target: str, discrete_target: bool,
-                       bins: int = MI_BINS) -> DataFrame:
-    """binned mutual information in nats.
-
-    Each feature is cut into ``bins`` equal-width bins over its [min, max]
-    (bin = least(floor((x - min) / (max - min) * bins), bins - 1), 0 for a
-    constant); the target is used as is when discrete, else binned the same
-    way. MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) over rows where both are
-    present. Joint counts are a ``groupBy`` with map-side combine, so only
-    features * bins * classes rows are shuffled.
+                       bins: int = MI_BINS, discrete: Sequence[str] = ()) -> DataFrame:
+    """mutual information in nats of quantile buckets and categories.
+
+    Features named in ``discrete`` (and a discrete target) count as they are; others are cut at their exact quantiles
+    i / ``bins``, so that one far value empties no bucket: a value's bucket is the number of cuts below it, and equal
+    cuts are one. MI = sum p(x,y) ln(p(x,y) / (p(x) p(y))) over rows where both are present. The joint counts are
+    combined on the map side; what is shuffled has a row for each value pair that occurs.
     """
-    cols = features + ([] if discrete_target else [target])
-    xs = {c: qcol(c).cast("double") for c in cols}
-    stats = df.agg(*[F.min(xs[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
-                   *[F.max(xs[c]).alias(f"hi{i}") for i, c in enumerate(cols)]).collect()[0]
-    lo = {c: stats[f"lo{i}"] for i, c in enumerate(cols)}
-    hi = {c: stats[f"hi{i}"] for i, c in enumerate(cols)}
-
-    def binned(c):
-        if lo[c] is None:
-            return F.lit(None).cast("int")
-        return _bin(xs[c], F.lit(float(lo[c])), F.lit(float(hi[c])), bins)
-
-    y = qcol(target).cast("string") if discrete_target else binned(target).cast("string")
-    long = df.select(y.alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), binned(f).alias("xb"))
-        for i, f in enumerate(features)])).alias("s")).select("y", "s.*").where(
-        F.col("y").isNotNull() & F.col("xb").isNotNull())
-    joint = long.groupBy("position", "feature", "xb", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    wx = Window.partitionBy("position", "xb")
-    wy = Window.partitionBy("position", "y")
-    wn = Window.partitionBy("position")
-    # joint has at most features * bins * classes rows: these windows are small
-    j = joint.select("position", "feature", "nxy", F.sum("nxy").over(wx).alias("nx"),
-                     F.sum("nxy").over(wy).alias("ny"), F.sum("nxy").over(wn).alias("n"))
+    discrete = set(discrete)
+    cut = [c for c in [*features, *([] if discrete_target else [target])] if c not in discrete or c == target and not discrete_target]
+    edges = {r["column"]: sorted(set(r["q"])) for r in quantile_table(df, cut, [i / bins for i in range(1, bins)])}
+
+    def value(c, as_it_is):
+        if as_it_is:
+            return qcol(c).cast("string")
+        x = nan_to_null(qcol(c).cast("double"))
+        below = sum((F.when(x > F.lit(e), 1).otherwise(0) for e in edges.get(c, [])), F.lit(0))
+        return F.when(x.isNotNull(), below.cast("string"))
+
+    long = df.select(value(target, discrete_target).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), value(f, f in discrete).alias("x"))
+        for i, f in enumerate(features)])).alias("s")).select("y", "s.*").where("y is not null and x is not null")
+    joint = long.groupBy("position", "feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
+    of_x = joint.groupBy("position", "x").agg(F.sum("nxy").alias("nx"))
+    of_y = joint.groupBy("position", "y").agg(F.sum("nxy").alias("ny"))
+    of_all = joint.groupBy("position").agg(F.sum("nxy").alias("n"))
+    j = joint.join(of_x, ["position", "x"]).join(of_y, ["position", "y"]).join(of_all, "position")
     term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
     return j.groupBy("position", "feature").agg(F.sum(term).alias("score"))
 

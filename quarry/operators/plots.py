@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol
-from quarry.functions.ranks import quantile_table
+from quarry.functions.quantiles import group_quantiles
 
 
 def complete_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -74,19 +74,9 @@ def box(df: DataFrame, x: str, group: str | None = None, method: str = "exact")
     stats = base.groupBy("grp").agg(F.count("__x").alias("count"), F.min("__x").alias("min"),
                                     F.max("__x").alias("max"), F.avg("__x").alias("mean"),
                                     F.stddev_samp("__x").alias("sd"))
-    spark = df.sparkSession
-    if method == "exact":
-        # the per-group count/min/max above seed the rank selection (no extra scan)
-        srows = stats.select("grp", "count", "min", "max").collect()
-        seeded = {(0, (r["grp"],)): (r["count"], r["min"], r["max"]) for r in srows}
-        q = quantile_table(base, ["__x"], [0.25, 0.5, 0.75], group_cols=["grp"], method=method, stats=seeded)
-    else:
-        q = quantile_table(base, ["__x"], [0.25, 0.5, 0.75], group_cols=["grp"], method=method)
-    gtype = base.schema["grp"].dataType.simpleString()
-    qdf = spark.createDataFrame([(r["grp"], *r["q"]) for r in q],
-                                f"grp {gtype}, q1 double, median double, q3 double")
-    return stats.join(F.broadcast(qdf), "grp").select("grp", "count", "min", "q1", "median", "q3", "max", "mean",
-                                                      "sd")
+    q = group_quantiles(base, ["grp"], "__x", [0.25, 0.5, 0.75], method)
+    return stats.join(q, "grp").select("grp", "count", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                                       F.col("q")[2].alias("q3"), "max", "mean", "sd")
 
 
 def bar(df: DataFrame, x: str, top: int = 20) -> DataFrame:

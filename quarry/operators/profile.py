@@ -3,7 +3,7 @@
 Every operator builds one list of aggregate expressions over all columns and
 runs a single ``agg`` (one scan, partial aggregation on the map side), then
 unpivots the one-row result to one row per column. Quartiles use the exact
-distributed rank selection of ``quarry.functions.ranks``.
+grouped quantiles of ``quarry.functions.quantiles``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import types as qt
 from quarry.functions.exprs import kurtosis, nan_to_null, pct, qcol, skewness
-from quarry.functions.ranks import quantile_table
+from quarry.functions.quantiles import quantile_table
 
 # Thresholds, labels and messages of the insight and
 # recommendation rules.
@@ -29,7 +29,7 @@ RECOMMEND_CORR_TOP = 5
 OUTLIER_RECOMMEND_PCT = 5.0
 NEAR_CONSTANT_PCT = 1.0
 # Error of distinct-value estimates, and how far above the line an estimate rules a column out.
-ESTIMATE_ERROR, CLEARLY = 0.02, 1.5
+ESTIMATE_ERROR, CLEARLY = 0.05, 2.0
 TOP_VALUES = 10
 PRIORITY_ORDER = ("high", "medium", "low")
 MSG_SKEW_ISSUE = "Skewed distribution (%s skew: %s)"      # direction, skewness with 2 decimals
@@ -138,25 +138,18 @@ _QUART_SCHEMA = T.StructType([T.StructField("column_name", T.StringType()), T.St
                               T.StructField("median", T.DoubleType()), T.StructField("q75", T.DoubleType())])
 
 
-def quartiles(df: DataFrame, cols: list[str] | None = None, method: str = "exact", stats=None) -> DataFrame:
+def quartiles(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
     """Q1, median, Q3 per column (linear interpolation), exact by default."""
     cols = qt.eda_numeric(df) if cols is None else cols
-    rows = [(r["column"], *r["q"]) for r in quantile_table(df, cols, [0.25, 0.5, 0.75], method=method,
-                                                           stats=stats)]
+    rows = [(r["column"], *r["q"]) for r in quantile_table(df, cols, [0.25, 0.5, 0.75], method=method)]
     return df.sparkSession.createDataFrame(rows, _QUART_SCHEMA)
 
 
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
-    """A3: per numeric column with at least one value.
-
-    The moments pass is collected first (one row per column) and its count,
-    min and max seed the exact quartile selection, so no extra scan is needed
-    for them.
-    """
+    """A3: per numeric column with at least one value."""
     cols = qt.eda_numeric(df) if cols is None else cols
     m_rows = moments(df, cols).collect()
-    stats = {(r["position"], ()): (r["count"], r["min"], r["max"]) for r in m_rows}
-    q = {r[0]: r[1:] for r in quartiles(df, cols, method, stats=stats).collect()}
+    q = {r[0]: r[1:] for r in quartiles(df, cols, method).collect()}
     out = []
     for r in sorted(m_rows, key=lambda x: x["position"]):
         if r["count"] == 0:
@@ -339,12 +332,23 @@ def constant_columns(df: DataFrame, near_pct: float = NEAR_CONSTANT_PCT, method:
     if not near:
         return df.sparkSession.createDataFrame([], "position int, column_name string, type string, unique_values long, "
                                                    "unique_percentage double")
-    agg = df.agg(n.alias("__n"), *[(estimate[i] if method == "approx" else F.count_distinct(qcol(cols[i]))).alias(f"d{i}")
-                                   for i in near])
-    structs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                        F.col(f"d{i}").cast("long").alias("unique_values"),
-                        pct(F.col(f"d{i}"), F.col("__n")).alias("unique_pct")) for i, c in ((i, cols[i]) for i in near)]
-    u = _unpivot_structs(agg, structs)
+    if method == "approx":
+        agg = df.agg(n.alias("__n"), *[estimate[i].alias(f"d{i}") for i in near])
+        u = _unpivot_structs(agg, [F.struct(F.lit(i).alias("position"), F.lit(cols[i]).alias("column_name"),
+                                            F.col(f"d{i}").cast("long").alias("unique_values"),
+                                            pct(F.col(f"d{i}"), F.col("__n")).alias("unique_pct")) for i in near])
+    else:
+        # few distinct values each: (column, value) collapses on the map side; + 0.0 makes -0.0 and 0.0 one
+        def text(c):
+            kind = df.schema[c].dataType.typeName()
+            return (qcol(c) + F.lit(0.0).cast(kind) if kind in ("double", "float") else qcol(c)).cast("string")
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(cols[i]).alias("column_name"),
+                                                      text(cols[i]).alias("value")) for i in near])).alias("s")).select("s.*")
+        found = long.distinct().groupBy("position").agg(F.count("value").alias("found"))
+        names = df.sparkSession.createDataFrame([(i, cols[i]) for i in near], "position int, column_name string")
+        u = names.join(found, "position", "left").select(
+            "position", "column_name", F.coalesce("found", F.lit(0)).cast("long").alias("unique_values")).withColumn(
+            "unique_pct", pct(F.col("unique_values"), F.lit(seen["n"])))
     kind = (F.when(F.col("unique_values") <= 1, "constant")
             .when(F.col("unique_pct") < F.lit(near_pct), "near_constant"))
     return u.select("position", "column_name", kind.alias("type"), "unique_values",
@@ -390,8 +394,7 @@ def majority_share(df: DataFrame, target: str) -> float:
 class Profile:
     """The statistics behind A6-A11, computed once and shared.
 
-    Moments (one chunked one-row aggregate), exact quartiles seeded by the
-    moments' count/min/max, the correlation sums and the distinct counts are
+    Moments (one chunked one-row aggregate), exact quartiles, the correlation sums and the distinct counts are
     each one small collected result (rows per column or per pair), so
     insights and recommendations do not rescan the table per rule.
     """
@@ -400,11 +403,10 @@ class Profile:
         self.spark = df.sparkSession
         self.numeric = qt.eda_numeric(df)
         self.moments = sorted(moments(df, self.numeric).collect(), key=lambda r: r["position"]) if self.numeric else []
-        stats = {(r["position"], ()): (r["count"], r["min"], r["max"]) for r in self.moments}
-        q = quantile_table(df, self.numeric, [0.25, 0.75], method=method, stats=stats) if self.numeric else []
+        q = quantile_table(df, self.numeric, [0.25, 0.75], method=method) if self.numeric else []
         self.quartiles = {r["column"]: r["q"] for r in q}
         self.correlations = correlation_matrix(df, self.numeric).collect()
-        self.constants = constant_columns(df).collect()
+        self.constants = constant_columns(df, method=method).collect()
         self._outliers = None
         self._df = df
 

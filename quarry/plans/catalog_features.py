@@ -166,20 +166,22 @@ def f10_correlation_scores(spark, sf):
     return rounded(fx.correlation_scores(prepared, SCORE_FEATURES, "l_extendedprice"))
 
 
-def _f11_sql(bins=10):
+def _f11_sql(discrete=("l_returnflag",), bins=10):
     src = _scored_sql()
-    cols = SCORE_FEATURES + ["l_extendedprice"]
-    stats = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in cols)
+    cut = [c for c in SCORE_FEATURES + ["l_extendedprice"] if c not in discrete]
+    at = ", ".join(str(i / bins) for i in range(1, bins))
+    edges = ", ".join(f"list_distinct(quantile_cont(CAST({c} AS DOUBLE), [{at}])) AS e_{c}" for c in cut)
 
     def b(c):
-        return (f"CASE WHEN hi_{c} = lo_{c} THEN 0 ELSE least(CAST(floor((CAST({c} AS DOUBLE) - lo_{c}) / "
-                f"(hi_{c} - lo_{c}) * {float(bins)}) AS INTEGER), {bins - 1}) END")
+        if c in discrete:
+            return f"CAST({c} AS VARCHAR)"
+        return f"CAST(len(list_filter(e_{c}, lambda e: e < CAST({c} AS DOUBLE))) AS VARCHAR)"
     longs = "\nUNION ALL\n".join(
-        f"SELECT {i} AS position, '{f}' AS feature, {b(f)} AS xb, CAST({b('l_extendedprice')} AS VARCHAR) AS y "
+        f"SELECT {i} AS position, '{f}' AS feature, {b(f)} AS xb, {b('l_extendedprice')} AS y "
         f"FROM ({src}), s WHERE {f} IS NOT NULL AND l_extendedprice IS NOT NULL"
         for i, f in enumerate(SCORE_FEATURES))
     return f"""
-WITH s AS (SELECT {stats} FROM ({src})),
+WITH s AS (SELECT {edges} FROM ({src})),
 l AS ({longs}),
 j AS (SELECT position, feature, xb, y, count(*) AS nxy FROM l GROUP BY ALL),
 m AS (SELECT *, sum(nxy) OVER (PARTITION BY position, xb) AS nx, sum(nxy) OVER (PARTITION BY position, y) AS ny,
@@ -193,7 +195,8 @@ FROM m GROUP BY position, feature"""
 def f11_mutual_information(spark, sf):
     li = table(spark, sf, "lineitem").select(*SCORE_FEATURES, "l_extendedprice")
     prepared = fx.selector_frame(li, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], ["l_returnflag"])
-    return rounded(fx.mutual_information(prepared, SCORE_FEATURES, "l_extendedprice", discrete_target=False))
+    return rounded(fx.mutual_information(prepared, SCORE_FEATURES, "l_extendedprice", discrete_target=False,
+                                         discrete=["l_returnflag"]))
 
 
 @query("F12_top_features", sql_rounded(f"""

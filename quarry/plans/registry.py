@@ -28,6 +28,6 @@ def pct_sql(part: str, whole: str) -> str:
 
 def load_all():
     """Import every catalog module so its queries register."""
-    from quarry.plans import (catalog_features, catalog_metrics, catalog_models, catalog_profile,  # noqa: F401
+    from quarry.plans import (catalog_features, catalog_metrics, catalog_models, catalog_profile, catalog_runs,  # noqa: F401
                               catalog_scoring, catalog_validate)
     return QUERIES, ORACLES
