@@ -157,7 +157,7 @@ def arc_records(stream) -> Iterator[tuple[int, dict, bytes]]:
     records are passed over. A line with too few fields or a length that is no
     number, or a block that ends early, raises ValueError.
     """
-    at, fields = 0, ARC_FIELDS[1]
+    at, fields, opened = 0, ARC_FIELDS[1], False
     while True:
         line = stream.readline()
         if not line:
@@ -166,7 +166,8 @@ def arc_records(stream) -> Iterator[tuple[int, dict, bytes]]:
         if not line.strip():
             continue
         text = line.decode("utf-8", "replace").rstrip("\r\n")
-        first = text.startswith("filedesc://")
+        # only the first record of a file is a version block; later ones are pages, whatever their address
+        first, opened = not opened and text.startswith("filedesc://"), True
         names = fields
         if first and len(text.split(" ")) >= len(ARC_FIELDS[2]):
             names = ARC_FIELDS[2]
@@ -230,7 +231,7 @@ def index_arc(archives: DataFrame, order_header: str = "X-Page-Id") -> DataFrame
                 cols = [[] for _ in range(8)]
                 with open_archive(path) as stream:
                     for offset, h, block in arc_records(stream):
-                        if h["URL"].startswith("filedesc://"):
+                        if "version" in h:
                             continue
                         head, payload, _ = split_http(block)
                         for c, v in zip(cols, (path, offset, record_id(path, offset), h["URL"],
@@ -265,7 +266,7 @@ def warc_record(kind: str, rid: str, uri: str, date: str, content_type: str, blo
 def to_warc(path: str, offset: int, h: dict, block: bytes, first: tuple | None) -> bytes:
     """The WARC record of an ARC record; ``first`` is (id, uri, date) of the record it repeats, if any."""
     rid, uri, date = record_id(path, offset), h["URL"], warc_date(h["Archive-date"])
-    if uri.startswith("filedesc://"):
+    if "version" in h:
         note = f"software: quarry\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC {h['version']}\r\n".encode()
         return warc_record("warcinfo", rid, "", date, "application/warc-fields", note,
                            [("WARC-Filename", uri.removeprefix("filedesc://"))])

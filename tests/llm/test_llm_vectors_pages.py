@@ -177,3 +177,12 @@ def test_pages_round_trip(spark, monkeypatch):
     listing = arc.convert(arc.write_arc(df))
     payloads = arc.read_warc(listing, payloads=True).where("type = 'response'").collect()
     assert {bytes(r.payload) for r in payloads} == set(first)
+
+
+def test_pages_whose_address_looks_like_a_version_block(spark):
+    rows = [(1, "filedesc://x", "<p>one</p>"), (2, "filedesc://x 0.0.0.0 20240101 text/plain 3", "<p>one</p>"), (3, "http://a", None),
+            (3, "http://a", None)]
+    out = arc.pages_through_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out.collect())
+    assert [g[:2] for g in got] == [(1, 10), (2, 10), (3, 0), (3, 0)]
+    assert got[0][2:] == ("response", None) and got[1][2:] == ("revisit", 1)
