@@ -14,9 +14,11 @@ small probability. The lattices of many words are filled at once with numpy.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,15 +26,31 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, written
 
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> re.Pattern:
+    """Maximal runs of letters: word characters but digits, other numerals (such as ² or ½) and the underscore."""
+    codes = [i for i in range(sys.maxunicode + 1) if (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    ranges: list[tuple[int, int]] = []
+    for i in codes:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1] = ranges[-1][0], i
+        else:
+            ranges.append((i, i))
+    return re.compile(r"[^\W\d_" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]+")
+
+
+LETTERS = _letters()
 #: The fit takes at most so many documents of each language, those with the smallest hash of their id, and of these at
 #: most so many distinct words of each language, the most frequent; everything else covers all rows.
 FIT_DOCUMENTS, FIT_WORDS = 400, 40_000
 FIT_ROUNDS = 3
 #: Added to the expected count of each piece, and the probability of a character outside of the vocabulary.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
-#: Longer runs of letters are scored in parts of this length; whole texts are scored.
-WORD_CHARS = 48
+#: Longer runs of letters have no part in the fit; all are scored, and whole.
+FIT_WORD_CHARS = 48
+#: Places of a word whose pieces are looked up together; it only bounds memory.
+PLACES = 4096
 #: Words whose scores a task remembers.
 REMEMBERED_WORDS = 200_000
 _U = np.uint64
@@ -128,12 +146,41 @@ def word_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarra
     out = np.zeros((len(words), prob.shape[1]))
     padded = np.vstack([prob, np.zeros(prob.shape[1])])  # -1 finds the last row: no such piece
     for part, codes in _by_length(words):
-        spans = pieces.lattice(codes)
-        alpha, scale, _ = forward(spans, codes.shape[1], len(part), padded)
-        out[part] = np.log(alpha[-1]) + scale
+        out[part] = _log_forward(codes, pieces, padded)
     return out
 
 
+def _log_forward(codes: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Log forward sums of words of one length. Sums go from each place to the ends of the pieces that begin there, so
+    only those of the next places are held, however long the words are."""
+    rows, n = codes.shape
+    longest, step = pieces.longest, max(1, PLACES // rows)
+    ahead = np.zeros((longest + 1, rows, prob.shape[1]))
+    ahead[0] = 1
+    scale = np.zeros((rows, prob.shape[1]))
+    # no piece holds the filling, so none reaches over the end
+    filled = np.concatenate([codes, np.full((rows, longest), np.uint64(sys.maxunicode + 1))], axis=1)
+    for low in range(0, n, step):
+        places = min(step, n - low)
+        windows = sliding_window_view(filled[:, low:low + places + longest - 1], longest, axis=1)
+        with np.errstate(over="ignore"):
+            keys = pieces._fold(windows.reshape(rows * places, longest))
+        found = np.stack([pieces.find(keys[:, k]).reshape(rows, places) for k in range(longest)])
+        some = (found >= 0).any(1)
+        for i in range(places):
+            at = low + i
+            here = ahead[at % (longest + 1)]
+            if at % 8 == 0 and at:  # keep long words in range
+                scale += np.log(here)
+                ahead /= here.copy()
+            ids = found[0, :, i]
+            ahead[(at + 1) % (longest + 1)] += here * np.where(ids[:, None] >= 0, prob[ids], UNKNOWN)
+            for k in np.flatnonzero(some[1:, i]) + 1:
+                ahead[(at + k + 1) % (longest + 1)] += here * prob[found[k, :, i]]
+            here[:] = 0
+    return np.log(ahead[n % (longest + 1)]) + scale
+
+
 def expected_counts(words: list[str], weight: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece in each language, over all segmentations of the words."""
     total = np.zeros((len(prob) + 1, prob.shape[1]))
@@ -170,7 +217,7 @@ def fit(labelled: DataFrame, pieces: Pieces) -> tuple[list[str], np.ndarray]:
     # at most FIT_DOCUMENTS ids of each language: small whatever the corpus, so that no text is shuffled
     sample = known.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-                          .alias("w")).where(F.length("w") <= WORD_CHARS).groupBy("lang", "w").agg(F.count("*").alias("c"))
+                          .alias("w")).where(F.length("w") <= FIT_WORD_CHARS).groupBy("lang", "w").agg(F.count("*").alias("c"))
     top = W.partitionBy("lang").orderBy(F.desc("c"), "w")
     words = written(words.withColumn("n", F.row_number().over(top)).where(F.col("n") <= FIT_WORDS).select("lang", "w", "c"),
                     "words")
@@ -222,12 +269,8 @@ def predict(docs: DataFrame, pieces: Pieces, langs: list[str], prob: np.ndarray,
             for part in slices(batch, "text", 2 << 20):
                 rows = [LETTERS.findall(t.lower()) if t else [] for t in part.column("text").to_pylist()]
                 fresh = list(set().union(*rows).difference(known))
-                cut = [[w[i:i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)] for w in fresh]
-                flat = [x for c in cut for x in c]
-                if flat and langs:
-                    scores = word_scores(flat, pieces, prob)
-                    first = np.cumsum([0] + [len(c) for c in cut])[:-1]
-                    table = np.vstack([table, np.add.reduceat(scores, first)])
+                if fresh and langs:
+                    table = np.vstack([table, word_scores(fresh, pieces, prob)])
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
                 pred, score = [], []
                 for r in rows:

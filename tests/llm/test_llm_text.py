@@ -1,6 +1,7 @@
 """Text operators against brute force, and their edge cases."""
 import hashlib
 import itertools
+import math
 import random
 import re
 import string
@@ -146,6 +147,39 @@ def test_language_without_rows_or_labels(spark):
     assert (row.lang_pred, row.score) == ("und", 0.0)
 
 
+def test_letters_are_letters_only():
+    import unicodedata
+    assert langid.LETTERS.findall("a²b ½ ① Ⅷ 7 _x é 日本 ٣ aͅ") == ["a", "b", "x", "é", "日本", "a"]
+    for c in map(chr, range(0x30000)):
+        assert bool(langid.LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), c
+
+
+def test_numerals_have_no_language(spark):
+    rows = [(i, f"the whole text number {i} of some words", "en", "s", 3) for i in range(20)] + [(90, "² ½ ① Ⅷ", "en", "s", 3)]
+    out = langid.identify(spark.createDataFrame(rows, DOC), public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}[90] == ("und", 0.0)
+
+
+def test_long_words_are_scored_whole():
+    pieces = langid.Pieces(["a", "b", "ab", "ba", "aba", langid.MARK, langid.MARK + "a"])
+    rng = np.random.default_rng(3)
+    prob = rng.random((len(pieces.pieces), 2)) / 4
+    words = ["".join(rng.choice(list("abx"), n)) for n in (1, 5, 47, 48, 49, 200, 5000)] + ["ab", "ba"]
+    got = langid.word_scores(words, pieces, prob)
+    number = {p: i for i, p in enumerate(pieces.pieces)}
+    for w, row in zip(words, got):
+        s = langid.MARK + w
+        for j in range(2):
+            a, log = [1.0], 0.0
+            for e in range(1, len(s) + 1):
+                x = sum(a[b] * (prob[number[s[b:e]], j] if s[b:e] in number else langid.UNKNOWN if e - b == 1 else 0.0)
+                        for b in range(max(0, e - 3), e))
+                a.append(x)
+                if x < 1e-60:
+                    a, log = [0.0] * (len(a) - 3) + [v * 1e60 for v in a[-3:]], log - math.log(1e60)
+            assert row[j] == pytest.approx(math.log(a[-1]) + log, rel=1e-9)
+
+
 # ---- lines ---------------------------------------------------------------
 
 def within_one(a, b):
