@@ -212,8 +212,17 @@ def fit(labelled: DataFrame, pieces: Pieces) -> tuple[list[str], np.ndarray]:
     """
     spark = labelled.sparkSession
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    pick = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= FIT_DOCUMENTS)
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(counts)
+    if not langs:
+        return [], np.zeros((len(pieces.pieces), 0))
+    # hashes in [0, 1): those under 2 FIT_DOCUMENTS / rows all but surely hold the FIT_DOCUMENTS smallest, so that few rows
+    # of a language are ranked
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    most = F.create_map(*[F.lit(x) for lang in langs for x in (lang, 2.0 * FIT_DOCUMENTS / counts[lang])])
+    few = known.select("doc_id", "lang", unit.alias("u")).where(F.col("u") <= F.element_at(most, F.col("lang"))).distinct()
+    pick = W.partitionBy("lang").orderBy("u", "doc_id")
+    ids = few.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= FIT_DOCUMENTS)
     # at most FIT_DOCUMENTS ids of each language: small whatever the corpus, so that no text is shuffled
     sample = known.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -221,15 +230,12 @@ def fit(labelled: DataFrame, pieces: Pieces) -> tuple[list[str], np.ndarray]:
     top = W.partitionBy("lang").orderBy(F.desc("c"), "w")
     words = written(words.withColumn("n", F.row_number().over(top)).where(F.col("n") <= FIT_WORDS).select("lang", "w", "c"),
                     "words")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if not langs:
-        return [], np.zeros((len(pieces.pieces), 0))
     place = {x: i for i, x in enumerate(langs)}
     shared = spark.sparkContext.broadcast(pieces)
     prob = np.array([[4.0 ** -len(p)] for p in pieces.pieces]) * np.ones((1, len(langs)))
     prob /= prob.sum(0)
     for _ in range(FIT_ROUNDS):
-        now = spark.sparkContext.broadcast(prob)
+        now = spark.sparkContext.broadcast(prob)  # destroyed with the round
 
         def expect(batches):
             for batch in batches:
@@ -244,9 +250,11 @@ def fit(labelled: DataFrame, pieces: Pieces) -> tuple[list[str], np.ndarray]:
 
         counts = words.repartition(8).mapInArrow(expect, "p int, l int, x double").groupBy("p", "l").agg(
             F.sum("x").alias("x")).toPandas()
+        now.destroy()
         new = np.full(prob.shape, SMOOTHING)
         new[counts["p"], counts["l"]] += counts["x"]
         prob = new / new.sum(0)
+    shared.destroy()
     return langs, prob
 
 
