@@ -138,7 +138,7 @@ def performance_gate(ranked: DataFrame, metric: str, threshold: float | None) ->
     s = best[0][0]
     ok = s >= threshold if higher_is_better(metric) else s <= threshold
     if not ok:
-        raise GateError(f"Best model score {s} does not meet the minimum performance threshold {threshold}")
+        raise GateError(f"the best {metric} is {s}, the gate asks for {threshold}")
     return True
 
 

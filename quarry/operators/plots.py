@@ -17,9 +17,8 @@ def complete_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 def histogram(df: DataFrame, x: str, bins: int = 30, group: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max] of the non-NULL values (per group).
 
-    The last bin is closed on the right. The per-group bounds are a small
-    aggregate joined back (broadcast behind a row-count check), so no window
-    over a hot group is needed.
+    The last bin is closed on the right. The per-group bounds are an aggregate
+    joined back on the group, so no window over a hot group is needed.
     """
     v = qcol(x).cast("double")
     keys = [group] if group else []
