@@ -1,4 +1,4 @@
-"""Registered queries for run tracking, lookups and choices.
+"""Registered queries for run tracking, lookups, choices and proofs of fits.
 
 Runs derive from ``orders``: a run for each o_custkey % 50, its models by priority and status. The log is written in
 two versions of its schema, the older one without later columns, beside a file that is no Parquet.
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import checks, models as mdl, runs, validate
-from quarry.plans.catalog_models import REG_FEATURES, regression_sides
+from quarry.operators import checks, features as fx, models as mdl, runs, trees, validate
+from quarry.plans.catalog_models import CLS_FEATURES, REG_FEATURES, classification_sides, regression_sides
 from quarry.plans.registry import query
 from quarry.plans.tables import rounded, sql_rounded, table
 from quarry.session import scratch_dir
@@ -212,3 +212,77 @@ def m1_normal_equations(spark, sf):
     train, test = regression_sides(spark, sf)
     models = mdl.choose_models(mdl.build_models("regression"), "manual", "linear_regression")
     return rounded(mdl.results_frame(spark, mdl.train_and_score(train, test, models, "regression"), "regression"), 4)
+
+
+def _score_equations_sql():
+    """Class shares and class means of the scaled features on the training side."""
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(CLS_FEATURES))
+    names = ["intercept", *CLS_FEATURES]
+    values = ["avg(y)", *(f"avg(y * ({c} - m{i}) / s{i})" for i, c in enumerate(CLS_FEATURES))]
+    return f"""
+WITH t AS (SELECT * FROM lineitem WHERE l_orderkey % 5 <> 0), s AS (SELECT {stats} FROM t),
+k AS (SELECT l_returnflag AS class, row_number() OVER (ORDER BY l_returnflag) - 1 AS label FROM
+      (SELECT DISTINCT l_returnflag FROM lineitem WHERE l_returnflag IS NOT NULL)),
+y AS (SELECT label, CASE WHEN l_returnflag = class THEN 1.0 ELSE 0.0 END AS y, t.*, s.* FROM t, s, k)
+""" + "\nUNION ALL\n".join(f"SELECT CAST(label AS INTEGER) AS label, '{n}' AS term, {v} AS value FROM y GROUP BY label"
+                            for n, v in zip(names, values))
+
+
+@query("M2_score_equations", sql_rounded(_score_equations_sql(), ["value"], 4))
+def m2_score_equations(spark, sf):
+    """A logistic fit is the best one exactly if, for each class and feature, the predicted probabilities weigh the
+    feature as the classes themselves do; the SQL has the classes' side."""
+    from pyspark.ml.functions import vector_to_array
+    train, _, k = classification_sides(spark, sf)
+    est = mdl.build_models("classification", k)["logistic_regression"].setTol(1e-10)
+    scored = est.fit(train).transform(train).select(vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"))
+    names = ["intercept", *CLS_FEATURES]
+    terms = F.array(*[F.struct(F.lit(n).alias("term"), (F.get("x", F.lit(i - 1)) if i else F.lit(1.0)).alias("x"))
+                      for i, n in enumerate(names)])
+    long = scored.select("p", F.explode(terms).alias("t")).select("t.*", F.posexplode("p").alias("label", "p"))
+    return rounded(long.groupBy("label", "term").agg((F.avg(F.col("p") * F.col("x")) + 0.0).alias("value")), 4)
+
+
+def _equal_rows(spark, sf, learners):
+    """Rows on which a model evaluated by joins on its node table and ``transform`` agree, for each learner."""
+    out = None
+    for task, target, est in learners:
+        li = table(spark, sf, "lineitem").withColumn("row", F.monotonically_increasing_id())
+        data = fx.Preprocessor.fit(li, REG_FEATURES, [], scaling="standard").assemble(li, keep=["row", target])
+        if task == "classification":
+            data = fx.encode_labels(data, target, fx.label_table(li, li.limit(0), target), "label")
+        else:
+            data = data.withColumn("label", F.col(target))
+        path = scratch_dir(spark, "forest-rows")
+        data.select("row", "features", "label").write.parquet(path)
+        data = spark.read.parquet(path)
+        model = est.fit(data)
+        weights = list(model.treeWeights) if "GBT" in type(est).__name__ else None
+        by_table = trees.predict(data, ["row"], trees.node_table(model), model.getNumTrees, task, weights=weights)
+        both = model.transform(data).select("row", F.col("prediction").alias("want")).join(by_table, "row", "left")
+        equal = F.count_if(F.abs(F.col("want") - F.col("prediction")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("want")))
+        part = both.agg(F.lit(task).alias("task"), F.count(F.lit(1)).alias("n"), equal.alias("equal"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_ALL_EQUAL = ("SELECT 'regression' AS task, count(*) AS n, count(*) AS equal FROM lineitem "
+              "UNION ALL SELECT 'classification', count(*), count(*) FROM lineitem")
+
+
+@query("M3_trees_as_table", _ALL_EQUAL)
+def m3_trees_as_table(spark, sf):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+    shape = dict(numTrees=3, maxDepth=4, seed=7)
+    return _equal_rows(spark, sf, [("regression", "l_extendedprice", RandomForestRegressor(**shape)),
+                                   ("classification", "l_returnflag", RandomForestClassifier(**shape))])
+
+
+@query("M4_trees_as_table", _ALL_EQUAL)
+def m4_trees_as_table(spark, sf):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+    shape = dict(maxIter=4, maxDepth=3, seed=7)
+    return _equal_rows(spark, sf, [("regression", "l_extendedprice", GBTRegressor(**shape)),
+                                   ("classification", "l_linestatus", GBTClassifier(**shape))])
