@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch_dir
 
+#: Levels that rows go down in one pass.
+LEVELS = 4
+
 
 def node_table(model) -> DataFrame:
     """(tree, node, feature, threshold, left, right, prediction, stats) of a forest or a boosted model; leaves have no children.
@@ -31,16 +34,22 @@ def node_table(model) -> DataFrame:
 
 
 def leaves(rows: DataFrame, key: list[str], nodes: DataFrame, n_trees: int, features: str = "features") -> DataFrame:
-    """(key, tree, prediction, stats): the leaf of every tree that each row comes to; one join a level."""
+    """(key, tree, prediction, stats): the leaf of every tree that each row comes to; one join a level, ``LEVELS``
+    of them before what is reached is written."""
     at = rows.select(*key, vector_to_array(features).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     at = at.withColumn("node", F.lit(0))
+    splits = nodes.select("tree", "node", "feature", "threshold", "left", "right")
+    goes_left = F.get("__x", F.col("feature")) <= F.col("threshold")
+    below = F.when(F.col("left").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
     done = None
     while True:
         path = scratch_dir(rows.sparkSession, "level")
-        here = at.join(nodes, ["tree", "node"])
-        goes_left = F.get("__x", F.col("feature")) <= F.col("threshold")
-        here.select(*key, "__x", "tree", "prediction", "stats", F.when(F.col("left").isNotNull(), F.when(
-            goes_left, F.col("left")).otherwise(F.col("right"))).alias("node")).write.parquet(path)
+        for _ in range(LEVELS):
+            at = at.join(splits, ["tree", "node"]).select(*key, "__x", "tree", below.alias("node"))
+        inner = F.col("left").isNotNull()
+        at.join(nodes, ["tree", "node"]).select(
+            *key, F.when(inner, F.col("__x")).alias("__x"), "tree", F.when(inner, F.col("node")).alias("node"),
+            F.when(~inner, F.col("prediction")).alias("prediction"), F.when(~inner, F.col("stats")).alias("stats")).write.parquet(path)
         here = rows.sparkSession.read.parquet(path)
         end = here.where("node is null").select(*key, "tree", "prediction", "stats")
         done = end if done is None else done.unionByName(end)

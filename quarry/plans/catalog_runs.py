@@ -256,7 +256,9 @@ def _equal_rows(spark, sf, learners):
         path = scratch_dir(spark, "forest-rows")
         data.select("row", "features", "label").write.parquet(path)
         data = spark.read.parquet(path)
-        model = est.fit(data)
+        fitted_on = mdl.training_input(data)
+        model = est.fit(fitted_on)
+        fitted_on.unpersist()
         weights = list(model.treeWeights) if "GBT" in type(est).__name__ else None
         by_table = trees.predict(data, ["row"], trees.node_table(model), model.getNumTrees, task, weights=weights)
         both = model.transform(data).select("row", F.col("prediction").alias("want")).join(by_table, "row", "left")
