@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import qcol
+from quarry.session import scratch_dir
 
 SEED = 42
 # Leading bits of the row hash that make a bucket; a bucket of a stratum is one window.
 BUCKET_BITS = 12
+# Most distinct rows that a task sorts; partitions among which the copies of one row are counted first.
+ROWS_PER_TASK, SALTS = 500_000, 16
 
 
 class SplitError(ValueError):
@@ -48,14 +51,34 @@ def test_count(n: int, test_size) -> int:
     return math.ceil(n * test_size) if share else test_size
 
 
+def _distinct(df: DataFrame, bucket: Column, seed: int) -> DataFrame:
+    """The distinct rows, their copies ``__copies`` and bucket ``__b``.
+
+    Copies collapse in the map tasks. Where the distinct rows would fill the session's shuffle partitions, they are
+    dealt by bucket over as many partitions as they need, the copies of a hot row by ``SALTS`` partitions first."""
+    spark, cols = df.sparkSession, [qcol(c) for c in df.columns]
+    found = df.agg(F.approx_count_distinct(row_hash(df, seed, df.columns)).alias("n")).first()["n"]
+    if found <= ROWS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__b", bucket)
+    parts = -(-found // ROWS_PER_TASK)
+    dealt = df.withColumns({"__b": bucket, "__salt": F.spark_partition_id() % SALTS}).repartition(parts, "__b", "__salt")
+    some = dealt.groupBy(*cols, "__b", "__salt").agg(F.count(F.lit(1)).alias("__copies"))
+    return some.repartition(parts, "__b").groupBy(*cols, "__b").agg(F.sum("__copies").alias("__copies"))
+
+
 def _placed(df: DataFrame, strata: list[str], seed: int) -> DataFrame:
     """One row per distinct row of ``df`` with its copies ``__copies``, the place
     ``__from`` of the first copy in its stratum, and the stratum's size ``__n``."""
     keys = [f"__g{i}" for i in range(len(strata))]
-    rows = df.groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    bucket = F.shiftright(row_hash(df, seed, df.columns), 64 - BUCKET_BITS)
+    rows = _distinct(df, bucket, seed)
     rows = rows.withColumns({k: qcol(s) for k, s in zip(keys, strata)} | {"__h": row_hash(df, seed, df.columns)})
-    rows = rows.withColumn("__b", F.shiftright("__h", 64 - BUCKET_BITS))
-    sums = rows.groupBy(*keys, "__b").agg(F.sum("__copies").alias("__s"))
+    sums = df.select(*[qcol(s).alias(k) for k, s in zip(keys, strata)], bucket.alias("__b")).groupBy(*keys, "__b").agg(
+        F.count(F.lit(1)).alias("__s"))
+    # a row for each bucket and stratum, written so that the planner knows how few these are
+    path = scratch_dir(df.sparkSession, "buckets")
+    sums.write.parquet(path)
+    sums = df.sparkSession.read.schema(sums.schema).parquet(path)
     all_of = Window.partitionBy(*keys)
     starts = sums.select(
         *[F.col(k).alias(f"{k}r") for k in keys], F.col("__b").alias("__br"), F.sum("__s").over(all_of).alias("__n"),
