@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quarry.functions import types as qt
 from quarry.functions.exprs import kurtosis, nan_to_null, pct, qcol, skewness
 from quarry.functions.quantiles import quantile_table
+from quarry.session import scratch_dir
 
 # Thresholds, labels and messages of the insight and
 # recommendation rules.
@@ -396,11 +397,16 @@ class Profile:
 
     Moments (one chunked one-row aggregate), exact quartiles, the correlation sums and the distinct counts are
     each one small collected result (rows per column or per pair), so
-    insights and recommendations do not rescan the table per rule.
+    insights and recommendations do not rescan the table per rule. These passes
+    read a copy in the scratch folder: a frame of joins is computed once.
     """
 
     def __init__(self, df: DataFrame, method: str = "exact"):
         self.spark = df.sparkSession
+        if df.columns:
+            path = scratch_dir(self.spark, "profile")
+            df.write.parquet(path)
+            df = self.spark.read.schema(df.schema).parquet(path)
         self.numeric = qt.eda_numeric(df)
         self.moments = sorted(moments(df, self.numeric).collect(), key=lambda r: r["position"]) if self.numeric else []
         q = quantile_table(df, self.numeric, [0.25, 0.75], method=method) if self.numeric else []
