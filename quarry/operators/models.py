@@ -41,6 +41,8 @@ SEARCH_SPACES = {
                                     "max_depth": [3, 5, 7], "subsample": [0.8, 1.0]},
 }
 SPARK_MAX_DEPTH = 30
+# most rows of a partition that learners scan
+ROWS_PER_TASK = 500_000
 # default forest depth: the reference grows unlimited trees; Spark needs a bound
 FOREST_DEPTH = 10
 # node statistics budget per pass: fewer passes over the data per tree level.
@@ -95,17 +97,20 @@ def evaluate(pred: DataFrame, task: str, label: str = "label", prediction: str =
     return {k: float(row[k]) for k in ("r2", "mae", "rmse")}
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Deal rows over the session's shuffle partitions, and at least its default
-    parallelism: fitting and scoring tree ensembles is CPU-heavy per row."""
+    parallelism: fitting and scoring tree ensembles is CPU-heavy per row. More
+    rows make more partitions, not larger ones."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n_rows = df.count() if n_rows is None else n_rows
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              -(-n_rows // ROWS_PER_TASK)))
 
 
-def training_input(df: DataFrame) -> DataFrame:
+def training_input(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Iterative learners scan their input many times: spread it and persist it
     (memory, spilling to disk)."""
-    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(df, n_rows).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_and_score(train: DataFrame, test: DataFrame, models: dict, task: str, label: str = "label"):
@@ -211,7 +216,7 @@ def random_search(train: DataFrame, name: str, est, task: str, metric: str, n_it
     ev = evaluator(task, metric, label)
     cvr = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="__fold", numFolds=cv,
                          parallelism=parallelism, seed=seed)
-    folded = training_input(folded)
+    folded = training_input(folded, n)
     try:
         model = cvr.fit(folded)
     finally:
