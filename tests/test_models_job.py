@@ -76,6 +76,16 @@ def test_full_job_regression_and_failure_marker(spark, tmpdir_path):
     assert statuses == {"completed", "failed"}
 
 
+def test_job_spreads_each_prepared_side_once(spark, tmpdir_path, monkeypatch):
+    df = spark.range(200).select((F.col("id") % 50).cast("double").alias("a"), (F.col("id") * 1.5).alias("b"),
+                                 (F.col("id") * 3.25 + 1).alias("y"))
+    spreads, kept = [], mdl.spread
+    monkeypatch.setattr(mdl, "spread", lambda *args: spreads.append(1) or kept(*args))
+    res = job.run(spark, df, "y", job.RunOptions(model_list=("linear_regression",), top_k=1, drift_threshold=10.0),
+                  base_path=tmpdir_path)
+    assert res.status == "completed" and len(spreads) == 2
+
+
 def test_full_job_classification(spark, tmpdir_path):
     li = table(spark, SF001, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_linestatus",
                                                 "l_returnflag")

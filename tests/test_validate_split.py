@@ -149,3 +149,29 @@ def test_folds_and_splits_of_repeated_rows_and_null_strata(spark):
     assert (train.count(), test.count()) == (744, 186)
     train, test = split.stratified_split(df.where("y is not null"), "y", 0.2)
     assert {r[0]: r[1] for r in test.groupBy("y").count().collect()} == {"a": 160, "b": 20}
+
+
+def test_a_split_places_only_the_buckets_of_its_border(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], float(i % 11)) for i in range(3000)] * 2 + [(-1, "c", None)] * 700
+    df = spark.createDataFrame(rows, "k int, y string, v double").repartition(5)
+    want = {}
+    for name, strata, quota in (("random", [], lambda n: math.ceil(n * 0.2)), ("stratified", ["y"], None)):
+        places = split._copies(split._placed(df, strata, 42), [*df.columns, "__place"], F.lit(0), "x").drop("x")
+        n_test = {"a": 400, "b": 400, "c": 540} if strata else {None: quota(6700)}
+        limit = (F.create_map(*[F.lit(x) for p in n_test.items() for x in p])[F.col("y")] if strata
+                 else F.lit(n_test[None]))
+        want[name] = {tuple(r) for r in places.withColumn("t", F.col("__place") < limit).groupBy(
+            "k", "y", "v", "t").count().collect()}
+    assert split.class_quotas({"a": 2000, "b": 2000, "c": 2700}, 1340) == {"a": 400, "b": 400, "c": 540}
+    placed, kept = [], split._placed
+
+    def noted(rows, *args):
+        placed.append(rows.count())
+        return kept(rows, *args)
+
+    monkeypatch.setattr(split, "_placed", noted)
+    for name, sides in (("random", split.random_split(df, 0.2)), ("stratified", split.stratified_split(df, "y", 0.2))):
+        train, test = (s.withColumn("t", F.lit(t)) for s, t in zip(sides, (False, True)))
+        got = train.unionByName(test).groupBy("k", "y", "v", "t").count().collect()
+        assert {tuple(r) for r in got} == want[name]
+    assert len(placed) == 2 and all(n < 1000 for n in placed)
