@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import slices
 
 MARK = "▁"
-#: Bytes of text that are encoded together, and units and pairs a task remembers; they only bound memory.
+#: Bytes of text that are encoded together, and units and pairs a task remembers; they only bound memory. Units that
+#: are met again among the next ``REMEMBERED_UNITS`` stay.
 STRETCH_BYTES = 2 << 20
 REMEMBERED_UNITS, REMEMBERED_PAIRS = 200_000, 2_000_000
 NORMAL, BYTE = 1, 6  # piece types of the model file
@@ -111,56 +112,59 @@ class PieceTable:
 
     @property
     def automaton(self):
-        """Of all pieces, made once a process."""
+        """Of all pieces, made once a process; each stands with its length, id and which pieces may follow it."""
         if self._automaton is None:
             a = ahocorasick.Automaton()
             for p in self.right:
-                a.add_word(p, p)
+                a.add_word(p, (p, len(p), self.id[p], {}))
             a.make_automaton()
-            self._automaton, self._pairs, self._tested = a, {}, 0
+            self._automaton, self._tested = a, 0
         return self._automaton
 
     def __getstate__(self):
-        return self.__dict__ | {"_automaton": None, "_pairs": None}
+        return self.__dict__ | {"_automaton": None}
 
-    def last_tokens(self, unit: str) -> list[str | None]:
-        """The last token of each prefix of a text, by the prefix's last character; None for a byte-coded one."""
-        matches, last = self.automaton.iter(unit), [None] * len(unit)
-        pairs = self._pairs
-        for end, t in matches:
+    def _last(self, unit: str) -> list[tuple | None]:
+        last = [None] * len(unit)
+        for end, piece in self.automaton.iter(unit):
             if last[end] is not None:
                 continue
-            start = end - len(t)
+            t, n, _, _ = piece
+            start = end - n
             if start >= 0:
-                u = last[start]
-                if u is not None:
-                    fits = pairs.get(u)
-                    if fits is None:
-                        fits = pairs[u] = {}
+                before = last[start]
+                if before is not None:
+                    fits = before[3]
                     ok = fits.get(t)
                     if ok is None:
-                        ok = fits[t] = self.compatible(u, t)
+                        ok = fits[t] = self.compatible(before[0], t)
                         self._tested += 1
                     if not ok:
                         continue
-            last[end] = t
+            last[end] = piece
         if self._tested > REMEMBERED_PAIRS:
-            pairs.clear()
+            for _, _, _, fits in self.automaton.values():
+                fits.clear()
             self._tested = 0
         return last
 
+    def last_tokens(self, unit: str) -> list[str | None]:
+        """The last token of each prefix of a text, by the prefix's last character; None for a byte-coded one."""
+        return [piece and piece[0] for piece in self._last(unit)]
+
     def encode(self, unit: str) -> list[int]:
         """Ids of a text, read backwards from the table of last tokens."""
-        last, ids, at = self.last_tokens(unit), [], len(unit) - 1
+        last, ids, at = self._last(unit), [], len(unit) - 1
         while at >= 0:
-            t = last[at]
-            if t is None:
+            piece = last[at]
+            if piece is None:
                 ids += [self.byte_ids[b] for b in reversed(unit[at].encode())]
                 at -= 1
             else:
-                ids.append(self.id[t])
-                at -= len(t)
-        return ids[::-1]
+                ids.append(piece[2])
+                at -= piece[1]
+        ids.reverse()
+        return ids
 
     def pieces_text(self, ids: list[int]) -> str:
         """The characters that ids stand for, marks as spaces; stray bytes become U+FFFD."""
@@ -231,19 +235,21 @@ def read_model(path: str) -> PieceTable:
     return PieceTable(normal, byte_ids, norm.add_dummy_prefix)
 
 
-def _encoded(batches, text: str, table: PieceTable, *stores):
-    """(part of a batch, for each of ``stores`` a list by row of what it keeps of the ids of each unit) of all batches."""
-    known: list[dict] = [{} for _ in stores]
+def _encoded(batches, text: str, table: PieceTable, store):
+    """(part of a batch, its rows as lists of units, by unit what ``store`` makes of the unit and its ids, the same of
+    units met before) of all batches.
+
+    The rows' units are in the first dictionary: what is met again moves on from the second, and the rest goes with it."""
+    known, before = {}, {}
     for batch in batches:
         for part in slices(batch, text, STRETCH_BYTES):
             rows = [table.units.findall(table.normalized(t)) for t in part.column(text).to_pylist()]
-            for unit in set().union(*rows).difference(known[0]):
-                ids = table.encode(unit)
-                for kept, store in zip(known, stores):
-                    kept[unit] = store(ids)
-            yield part, *([map(kept.__getitem__, r) for r in rows] for kept in known)
-            if len(known[0]) > REMEMBERED_UNITS:
-                known = [{} for _ in stores]
+            for unit in set().union(*rows).difference(known):
+                kept = before.get(unit)
+                known[unit] = store(unit, table.encode(unit)) if kept is None else kept
+            yield part, rows, known, before
+            if len(known) > REMEMBERED_UNITS:
+                known, before = {}, known
 
 
 def _map(docs: DataFrame, table: PieceTable, column: str, keep: tuple[str, ...], added: str, work) -> DataFrame:
@@ -268,8 +274,8 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", keep: tuple[s
     do not matter. Other columns are ignored, an empty table gives an empty result.
     """
     def work(batches, table):
-        for part, rows in _encoded(batches, text, table, tuple):
-            yield part, pa.array([[i for unit in r for i in unit] for r in rows], pa.list_(pa.int32()))
+        for part, rows, known, _ in _encoded(batches, text, table, lambda unit, ids: tuple(ids)):
+            yield part, pa.array([[i for unit in r for i in known[unit]] for r in rows], pa.list_(pa.int32()))
 
     return _map(docs, table, text, keep, "ids array<int>", work)
 
@@ -287,18 +293,29 @@ def digests(docs: DataFrame, table: PieceTable, text: str = "text", keep: tuple[
     """Encode and decode in one pass, keeping counts and digests only: ``n_tokens, ids_sha256, decoded_sha256``.
 
     The ids are hashed as decimal numbers joined by commas. No unit starts inside of a character, so the texts of a
-    row's units are decoded apart and joined.
+    row's units are decoded apart and joined; a unit's text is kept only if it is not the unit itself with spaces for
+    marks.
     """
     def work(batches, table):
-        def decimal(ids):
+        other: dict[str, str] = {}
+
+        def decimal(unit, ids):
+            decoded = table.pieces_text(ids)
+            if decoded != unit.replace(MARK, " "):
+                other[unit] = decoded
             return ",".join(map(str, ids))
 
-        for part, ids, texts in _encoded(batches, text, table, decimal, table.pieces_text):
-            ids, texts = list(map(",".join, ids)), list(map("".join, texts))
+        for part, rows, known, before in _encoded(batches, text, table, decimal):
+            ids = [",".join(map(known.__getitem__, r)) for r in rows]
+            texts = ["".join(r).replace(MARK, " ") if other.keys().isdisjoint(r) else
+                     "".join([other[u] if u in other else u.replace(MARK, " ") for u in r]) for r in rows]
             if table.dummy_prefix:
                 texts = [t[1:] if t.startswith(" ") else t for t in texts]
             yield (part, pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()),
                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()),
                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()))
+            if len(other) > 3 * REMEMBERED_UNITS:
+                for u in [u for u in other if u not in known and u not in before]:
+                    del other[u]
 
     return _map(docs, table, text, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -164,6 +165,26 @@ def test_stray_bytes_and_foreign_ids_decode(library, table):
         assert table.decode(ids) == library.decode(ids)
 
 
+def test_frequent_units_are_encoded_once_and_every_text_is_decoded(library, table, monkeypatch):
+    texts = [f" again again x{i} y{i * 7}" for i in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts)]
+    monkeypatch.setattr(prefix_table, "REMEMBERED_UNITS", 10)
+    monkeypatch.setattr(prefix_table, "_map", lambda docs, table, column, keep, added, work: work)
+    met, kept = [], table.encode
+    monkeypatch.setattr(table, "encode", lambda unit: met.append(unit) or kept(unit))
+    # a model whose ids stand for other text than the unit
+    plain = table.pieces_text
+    monkeypatch.setattr(table, "pieces_text", lambda ids: plain(ids).replace("again", "AGAIN").replace("x", "X"))
+    rows = [r for _, *r in prefix_table.digests(None, table)(iter(batches), table)]
+    assert met.count("▁again") == 1 and len(met) > 600
+    for t, (n, ids, texts_hash) in zip(texts, rows):
+        want = library.encode(t)
+        assert n[0].as_py() == len(want)
+        assert ids[0].as_py() == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        shown = library.decode(want).replace("again", "AGAIN").replace("x", "X")
+        assert texts_hash[0].as_py() == hashlib.sha256(shown.encode()).hexdigest()
+
+
 def test_last_tokens_are_those_of_every_prefix(library, table):
     for text in odd_texts()[:200]:
         for unit in table.units.findall(table.normalized(text[:60])):
