@@ -110,3 +110,25 @@ def test_job_runs_on_numeric_classes(spark, tmpdir_path, low, high):
     result = job.run(spark, df, "y", job.RunOptions(model_list=("logistic_regression", "gradient_boosting_classifier"),
                                                     top_k=1, n_iter=1, cv=2, drift_threshold=10.0), base_path=tmpdir_path)
     assert result.status == "completed" and result.best_score > 0.9
+
+
+def test_end_to_end_query_trains_and_tunes_every_model(spark, monkeypatch):
+    from quarry.plans import catalog_models
+    seen = []
+
+    class Done(Exception):
+        pass
+
+    def run(spark, data, target, options=job.RunOptions(), **where):
+        seen.append((target, options))
+        if len(seen) == 2:
+            raise Done
+        return job.RunResult(run_id=where["run_id"], status="completed")
+
+    monkeypatch.setattr(job, "run", run)
+    with pytest.raises(Done):
+        catalog_models.t7_run_and_compare(spark, SF001)
+    assert [target for target, _ in seen] == ["l_extendedprice", "l_returnflag"]
+    for _, options in seen:
+        assert options == job.RunOptions() and not options.model_list
+        assert options.top_k >= len(mdl.REGRESSORS) and options.n_iter == 5 and options.cv == 3
