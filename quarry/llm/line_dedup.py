@@ -125,10 +125,10 @@ def kept_lines(docs: DataFrame, least: int = 0) -> DataFrame:
 
     keys = texts.select("at", F.explode(variant_keys(F.col("line"), F.col("n"), F.col("faced"))).alias("k"))
     a, b = keys.select("k", F.col("at").alias("a")), keys.select("k", F.col("at").alias("b"))
-    pairs = a.join(b, "k").where("a < b").select("a", "b").distinct()
-    close = (pairs.join(texts.select(F.col("at").alias("a"), F.col("line").alias("la")), "a")
-             .join(texts.select(F.col("at").alias("b"), F.col("line").alias("lb")), "b")
-             .where(F.levenshtein("la", "lb", 1) >= 0).select("a", "b"))
+    # Spark takes exploded keys for as many bytes as the packed texts they come from, and would send them all by the driver
+    pairs = a.hint("merge").join(b.hint("merge"), "k").where("a < b").select("a", "b").distinct()
+    la, lb = (texts.select(F.col("at").alias(x), F.col("line").alias(f"l{x}")).hint("merge") for x in "ab")
+    close = pairs.join(la, "a").join(lb, "b").where(F.levenshtein("la", "lb", 1) >= 0).select("a", "b")
     gone = settled(close).select("at.doc_id", "at.place")
     stay = firsts.select("doc_id", "place").join(gone, ["doc_id", "place"], "left_anti")
     return stay.unionByName(lines.where("blank").select("doc_id", "place"))

@@ -261,6 +261,16 @@ def test_long_lines_that_share_a_half_do_not_all_meet(spark):
     assert met.count() == 15
 
 
+def test_exploded_line_keys_are_never_broadcast(spark, monkeypatch):
+    links, settle = [], line_dedup.settled
+    monkeypatch.setattr(line_dedup, "settled", lambda close: links.append(close) or settle(close))
+    rows = [(1, "a line of some length\nanother line"), (2, "a line of some lengths\nsomething else")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: "something else"}
+    plan = links[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plan
+
+
 def test_dedup_lines_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
     rows = line_dedup.dedup_lines(frame(spark, [(None, "same line"), (1, "same line"), (1, "same line"), (2, "same line")])).collect()
