@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quarry.llm.common import components, hashed_in, slices, written
-from quarry.llm.shingles import mix, shingle_set, word_hashes
+from quarry.llm.common import components, hashed_in, slices, sorted_groups, written
+from quarry.llm.shingles import mix, row_shingles, shingle_sets, word_hashes
 
 _U = np.uint64
 
@@ -45,24 +45,32 @@ SIGNATURE_BITS = 2048
 SIGNATURE_WORDS, MANY_ENTRIES = SIGNATURE_BITS // 64, 64
 
 
-def _sets(batches, size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+#: Bytes of text whose words are hashed at once: the arrays made on the way stay in the processor's cache.
+HASHED_BYTES = 1 << 18
+
+
+def _words(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for part in slices(batch, "text"):
-            words, first = word_hashes(part.column("text"))
-            yield (part.column("doc_id").to_numpy(zero_copy_only=False),
-                   [shingle_set(words[first[i]:first[i + 1]], size) for i in range(part.num_rows)])
+        for part in slices(batch, "text", HASHED_BYTES):
+            yield part.column("doc_id"), *word_hashes(part.column("text"))
 
 
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How often each bucket of n-grams occurs over all documents, ``2 ** SKETCH_BITS`` counters."""
+    """How often each bucket of n-grams occurs over all documents, ``2 ** SKETCH_BITS`` counters. Repeats in a document
+    count too: it spares sorting every set for what only orders the columns."""
     width = 1 << (SKETCH_BITS - SKETCH_CHUNKS.bit_length() + 1)
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, sets in _sets(batches, size):
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64),
-                                     minlength=len(total))
+        held, n = [], 0
+        for _, words, first in _words(batches):
+            held.append((row_shingles(words, first, size)[0] >> _U(64 - SKETCH_BITS)).astype(np.int64))
+            n += len(held[-1])
+            if n > len(total):
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         if total.any():
             lane = TaskContext.get().partitionId() % SKETCH_LANES
             yield pa.RecordBatch.from_pydict({
@@ -106,27 +114,30 @@ def leading_length(n: int, num: int, den: int) -> int:
 
 def incidence(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, k1, k2, sig, lead): set size, a 128-bit key of the set, its parity signature and leading block."""
-    level = np.frompyfunc(int.bit_length, 1, 1)(frequency_sketch(docs, size)).astype(np.uint64)
+    level = np.frompyfunc(int.bit_length, 1, 1)(frequency_sketch(docs, size)).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def rows(batches):
         level = shared.value
-        for ids, sets in _sets(batches, size):
-            n, k1, k2, sig, lead = [], [], [], [], []
-            for s in sets:
-                n.append(len(s))
-                bits = np.bincount((s >> _U(7)).astype(np.int64) & (SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
-                sig.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-                with np.errstate(over="ignore"):
-                    k1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                    k2.append(int(mix(s ^ _U(0x5BF03635)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                p = leading_length(len(s), num, den)
-                key = (level[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)] << _U(58)) | (s >> _U(6))
-                lead.append(s[np.argsort(key, kind="stable")[:p]].astype(np.int64))
+        for ids, words, first in _words(batches):
+            s, start = shingle_sets(words, first, size)
+            n = np.diff(start)
+            row = np.repeat(np.arange(len(n)), n)
+            bits = np.bincount(row * SIGNATURE_BITS + ((s >> _U(7)).astype(np.int64) & (SIGNATURE_BITS - 1)),
+                               minlength=len(n) * SIGNATURE_BITS) & 1
+            keys = (np.r_[_U(0), np.cumsum(mix(x), dtype=np.uint64)] for x in (s, s ^ _U(0x5BF03635)))
+            k1, k2 = ((x[start[1:]] - x[start[:-1]]).astype(np.int64) for x in keys)
+            # the sets are sorted: by level alone, as it is stable, the order is that of level and n-gram
+            rank = level[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+            lead = [s[a:b][np.argsort(rank[a:b], kind="stable")[:leading_length(b - a, num, den)]]
+                    for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+            ends = np.r_[0, np.cumsum([len(x) for x in lead])].astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()),
-                "k2": pa.array(k2, pa.int64()), "sig": pa.array(sig, pa.list_(pa.int64())),
-                "lead": pa.array(lead, pa.list_(pa.int64()))})
+                "doc_id": ids.cast(pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()),
+                "k2": pa.array(k2, pa.int64()),
+                "sig": pa.ListArray.from_arrays(np.arange(0, len(bits) // 64 + 1, SIGNATURE_WORDS, dtype=np.int32),
+                                                pa.array(np.packbits(bits.astype(np.uint8)).view(np.int64))),
+                "lead": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lead).view(np.int64) if lead else [], pa.int64()))})
 
     return docs.select("doc_id", "text").mapInArrow(
         rows, "doc_id long, n long, k1 long, k2 long, sig array<long>, lead array<long>")
@@ -153,12 +164,12 @@ def overlaps(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     def multiply(batches):
         def sets(column):
             texts = pa.array([zlib.decompress(x).decode() if x else "" for x in column.to_pylist()], pa.large_string())
-            words, first = word_hashes(texts)
-            return [shingle_set(words[first[i]:first[i + 1]], size) for i in range(len(texts))]
+            s, start = shingle_sets(*word_hashes(texts), size)
+            return [s[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 32):
+                part = batch.slice(lo, 32)
                 common = [len(np.intersect1d(x, y, assume_unique=True))
                           for x, y in zip(sets(part.column("ta")), sets(part.column("tb")))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "na", "nb")),
@@ -173,19 +184,60 @@ def _linked(docs, pairs, size, num, den) -> DataFrame:
             .where(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b"))
 
 
-def _shared_columns(entries: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _shared_columns(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Product of the leading blocks: a row for each column that two rows of different components share."""
     a, b = (entries.select("s", F.col("d").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"),
-                           F.col("c").alias(f"c{x}"), *(F.col(f"g{j}").alias(f"g{j}{x}") for j in range(words)))
-            for x in "ab")
+                           F.col("c").alias(f"c{x}")) for x in "ab")
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     # the overlap that two sizes ask for leaves a shorter leading block for the pair, and the least for the smaller set
     a = a.where(F.col("ia") <= F.col("na") - F.ceil(2 * F.col("na") * num / (num + den)))
-    differ = sum((F.bit_count(F.col(f"g{j}a").bitwiseXOR(F.col(f"g{j}b"))) for j in range(words)), F.lit(0))
     return (a.join(b, "s").where("ca <> cb and (na < nb or na = nb and a < b)")
             .where(F.col("na") * den >= F.col("nb") * num)
             .where((F.col("ia") <= F.col("na") - need) & (F.col("ib") <= F.col("nb") - need))
-            .where(differ <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", "na", "nb", "ia", "ib"))
+            .select("a", "b", "na", "nb", "ia", "ib"))
+
+
+def _shared_long_columns(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for columns with many entries, which carry the signatures ``g0``, ``g1``, ...: pairs whose signatures
+    differ too much are left out. All pairs of a column are compared a tile at a time; only those that pass have a row."""
+    tile = 512
+
+    def pairs_of(run, lo, hi):
+        d, n, i, c = (run[x][lo:hi] for x in ("d", "n", "i", "c"))
+        sig = [run[f"g{j}"][lo:hi].view(np.uint64) for j in range(SIGNATURE_WORDS)]  # signed ones count without their sign
+        for x in range(0, hi - lo, tile):
+            xs = slice(x, min(x + tile, hi - lo))
+            for y in range(x, hi - lo, tile):  # sorted by size and id: the smaller set comes first
+                ys = slice(y, min(y + tile, hi - lo))
+                na, nb = n[xs, None], n[None, ys]
+                need = -(-(na + nb) * num // (num + den))
+                keep = ((c[xs, None] != c[None, ys]) & (na * den >= nb * num)
+                        & (i[xs, None] <= na - need) & (i[None, ys] <= nb - need))
+                if x == y:
+                    keep &= np.triu(np.ones(keep.shape, bool), 1)
+                if not keep.any():
+                    continue
+                differ = np.zeros(keep.shape, np.int64)
+                for g in sig:
+                    differ += np.bitwise_count(g[xs, None] ^ g[None, ys])
+                p, q = np.nonzero(keep & (differ <= na + nb - 2 * need))
+                p, q = p + x, q + y
+                if len(p):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, pa.int64()) for v in (d[p], d[q], n[p], n[q])]
+                        + [pa.array(v, pa.int32()) for v in (i[p], i[q])], names=["a", "b", "na", "nb", "ia", "ib"])
+
+    def rows(batches):
+        for run in sorted_groups(batches, ["s"]):
+            ends = np.r_[run["__start"], len(run["s"])].tolist()
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                yield from pairs_of(run, lo, hi)
+
+    spark = entries.sparkSession
+    # by number: their bytes are few, by which the columns would be put into few tasks
+    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").sortWithinPartitions("s", "n", "d")
+    return (dealt.select("s", "d", "n", "i", "c", *(f"g{j}" for j in range(SIGNATURE_WORDS)))
+            .mapInArrow(rows, "a long, b long, na long, nb long, ia int, ib int"))
 
 
 def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -225,13 +277,8 @@ def jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100
     mixed = (apart.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"))
              .where("lo < hi").select("s", (F.col("k") > MANY_ENTRIES).alias("many")))
     apart = written(apart.join(mixed, "s"), "apart")
-    pairs = None
-    for many in (False, True):
-        part = apart.where(F.col("many") == many)
-        if many:
-            part = part.join(rows.select("d", *(F.col("sig")[j].alias(f"g{j}") for j in range(SIGNATURE_WORDS))), "d")
-        part = _shared_columns(part, SIGNATURE_WORDS if many else 0, num, den)
-        pairs = part if pairs is None else pairs.unionByName(part)
+    long = apart.where("many").join(rows.select("d", *(F.col("sig")[j].alias(f"g{j}") for j in range(SIGNATURE_WORDS))), "d")
+    pairs = _shared_columns(apart.where("not many"), num, den).unionByName(_shared_long_columns(long, num, den))
     need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     pairs = (pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"),
                                                      F.max("ib").alias("ib"))

@@ -49,9 +49,11 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     bounds = offsets - offsets[0]
+    packed = data.tobytes()
     if lower:
-        data = LOWER[data]
-    gap = SPACE[data]
+        packed = packed.translate(LOWER.tobytes())
+        data = np.frombuffer(packed, np.uint8)
+    gap = np.frombuffer(packed.translate(SPACE.tobytes()), bool)
     begin = ~gap
     begin[1:] &= gap[:-1]
     edge = bounds[:-1][bounds[:-1] < len(data)]
@@ -64,7 +66,8 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     place = np.arange(starts[0], len(data), dtype=np.int64) - np.repeat(starts, lengths)
     place_code = series(int(lengths.max()), 9000)
     with np.errstate(over="ignore"):
-        value = BYTE_CODE[data[starts[0]:]] * place_code[place]
+        value = place_code.take(place)
+        value *= BYTE_CODE.take(data[starts[0]:])
         # a word ends at the next space or row end: bytes of spaces add nothing, and a row's end starts a new word
         return mix(np.add.reduceat(value, starts - starts[0])), first
 
@@ -86,3 +89,29 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     return np.unique(shingle_hashes(words, min(size, len(words))))
+
+
+def row_shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows of ``word_hashes``, not yet distinct, and where each row's begin; a row with fewer words
+    has its whole sequence as one."""
+    count = np.diff(first)
+    n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    start = np.r_[0, np.cumsum(n)]
+    hashes = shingle_hashes(words, size)
+    row = np.repeat(np.arange(len(n)), n)
+    out = hashes[np.minimum(np.arange(start[-1]) - start[row] + first[row], max(len(hashes) - 1, 0))] if len(hashes) else (
+        np.zeros(start[-1], np.uint64))
+    for r in np.flatnonzero((count > 0) & (count < size)):
+        out[start[r]] = shingle_hashes(words[first[r]:first[r + 1]], int(count[r]))[0]
+    return out, start
+
+
+def shingle_sets(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of all rows of ``word_hashes``, one after the other, and where each row's begin."""
+    out, start = row_shingles(words, first, size)
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[start[:-1][start[:-1] < len(out)]] = True
+    return out[keep], np.r_[0, np.cumsum(keep)][start]

@@ -7,12 +7,14 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, chains, langid, line_dedup, mixing, ngram_join, pii
+from quarry.llm import shingles as shingles_of
 from quarry.llm.shingles import shingle_set, word_hashes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -84,6 +86,57 @@ def test_jaccard_groups_empty(spark):
     assert out.columns == ["doc_id", "n_shingles", "component_id"] and out.count() == 0
 
 
+def test_shingles_of_many_rows_are_those_of_each():
+    texts = ["a b c d a b c d a", None, "", "a b", "a", " \n", "x y z w\n" * 70, "one two three four five", "a b c"]
+    for size in (1, 4, 5):
+        words, first = word_hashes(pa.array(texts, pa.string()))
+        sets, start = shingles_of.shingle_sets(words, first, size)
+        every, at = shingles_of.row_shingles(words, first, size)
+        for i, text in enumerate(texts):
+            own = words[first[i]:first[i + 1]]
+            assert sets[start[i]:start[i + 1]].tolist() == shingle_set(own, size).tolist()
+            n = len((text or "").split())
+            assert at[i + 1] - at[i] == (max(n - size + 1, 1) if n else 0)
+            assert set(every[at[i]:at[i + 1]].tolist()) == set(sets[start[i]:start[i + 1]].tolist())
+
+
+def test_leading_blocks_hold_the_rarest_shingles(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(60)] + [(99, None)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    counts = ngram_join.frequency_sketch(docs, 2)
+    assert counts.sum() == sum(max(len(t.split()) - 1, min(len(t.split()), 1)) for _, t in rows if t)
+    for r in ngram_join.incidence(docs, 2, 85, 100).collect():
+        words, _ = word_hashes(pa.array([dict(rows)[r.doc_id]], pa.string()))
+        want = shingle_set(words, 2)
+        order = sorted(want.tolist(), key=lambda x: (int(counts[x >> 44]).bit_length(), x))
+        assert r.n == len(want) and [x % 2 ** 64 for x in r.lead] == order[:ngram_join.leading_length(len(want), 85, 100)]
+        bits = [sum((x >> 7) % 2048 == b for x in want.tolist()) % 2 for b in range(2048)]
+        assert [x % 2 ** 64 for x in r.sig] == np.packbits(np.array(bits, np.uint8)).view(np.uint64).tolist()
+
+
+def test_pairs_of_long_columns_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    rows, schema = [], "s long, d long, n long, i int, c long, " + ", ".join(f"g{j} long" for j in range(32))
+    for s, k in ((1, 1200), (-5, 90), (7, 1)):
+        for d in rng.sample(range(5000), k):
+            n = rng.randint(80, 100)
+            bits = rng.sample(range(2048), rng.randint(0, 9))
+            sig = [sum(1 << (b % 64) for b in bits if b // 64 == j) for j in range(32)]
+            rows.append((s, d, n, rng.randint(0, 14), d // 40, *(x - 2 ** 64 if x >= 2 ** 63 else x for x in sig)))
+    out = ngram_join._shared_long_columns(spark.createDataFrame(rows, schema).repartition(3), 85, 100)
+    got = sorted(map(tuple, out.select("a", "b", "na", "nb", "ia", "ib").collect()))
+    want = []
+    for s in (1, -5, 7):
+        column = sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1]))
+        for (_, a, na, ia, ca, *ga), (_, b, nb, ib, cb, *gb) in itertools.combinations(column, 2):
+            need = math.ceil((na + nb) * 85 / 185)
+            if ca != cb and 100 * na >= 85 * nb and ia <= na - need and ib <= nb - need:
+                if sum(((x ^ y) % 2 ** 64).bit_count() for x, y in zip(ga, gb)) <= na + nb - 2 * need:
+                    want.append((a, b, na, nb, ia, ib))
+    assert len(want) > 1000 and got == sorted(want)
+
+
 def test_shingle_set_of_short_text():
     w = np.arange(3, dtype=np.uint64)
     assert len(shingle_set(w, 4)) == 1 and len(shingle_set(w[:0], 4)) == 0
