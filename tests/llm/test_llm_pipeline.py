@@ -15,7 +15,7 @@ import tiktoken
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from quarry.llm import bpe, langid, mixing  # noqa: E402
+from quarry.llm import bpe, langid, line_dedup, mixing  # noqa: E402
 from test_llm_text import DOC, brute_lines, closure, shingles  # noqa: E402
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -122,3 +122,12 @@ def test_stage_on_odd_and_empty_tables(spark, name, stage):
             assert {r.doc_id for r in rows} <= {3, 4, None} and rows
         else:
             assert len(rows) == docs.count() and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+
+
+def test_line_dedup_stage_sends_no_keys_by_the_driver(spark, monkeypatch):
+    links, settle = [], line_dedup.settled
+    monkeypatch.setattr(line_dedup, "settled", lambda close: links.append(close) or settle(close))
+    rows = [(1, "a line of some length\nanother line", "en", "s", 34), (2, "a line of some lengths\nmore", "en", "s", 27)]
+    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, DOC), None).collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "more"}
+    assert "Broadcast" not in links[0]._jdf.queryExecution().executedPlan().toString()
